@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import exact_dedup, quality, sharding, url_filter
 
-QUERIES = {"op1_quality": quality.op1_quality}
-ORACLES = {"op1_quality": quality.ORACLE}
+QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op9_sharding": sharding.op9_sharding,
+}
+ORACLES = {
+    "op1_quality": quality.ORACLE,
+    "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+    "op9_sharding": sharding.ORACLE,
+}
