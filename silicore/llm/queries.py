@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, sharding, url_filter
+from . import exact_dedup, mixing, quality, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_warc": warc.op3_warc,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES = {
     "op1_quality": quality.ORACLE,
+    "op2_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op9_sharding": sharding.ORACLE,
