@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sharding, url_filter, warc
+from . import exact_dedup, mixing, quality, sentencepiece_bpe, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
     "op3_warc": warc.op3_warc,
+    "op5_sentencepiece": sentencepiece_bpe.op5_sentencepiece,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_sharding": sharding.op9_sharding,
