@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sentencepiece_bpe, sharding, url_filter, warc
+from . import exact_dedup, lm_scoring, mixing, quality, sentencepiece_bpe, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sentencepiece": sentencepiece_bpe.op5_sentencepiece,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLES = {
@@ -18,5 +19,6 @@ ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op8_lm_scoring": lm_scoring.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
