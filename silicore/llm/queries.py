@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, mixing, quality, sentencepiece_bpe, sharding, url_filter, warc
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality, sentencepiece_bpe, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
+    "op10_ngram_jaccard": jaccard_join.op10_ngram_jaccard,
 }
 ORACLES = {
     "op1_quality": quality.ORACLE,
@@ -21,4 +22,5 @@ ORACLES = {
     "op7_url_filter": url_filter.ORACLE,
     "op8_lm_scoring": lm_scoring.ORACLE,
     "op9_sharding": sharding.ORACLE,
+    "op10_ngram_jaccard": jaccard_join.ORACLE,
 }
