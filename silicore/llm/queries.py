@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality, sentencepiece_bpe, sharding, url_filter, warc
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, quality, sentencepiece_bpe, sharding, topk, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
     "op3_warc": warc.op3_warc,
+    "op4_topk": topk.op4_topk,
     "op5_sentencepiece": sentencepiece_bpe.op5_sentencepiece,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality": quality.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op4_topk": topk.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op8_lm_scoring": lm_scoring.ORACLE,
