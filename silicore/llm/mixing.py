@@ -25,23 +25,28 @@ Defined results
   * an empty table: no slots;
   * extra columns are ignored by ``mix``; ``mix_documents`` returns them as null.
 
-The text is shuffled twice, when streams gather and when blocks meet slots; the
-slot plan is made of counts. The number of slots is that of the blocks.
+The text is shuffled once, when streams gather: the plan is made of counts, and the
+slots that drew a stream's blocks travel to the stream. The number of slots is that
+of the blocks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import materialize, small, table
 
 BLOCK = 512
 SHARD = 1024
-STREAM_BYTES = 16 << 20
+STREAM_BYTES = 4 << 20
 ALPHA = 0.5
 SEED = 20_240_501
 ROUNDS = 24
+PAGE = 4096
 EOD = "\n\n"
 
 _P = 2147483647
@@ -58,12 +63,32 @@ def _mix(a: str, b: str, c: str, div: str) -> str:
 
 
 def _swap_round(x: str, r: str, key: str, n: str, div: str) -> str:
+    """SQL of one round of the permutation of 0..n-1: x and its partner change places or not."""
     k = f"(({_mix(key, '11', r, div)} * 2147483648 + {_mix(key, '13', r, div)}) % ({n}))"
     partner = f"(({k} + ({n}) - {x}) % ({n}))"
     bit = f"({_mix(key, f'greatest({x}, {partner})', r, div)} {div} 65536) % 2"
     return f"CASE WHEN {bit} = 1 THEN {partner} ELSE {x} END"
 
 
+def permuted(x: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The permutations' values at x: all rounds of ``_swap_round`` on whole columns."""
+
+    def draw(b: np.ndarray | int, r: int) -> np.ndarray:
+        h = (key * 48271 + (b % _P) * 69621 + (b // _P) * 30269 + r * 39373 + 12345) % _P
+        h = (h * h + 7 * r + 1) % _P
+        return (h * 16807 + key) % _P
+
+    for r in range(ROUNDS):
+        partner = ((draw(11, r) * 2147483648 + draw(13, r)) % n + n - x) % n
+        x = np.where(draw(np.maximum(x, partner), r) // 65536 % 2 == 1, partner, x)
+    return x
+
+
+@F.pandas_udf(LongType())
+def _permuted(x: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series(permuted(x.to_numpy(), key.to_numpy(), n.to_numpy()))
+
+
 def _streams(docs: DataFrame) -> DataFrame:
     """Light rows: the stream's keys and each document's tokens."""
     n = F.size(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))) + 1
@@ -79,8 +104,8 @@ def _spread():
     return F.expr(f"coalesce((pmod(doc_id, {_P}) * 48271 + 11) % {_P}, 0)")
 
 
-def _plan(docs: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Streams per (source, lang); first block index per stream; slots with block index."""
+def _plan(docs: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame, DataFrame]:
+    """Streams per (source, lang); for each stream an array, by block, of the slots that drew it."""
     spark = docs.sparkSession
     light = materialize(_streams(docs), "op2-tokens")
     split = materialize(light.groupBy("__m_s", "__m_l").agg(F.ceil(F.sum("__m_b") / F.lit(float(STREAM_BYTES))).cast("bigint").alias("__m_g")), "op2-streams")
@@ -112,15 +137,23 @@ def _plan(docs: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame,
     slot = counts.select("shard", "__m_s", F.explode(F.expr("sequence(__m_base, __m_base + __m_c - 1)")).alias("__m_j")).join(small(size.select("__m_s", "__m_size")), "__m_s")
     slot = slot.withColumn("epoch", F.expr("__m_j div __m_size"))
     slot = slot.withColumn("__m_key", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), "__m_s", F.col("epoch").cast("string"))), 1, 7), 16, 10).cast("bigint"))
-    body = _swap_round("x", "r", "__m_key", "__m_size", "div")
-    slot = slot.withColumn("block", F.expr(f"aggregate(sequence(0L, {ROUNDS - 1}L), __m_j % __m_size, (x, r) -> {body})"))
+    slot = slot.withColumn("block", _permuted(F.expr("__m_j % __m_size"), "__m_key", "__m_size"))
     place = Window.partitionBy("shard").orderBy(F.md5(F.concat_ws("|", "__m_s", F.col("__m_j").cast("string"))), "__m_s", "__m_j")
     slot = slot.withColumn("slot", (F.row_number().over(place) - 1).cast("bigint"))
-    return split, first, slot.select("shard", "slot", "__m_s", "block", "epoch")
+    slot = slot.select("shard", "slot", "__m_s", "block", "epoch")
+
+    # A stream's blocks are a range of indices: look it up by the range's pages.
+    pages = first.withColumn("__m_page", F.explode(F.expr(f"sequence(__m_first div {PAGE}, (__m_first + __m_k - 1) div {PAGE})")))
+    slot = slot.withColumn("__m_page", F.expr(f"block div {PAGE}")).join(pages, ["__m_s", "__m_page"]).where("block >= __m_first AND block < __m_first + __m_k")
+    keys = ["__m_s", "__m_l", "__m_i"]
+    drawn = slot.groupBy(*keys, (F.col("block") - F.col("__m_first")).alias("__m_b")).agg(F.collect_list(F.struct("shard", "slot", "block", "epoch")).alias("__m_d"))
+    every = first.withColumn("__m_b", F.explode(F.expr("sequence(0L, __m_k - 1)"))).join(drawn, [*keys, "__m_b"], "left")
+    plan = every.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__m_b", "__m_d"))).alias("__m_plan"))
+    return split, materialize(plan, "op2-plan")
 
 
-def _blocks(docs: DataFrame, split: DataFrame, first: DataFrame) -> DataFrame:
-    """(__m_s, lang, block, doc_ids, text, n_tokens): the packed blocks of every stream."""
+def _blocks(docs: DataFrame, split: DataFrame) -> DataFrame:
+    """The packed blocks of every stream, partitioned by stream: block, lang, n_tokens, pieces."""
     rows = docs.where("text IS NOT NULL AND text <> ''").select(F.col("doc_id"), F.col("text"), F.col("lang"), _key("source").alias("__m_s"), _key("lang").alias("__m_l"), _spread().alias("__m_h"))
     rows = rows.join(small(split), ["__m_s", "__m_l"]).withColumn("__m_i", F.expr("__m_h % __m_g")).drop("__m_h", "__m_g")
     keys = ["__m_s", "__m_l", "__m_i"]
@@ -133,19 +166,19 @@ def _blocks(docs: DataFrame, split: DataFrame, first: DataFrame) -> DataFrame:
         array_join(slice(__m_t, int(greatest(b * {BLOCK} - __m_at, 0L) + 1), int(least((b + 1) * {BLOCK}, __m_end) - greatest(b * {BLOCK}, __m_at))), '') AS p,
         least((b + 1) * {BLOCK}, __m_end) - greatest(b * {BLOCK}, __m_at) AS c))"""
     pieces = rows.select(*keys, "lang", "doc_id", "__m_at", F.explode(F.expr(cut)).alias("__m_x"))
-    block = pieces.groupBy(*keys, F.col("__m_x.b").alias("__m_b")).agg(
+    return pieces.groupBy(*keys, F.col("__m_x.b").alias("__m_b")).agg(
         F.first("lang").alias("lang"), F.sum("__m_x.c").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("__m_at", F.col("__m_x.p").alias("p"), "doc_id"))).alias("__m_ps")
     )
-    block = block.join(small(first.drop("__m_k")), keys)
-    return block.select("__m_s", "lang", (F.col("__m_first") + F.col("__m_b")).alias("block"), F.expr("transform(__m_ps, x -> x.doc_id)").alias("doc_ids"), F.expr("array_join(transform(__m_ps, x -> x.p), '')").alias("text"), "n_tokens")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(shard, slot, source, lang, block, epoch, doc_ids, text, n_tokens), one row a slot."""
-    split, first, slots = _plan(docs, weights)
-    slots = materialize(slots, "op2-slots")
-    out = _blocks(docs, split, first).join(slots, ["__m_s", "block"])
-    return out.select("shard", "slot", F.when(F.col("__m_s") != _NONE, F.col("__m_s")).alias("source"), "lang", "block", "epoch", "doc_ids", "text", "n_tokens")
+    split, plan = _plan(docs, weights)
+    # The plan has one row a stream and is hashed on the blocks' own partitioning.
+    out = _blocks(docs, split).join(plan.hint("shuffle_hash"), ["__m_s", "__m_l", "__m_i"])
+    out = out.select("*", F.explode(F.expr("__m_plan[int(__m_b)].__m_d")).alias("__m_d"))
+    source = F.when(F.col("__m_s") != _NONE, F.col("__m_s")).alias("source")
+    return out.select("__m_d.shard", "__m_d.slot", source, "lang", "__m_d.block", "__m_d.epoch", F.expr("transform(__m_ps, x -> x.doc_id)").alias("doc_ids"), F.expr("array_join(transform(__m_ps, x -> x.p), '')").alias("text"), "n_tokens")
 
 
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
