@@ -54,7 +54,7 @@ def _owned(docs: DataFrame, capacity: int, owner_bytes: int) -> DataFrame:
     owners = materialize(owners, "op6-owners")
     n = (owners.agg(F.max("__x_owner")).first()[0] or 0) + 1
     rows = locate(_keyed(docs.where("text IS NOT NULL")), levels).join(small(owners), ["__x_depth", "__x_bucket"])
-    return rows.drop("__x_depth", "__x_key", "__x_bytes").repartition(n, "__x_owner") if n > 1 else rows.drop("__x_depth", "__x_key", "__x_bytes")
+    return rows.drop("__x_depth", "__x_key", "__x_bytes").repartitionById(n, F.col("__x_owner"))
 
 
 def _chain(rows: DataFrame, order: list) -> tuple:
