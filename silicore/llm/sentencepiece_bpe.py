@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -80,7 +81,7 @@ class Encoder:
             self.rank[i] = r
         self.split: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}
         string = {i: s for s, i in words.items()}
         reached = {i for s, i in words.items() if len(s) == 1}
         for i in order:
@@ -95,9 +96,10 @@ class Encoder:
         self.fit.clear()
         self.automaton = ahocorasick.Automaton()
         for i in reached:
-            self.automaton.add_word(string[i], (i, len(string[i])))
+            self.automaton.add_word(string[i], (i, -len(string[i])))
         self.automaton.make_automaton()
-        self.memo: dict[str, np.ndarray] = {}
+        self.chars = [len(string.get(i, "")) for i in range(n)]
+        self.memo: dict[str, list[int]] = {}
         self.piece_flat = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.piece_len = np.array([len(p) for p in self.pieces], np.int64)
         self.piece_at = np.cumsum(self.piece_len) - self.piece_len
@@ -124,34 +126,33 @@ class Encoder:
 
     def word(self, s: str) -> list[int]:
         """Ids of a cut with at most one leading space mark. Negative: minus a code point without a piece."""
-        size = len(s)
-        last, length = [0] * size, [0] * size
+        last: list[int | None] = [None] * len(s)
         fit = self.fit
-        for end, (tok, n) in self.automaton.iter(s):
-            if length[end]:
+        for end, (tok, at) in self.automaton.iter(s):
+            if last[end] is not None:
                 continue
-            at = end - n
+            at += end
             if at >= 0:
                 prev = last[at]
-                if prev >= 0:
-                    if not length[at]:
-                        prev = last[at] = -ord(s[at])
-                        length[at] = 1
-                    else:
-                        ok = fit.get((prev, tok))
-                        if ok is None:
-                            ok = fit[prev, tok] = self.compatible(prev, tok)
-                        if not ok:
-                            continue
-            last[end], length[end] = tok, n
-        out, i = [], size - 1
+                if prev is None:
+                    last[at] = -ord(s[at])
+                elif prev >= 0:
+                    pair = prev << 20 | tok
+                    ok = fit.get(pair)
+                    if ok is None:
+                        ok = fit[pair] = self.compatible(prev, tok)
+                    if not ok:
+                        continue
+            last[end] = tok
+        out, i, chars = [], len(s) - 1, self.chars
         while i >= 0:
-            if length[i]:
-                out.append(last[i])
-                i -= length[i]
-            else:
+            tok = last[i]
+            if tok is None or tok < 0:
                 out.append(-ord(s[i]))
                 i -= 1
+            else:
+                out.append(tok)
+                i -= chars[tok]
         out.reverse()
         return out
 
@@ -177,29 +178,38 @@ class Encoder:
                     heapq.heappush(queue, (x, size[x], size[y]))
         return tuple(self.runs[k] for k in size if k)
 
-    def cut(self, s: str) -> np.ndarray:
+    def cut(self, s: str) -> list[int]:
         """Ids of one cut: a run of spaces, then text without spaces."""
-        ids = self.memo.get(s)
-        if ids is None:
-            body = s.lstrip(" ")
-            spaces = len(s) - len(body)
-            out = self.word((MARK if spaces else "") + body) if body else []
-            if spaces and body:
+        if s[0] != " ":
+            out = self.word(s)
+        elif s[-1] == " ":
+            return list(self.run(len(s)))
+        else:
+            spaces = len(s) - len(s.lstrip(" "))
+            out = self.word(MARK + s[spaces:])
+            if spaces > 1:
                 lone = out[0] == self.runs[1]
                 out = [*self.run(spaces - (not lone)), *out[lone:]]
-            elif spaces:
-                out = list(self.run(spaces))
-            flat: list[int] = []
-            for i in out:
-                if i >= 0:
-                    flat.append(i)
-                else:
-                    flat.extend(self.byte.get(b, self.unk) for b in chr(-i).encode())
-            ids = np.array(flat, np.int32)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[s] = ids
-        return ids
+        if min(out) >= 0:
+            return out
+        flat: list[int] = []
+        for i in out:
+            if i >= 0:
+                flat.append(i)
+            else:
+                flat.extend(self.byte.get(b, self.unk) for b in chr(-i).encode())
+        return flat
+
+    def cuts(self, strings: list[str]) -> list[list[int]]:
+        memo, out = self.memo, []
+        if len(memo) + len(strings) > MEMO:
+            memo.clear()
+        for s in strings:
+            ids = memo.get(s)
+            if ids is None:
+                ids = memo[s] = self.cut(s)
+            out.append(ids)
+        return out
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         nulls = texts.is_null()
@@ -210,20 +220,20 @@ class Encoder:
         lo, hi = int(off[0]), int(off[-1])
         view = data[lo:hi]
         space = view == 0x20
-        starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1 if len(view) else np.zeros(0, np.int64)
-        heads = np.unique(off[:-1][off[1:] > off[:-1]] - lo).astype(np.int64)
-        starts = np.union1d(starts, heads)
+        heads = off[:-1][off[1:] > off[:-1]].astype(np.int64) - lo
+        begins = np.zeros(len(view), bool)
+        begins[1:] = space[1:] & ~space[:-1]
+        begins[heads] = True
+        starts = np.flatnonzero(begins)
         bounds = np.append(starts, hi - lo)
         cuts = pa.StringArray.from_buffers(len(starts), pa.py_buffer((bounds + lo).astype(np.int32)), raw)
         enc = cuts.dictionary_encode()
         code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = [self.cut(s) for s in enc.dictionary.to_pylist()]
         first = np.searchsorted(starts, heads)
-        for k, s in zip(first, cuts.take(pa.array(first)).to_pylist()):
-            code[k] = len(ids)
-            ids.append(self.cut(" " + s))
-        lens = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        code[first] = np.arange(len(first)) + len(enc.dictionary)
+        ids = self.cuts(enc.dictionary.to_pylist()) + self.cuts([" " + s for s in cuts.take(pa.array(first)).to_pylist()])
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lens.sum()))
         gathered, ends = gather(flat, np.cumsum(lens) - lens, lens, code)
         at = np.searchsorted(starts, off.astype(np.int64) - lo)
         return pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32), mask=None), pa.array(gathered), mask=nulls)
