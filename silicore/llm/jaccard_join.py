@@ -2,7 +2,9 @@
 
 A document's set holds its word ``N``-grams. Documents with one set are one entry; sets
 whose Jaccard similarity reaches ``NUM / DEN`` are found by prefix filtering over an
-index of tokens, in an order that puts frequent tokens last.
+index of tokens, in an order that puts frequent tokens last. Prefixes are long enough
+for similar sets to share ``SHARED`` tokens in them (or all that they must share, if
+that is less), so pairs that meet less often are dropped before they are verified.
 
 Index level: the list of a token is sorted by set size and cut into blocks that know the
 furthest reach of their entries (size - position); from two reaches follows how much
@@ -27,8 +29,9 @@ work is skipped, never the result: frequencies are gathered from all documents (
 token counts where it occurs twice among the sets that a task holds at once) and the
 table of frequent tokens is broadcast, its threshold doubling until it fits. Nothing
 caps the partners of a set. Texts are scanned, not shuffled; what is shuffled are the
-prefixes, and the sets of candidates once each. Groups of candidates too large for
-one task are verified pair by pair in joins.
+prefixes, and the sets of candidates, once for each group of candidates: a set's
+group is that of its first neighbour. Groups too large for one task are verified pair
+by pair in joins.
 """
 
 from __future__ import annotations
@@ -47,14 +50,18 @@ from .sentencepiece_bpe import buffers, gather, slices
 N = 2
 NUM, DEN = 11, 20
 #: A token is frequent from this many sets on; the table of frequent tokens holds at most FREQUENT_ROWS.
-FREQUENT = 16
-FREQUENT_ROWS = 1_000_000
+FREQUENT = 4
+FREQUENT_ROWS = 4_000_000
 #: Tokens that a task holds at once to count them.
-COUNTED = 2_000_000
+COUNTED = 6_000_000
+#: Tokens that two similar sets must share within their prefixes.
+SHARED = 3
+#: Index entries of a partition: few large partitions, in which a pair's meetings add up.
+INDEX_ROWS = 4_000_000
 #: Candidates' sets that one task verifies together.
 GROUP_SETS = 20_000
 BLOCK = 64
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D, 0x0C]] = True
@@ -155,7 +162,7 @@ def _survey(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    known, often = shared.value
+    known, often = shared.value  # often: the frequency's class
     for part in _each_slice(it):
         seen, toks, sids, sizes, places = set(), [], [], [], []
         sets = sets_of(part.column("text"))
@@ -168,7 +175,7 @@ def _prefixes(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
             if not len(s) or (sid := set_id(s)) in seen:
                 continue
             seen.add(sid)
-            p = len(s) - -(-NUM * len(s) // DEN) + 1
+            p = min(len(s), len(s) - -(-NUM * len(s) // DEN) + SHARED)
             order = np.argsort(freq[begin:end], kind="stable")[:p]
             toks.append(s[order])
             sids.append(sid)
@@ -186,67 +193,86 @@ def _enough(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     return -(-NUM * (size_a + size_b) // (NUM + DEN))
 
 
-def list_pairs(tok: np.ndarray, sid: np.ndarray, size: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Candidate pairs (two columns, smaller id first) of whole token lists, each once."""
+def list_pairs(tok: np.ndarray, sid: np.ndarray, size: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs that meet in whole token lists: smaller id, other id, meetings, meetings needed in all."""
     order = np.lexsort((sid, size, tok))
     tok, sid, size, pos = tok[order], sid[order], size[order], pos[order]
     new = np.append(True, (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1]))
     tok, sid, size, pos = tok[new], sid[new], size[new], pos[new]
-    reach = size - pos
+    # The first SHARED common tokens have this much, at least, still to come with them.
+    reach = size - pos + SHARED - 1
     first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
     end = np.append(first[1:], len(tok))
-    found = []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     last = np.repeat(end, end - first)
     short = np.repeat(end - first <= 4 * BLOCK, end - first)
     i, d = np.flatnonzero(short), 0
     while len(i):
         d += 1
         i = i[i + d < last[i]]
-        j = i + d
-        near = DEN * size[i] >= NUM * size[j]
-        i, j = i[near], j[near]
-        hit = np.minimum(reach[i], reach[j]) >= _enough(size[i], size[j])
-        found.append(np.stack([sid[i[hit]], sid[j[hit]]], 1))
+        i = i[DEN * size[i] >= NUM * size[i + d]]
+        hit = np.minimum(reach[i], reach[i + d]) >= _enough(size[i], size[i + d])
+        left.append(i[hit])
+        right.append(i[hit] + d)
     for a, b in zip(first, end):
         if b - a > 4 * BLOCK:
-            found.extend(_long_list(sid[a:b], size[a:b], reach[a:b]))
-    if not found:
-        return np.zeros((0, 2), np.int64)
-    pairs = np.sort(np.concatenate(found), 1)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
-
-
-def _long_list(sid: np.ndarray, size: np.ndarray, reach: np.ndarray) -> Iterator[np.ndarray]:
+            for x, y in _long_list(size[a:b], reach[a:b]):
+                left.append(x + a)
+                right.append(y + a)
+    i, j = np.concatenate(left), np.concatenate(right)
+    need = np.minimum(SHARED, _enough(size[i], size[j]))
+    a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    return a[head], b[head], np.diff(np.append(head, len(a))), need[head]
+
+
+def _long_list(size: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one long list, block against block; blocks out of reach are skipped."""
-    cut = np.arange(0, len(sid), BLOCK)
-    top, least, most = np.maximum.reduceat(reach, cut), size[cut], size[np.minimum(cut + BLOCK, len(sid)) - 1]
+    cut = np.arange(0, len(size), BLOCK)
+    top, least, most = np.maximum.reduceat(reach, cut), size[cut], size[np.minimum(cut + BLOCK, len(size)) - 1]
     for k, a in enumerate(cut):
         far = np.arange(k, len(cut))
         far = far[(DEN * most[k] >= NUM * least[far]) & (np.minimum(top[k], top[far]) >= _enough(least[k], least[far]))]
-        x = slice(a, min(a + BLOCK, len(sid)))
+        x = slice(a, min(a + BLOCK, len(size)))
         for b in far * BLOCK:
-            y = slice(b, min(b + BLOCK, len(sid)))
+            y = slice(b, min(b + BLOCK, len(size)))
             hit = (np.minimum(reach[x][:, None], reach[y][None, :]) >= _enough(size[x][:, None], size[y][None, :])) & (DEN * size[x][:, None] >= NUM * size[y][None, :])
             if b == a:
                 hit = np.triu(hit, 1)
             i, j = np.nonzero(hit)
             if len(i):
-                yield np.stack([sid[x][i], sid[y][j]], 1)
+                yield i + a, j + b
 
 
 def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs from a partition sorted by token; a list that runs over batches is carried along."""
+    """Meetings from a partition sorted by token; a list that runs over batches is carried along."""
+    found: list[tuple[np.ndarray, ...]] = []
 
-    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def scan(cols: list[np.ndarray]) -> None:
         tok = cols[0]
         change = np.append(True, tok[1:] != tok[:-1])
         lone = change & np.append(change[1:], True)
         tok, sid, sp = (c[~lone] for c in cols)
         if len(tok):
-            p = list_pairs(tok, sid, sp >> 32, sp & 0xFFFFFFFF)
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            a, b, met, need = list_pairs(tok, sid, sp >> 32, sp & 0xFFFFFFFF)
+            # Pairs that need fewer meetings than SHARED are given the rest.
+            found.append((a, b, met + SHARED - need))
+
+    def merged() -> tuple[np.ndarray, ...]:
+        a, b, met = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((b, a))
+        a, b, met = a[order], b[order], met[order]
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return a[head], b[head], np.minimum(SHARED, np.add.reduceat(met, head))
+
+    def emit() -> Iterator[pa.RecordBatch]:
+        if sum(len(f[0]) for f in found):
+            cols = merged()
+            for i in range(0, len(cols[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["a", "b", "met"])
+        found.clear()
 
     parts: list[list[np.ndarray]] = []
     n = 0
@@ -258,29 +284,35 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(x) for x in zip(*parts)]
         at = int(np.searchsorted(cols[0], cols[0][-1]))
         if at:
-            yield from emit([c[:at] for c in cols])
+            scan([c[:at] for c in cols])
         parts = [[c[at:] for c in cols]]
         n = len(cols[0]) - at if at else 0
+        if sum(len(f[0]) for f in found) > INDEX_ROWS:
+            yield from emit()
     if parts:
         cols = [np.concatenate(x) for x in zip(*parts)]
         if len(cols[0]):
-            yield from emit(cols)
+            scan(cols)
+    yield from emit()
 
 
 def _wanted_sets(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    want = None if shared is None else shared.value
+    """(comp, sid, tokens) of the sets that groups want; all sets, without comp, if ``shared`` is None."""
     for part in _each_slice(it):
-        out = {}
+        out: dict[tuple[int | None, int], np.ndarray] = {}
         for s in sets_of(part.column("text")):
             if len(s):
                 sid = set_id(s)
-                k = 0 if want is None else int(np.searchsorted(want, sid))
-                if want is None or (k < len(want) and want[k] == sid):
-                    out[sid] = s
+                if shared is None:
+                    out[None, sid] = s
+                else:
+                    sids, comps = shared.value
+                    for k in range(int(np.searchsorted(sids, sid)), int(np.searchsorted(sids, sid, "right"))):
+                        out[int(comps[k]), sid] = s
         if out:
             flat = list(out.values())
             ends = np.append(0, np.cumsum([len(x) for x in flat])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(flat)))], names=["sid", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(flat)))], names=["comp", "sid", "tokens"])
 
 
 def overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -386,21 +418,31 @@ def _similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = freq.where(F.col("n") >= least).toArrow()
     known = got.column("a").to_numpy().view(np.uint64)
     order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[order], got.column("n").to_numpy()[order]))
+    # Quarter octaves of the frequency are enough to order tokens by.
+    often = np.minimum(255, 1 + 4 * np.log2(got.column("n").to_numpy())).astype(np.uint8)
+    shared = spark.sparkContext.broadcast((known[order], often[order]))
 
     text = src.select("text")
-    index = text.mapInArrow(lambda it: _prefixes(it, shared), "tok bigint, sid bigint, sp bigint").repartition("tok").sortWithinPartitions("tok")
-    cand = materialize(index.mapInArrow(_candidates, "a bigint, b bigint").distinct(), "op10-candidates")
-
-    comp = materialize(components(cand), "op10-groups")
-    ids = comp.select(F.col("node").alias("sid"))
-    if fits(ids, 4 * BROADCAST_ROWS):
-        want = spark.sparkContext.broadcast(np.sort(ids.toArrow().column("sid").to_numpy()))
-        full = text.mapInArrow(lambda it: _wanted_sets(it, want), "sid bigint, tokens array<bigint>")
+    # The prefixes' total length follows from the sets' sizes.
+    total = seen.where("kind = 0").agg(F.sum("size"), F.count(F.lit(1))).first()
+    length = (total[0] or 0) * (DEN - NUM) // DEN + (total[1] or 0) * SHARED
+    index = text.mapInArrow(lambda it: _prefixes(it, shared), "tok bigint, sid bigint, sp bigint").repartition(max(1, -(-length // INDEX_ROWS)), "tok").sortWithinPartitions("tok")
+    met = index.mapInArrow(_candidates, "a bigint, b bigint, met bigint").groupBy("a", "b").agg(F.sum("met").alias("met"))
+    cand = materialize(met.where(F.col("met") >= SHARED).select("a", "b"), "op10-candidates")
+
+    lead = cand.selectExpr("a AS node", "b AS other").union(cand.selectExpr("b", "a")).groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("comp"))
+    pairs = materialize(cand.join(lead.withColumnRenamed("node", "a"), "a"), "op10-groups")
+    comp = materialize(pairs.select("comp", F.col("a").alias("sid")).union(pairs.select("comp", "b")).distinct(), "op10-members")
+    sets_ddl = "comp bigint, sid bigint, tokens array<bigint>"
+    if fits(comp, 4 * BROADCAST_ROWS):
+        got = comp.toArrow()
+        sids, comps = got.column("sid").to_numpy(), got.column("comp").to_numpy()
+        order = np.argsort(sids)
+        want = spark.sparkContext.broadcast((sids[order], comps[order]))
+        full = text.mapInArrow(lambda it: _wanted_sets(it, want), sets_ddl)
     else:
-        full = text.mapInArrow(lambda it: _wanted_sets(it, None), "sid bigint, tokens array<bigint>").join(ids, "sid", "left_semi")
-    full = full.groupBy("sid").agg(F.first("tokens").alias("tokens")).join(comp.withColumnRenamed("node", "sid"), "sid")
-    pairs = cand.join(comp.select(F.col("node").alias("a"), "comp"), "a")
+        every = text.mapInArrow(lambda it: _wanted_sets(it, None), sets_ddl).drop("comp")
+        full = every.join(comp, "sid").groupBy("comp", "sid").agg(F.first("tokens").alias("tokens"))
 
     big = materialize(comp.groupBy("comp").count().where(F.col("count") > GROUP_SETS).select("comp"), "op10-large")
     none = big.isEmpty()
@@ -408,7 +450,7 @@ def _similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = narrow(full).select("comp", F.col("sid").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens").unionByName(narrow(pairs).select("comp", "a", "b", F.lit(None).cast("array<bigint>").alias("tokens")))
     out = rows.repartition("comp").sortWithinPartitions("comp", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a bigint, b bigint, common bigint, size_a bigint, size_b bigint")
     if not none:
-        some = materialize(full.join(small(big), "comp", "left_semi").select("sid", "tokens"), "op10-large-sets")
+        some = materialize(full.join(small(big), "comp", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "op10-large-sets")
         far = pairs.join(small(big), "comp", "left_semi").join(some.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(some.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
         far = far.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common"), F.size("ta").cast("bigint").alias("size_a"), F.size("tb").cast("bigint").alias("size_b"))
         out = out.unionByName(far.where((NUM + DEN) * F.col("common") >= NUM * (F.col("size_a") + F.col("size_b"))))
