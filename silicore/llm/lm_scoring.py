@@ -169,7 +169,8 @@ class Automaton:
                 weight.append(np.where(ch + th > 0, np.log(th / (ch + th)), 0.0))
             fail.append(self._longest(h, n - 2) if n > 1 else np.zeros(len(h), np.int64))
         self.weight, self.fail = np.concatenate(weight), np.concatenate(fail).astype(np.int32)
-        self.logp, self.next = np.concatenate(logp), np.concatenate(nxt).astype(np.int32)
+        # One entry more, which index -1 (no arc) meets.
+        self.logp, self.next = np.append(np.concatenate(logp), 0.0), np.append(np.concatenate(nxt), 0).astype(np.int32)
         self.start = int(self._longest(np.array([(1 << 8 * (ORDER - 1)) - 1]), ORDER - 1)[0])
         self._table(np.concatenate(keys))
 
@@ -220,8 +221,7 @@ class Automaton:
         arc = self.find(state.astype(np.int64) * 256 + symbol)
         if (arc >= 0).all():
             return self.next[arc], self.logp[arc]
-        w = np.where(arc >= 0, self.logp[arc], 0.0)
-        out = np.where(arc >= 0, self.next[arc], 0) if len(self.next) else np.zeros(len(arc), np.int32)
+        w, out = self.logp[arc], self.next[arc]
         on = np.flatnonzero(arc < 0)
         at = state[on]
         while len(on):
