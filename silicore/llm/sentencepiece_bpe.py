@@ -47,7 +47,7 @@ MARK = "▁"
 #: Distinct cuts that a worker remembers between batches.
 MEMO = 300_000
 #: Bytes of text that are encoded at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 class Encoder:
@@ -125,7 +125,7 @@ class Encoder:
                 bound, right = b + 1, split[right][0]
 
     def word(self, s: str) -> list[int]:
-        """Ids of a cut with at most one leading space mark. Negative: minus a code point without a piece."""
+        """Ids of a cut with at most one leading space mark. Negative: the complement of a code point without a piece."""
         last: list[int | None] = [None] * len(s)
         fit = self.fit
         for end, (tok, at) in self.automaton.iter(s):
@@ -135,7 +135,7 @@ class Encoder:
             if at >= 0:
                 prev = last[at]
                 if prev is None:
-                    last[at] = -ord(s[at])
+                    last[at] = ~ord(s[at])
                 elif prev >= 0:
                     pair = prev << 20 | tok
                     ok = fit.get(pair)
@@ -148,7 +148,7 @@ class Encoder:
         while i >= 0:
             tok = last[i]
             if tok is None or tok < 0:
-                out.append(-ord(s[i]))
+                out.append(~ord(s[i]))
                 i -= 1
             else:
                 out.append(tok)
@@ -197,7 +197,7 @@ class Encoder:
             if i >= 0:
                 flat.append(i)
             else:
-                flat.extend(self.byte.get(b, self.unk) for b in chr(-i).encode())
+                flat.extend(self.byte.get(b, self.unk) for b in chr(~i).encode())
         return flat
 
     def cuts(self, strings: list[str]) -> list[list[int]]:
