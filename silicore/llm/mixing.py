@@ -124,7 +124,7 @@ def _plan(docs: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame,
     order = Window.orderBy("__m_s")  # one row a source
     total = Window.partitionBy()
     size = size.withColumn("__m_all", F.sum("__m_w").over(total)).withColumn("__m_slots", F.sum("__m_size").over(total))
-    size = size.withColumn("__m_hi", F.floor(F.sum("__m_w").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("__m_all") * 4294967296.0 + 0.5).cast("bigint"))
+    size = size.withColumn("__m_hi", F.floor(F.coalesce(F.try_divide(F.sum("__m_w").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("__m_all")), F.lit(0.0)) * 4294967296.0 + 0.5).cast("bigint"))
     size = materialize(size.withColumn("__m_lo", F.coalesce(F.lag("__m_hi").over(order), F.lit(0))), "op2-sources")
 
     head = size.agg(F.max("__m_slots"), F.max("__m_all")).first()
