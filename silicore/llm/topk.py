@@ -42,6 +42,7 @@ from .common import materialize, table
 K = 10
 SLICES = 2
 BLOCK = 2048
+PARTITIONS = 64
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -60,14 +61,27 @@ def _blocks(vectors: DataFrame, block: int) -> DataFrame:
     def stack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": [key[0]], "part": [key[1]], "ids": [pdf["vec_id"].to_numpy().tobytes()], "data": [np.stack(pdf["__v"].to_numpy()).astype("<f8").tobytes()]})
 
-    return materialize(keyed.groupBy("__dim", "part").applyInPandas(stack, "dim int, part int, ids binary, data binary"), "op4-blocks")
+    out = materialize(keyed.groupBy("__dim", "part").applyInPandas(stack, "dim int, part int, ids binary, data binary"), "op4-stacked")
+    return materialize(out.repartition(_spread(out)), "op4-blocks")
 
 
-def _pairs(blocks: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    q = blocks.select(*[F.col(c).alias(f"q_{c}") for c in blocks.columns])
-    if extra is not None:
-        q = q.join(extra, ["q_dim", "q_part"])
-    return q.crossJoin(blocks.select(*[F.col(c).alias(f"x_{c}") for c in blocks.columns])).where("q_dim = x_dim")
+def _spread(blocks: DataFrame) -> int:
+    """Partitions of either side of the product: a block each, up to PARTITIONS."""
+    return max(1, min(PARTITIONS, blocks.count()))
+
+
+def _pairs(asking: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every block of queries with every block of objects: a cartesian product, so the
+    tasks are the products of both sides' partitions. Lengths are compared by the tasks."""
+    q = asking.select(*[F.col(c).alias(f"q_{c}") for c in asking.columns])
+    return q.crossJoin(blocks.select(*[F.col(c).alias(f"x_{c}") for c in blocks.columns]))
+
+
+def _alike(it: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    for pdf in it:
+        for _, row in pdf.iterrows():
+            if row["q_dim"] == row["x_dim"]:
+                yield row
 
 
 def _load(row, side: str) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +93,11 @@ def _nodes(dim: int, slices: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cut[:-1], cut[1:])]
 
 
+def _kind(q: np.ndarray, x: np.ndarray) -> type:
+    """Single precision for the selecting products, unless they could overflow it."""
+    return np.float32 if max(np.abs(q).max(), np.abs(x).max()) < 1e15 else np.float64
+
+
 def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i))
     for a in range(0, len(i), 65_536):
@@ -97,56 +116,54 @@ def _best(qid: np.ndarray, i: np.ndarray, ids: np.ndarray, score: np.ndarray, k:
 
 
 def _first_phase(it: Iterator[pd.DataFrame], k: int, slices: int) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        for _, row in pdf.iterrows():
-            qid, q = _load(row, "q")
-            xid, x = _load(row, "x")
-            m = min(k + 1, len(xid))
-            seen = []
-            for node in _nodes(row["x_dim"], slices):
-                part = q[:, node].astype(np.float32) @ x[:, node].astype(np.float32).T
-                seen.append(np.argpartition(-part, m - 1, axis=1)[:, :m] if m < len(xid) else np.broadcast_to(np.arange(m), part.shape))
-            i = np.repeat(np.arange(len(qid)), m * len(seen))
-            j = np.concatenate(seen, axis=1).ravel()
-            pair = np.unique(i * len(xid) + j)
-            i, j = pair // len(xid), pair % len(xid)
-            other = qid[i] != xid[j]
-            i, j = i[other], j[other]
-            yield _best(qid, i, xid[j], _exact(q, x, i, j), k).assign(q_dim=row["x_dim"], q_part=row["q_part"])[["q_part", "row", "score", "q_dim"]]
+    for row in _alike(it):
+        qid, q = _load(row, "q")
+        xid, x = _load(row, "x")
+        m, kind = min(k + 1, len(xid)), _kind(q, x)
+        seen = []
+        for node in _nodes(row["x_dim"], slices):
+            part = q[:, node].astype(kind) @ x[:, node].astype(kind).T
+            seen.append(np.argpartition(-part, m - 1, axis=1)[:, :m] if m < len(xid) else np.broadcast_to(np.arange(m), part.shape))
+        i = np.repeat(np.arange(len(qid)), m * len(seen))
+        j = np.concatenate(seen, axis=1).ravel()
+        pair = np.unique(i * len(xid) + j)
+        i, j = pair // len(xid), pair % len(xid)
+        other = qid[i] != xid[j]
+        i, j = i[other], j[other]
+        yield _best(qid, i, xid[j], _exact(q, x, i, j), k).assign(q_dim=row["x_dim"], q_part=row["q_part"])[["q_part", "row", "score", "q_dim"]]
 
 
 def _second_phase(it: Iterator[pd.DataFrame], k: int, slices: int) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        for _, row in pdf.iterrows():
-            qid, q = _load(row, "q")
-            xid, x = _load(row, "x")
-            cut = np.full(len(qid), -np.inf)
-            cut[np.asarray(row["rows"], int)] = row["cuts"]
-            nodes = _nodes(row["x_dim"], slices)
-            norm = np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0)
-            level = (cut / len(nodes) - 1e-5 * norm - 1e-8).astype(np.float32)
-            level = np.nextafter(level, np.float32(-np.inf))
-            keep = np.zeros((len(qid), len(xid)), bool)
-            for node in nodes:
-                keep |= q[:, node].astype(np.float32) @ x[:, node].astype(np.float32).T >= level[:, None]
-            i, j = np.nonzero(keep)
-            score = _exact(q, x, i, j)
-            good = (score >= cut[i]) & (qid[i] != xid[j])
-            i, j, score = i[good], j[good], score[good]
-            yield _best(qid, i, xid[j], score, k).assign(q_dim=row["x_dim"], q_part=row["q_part"])[["q_dim", "q_part", "row", "vec_id", "hit_id", "score"]]
+    for row in _alike(it):
+        qid, q = _load(row, "q")
+        xid, x = _load(row, "x")
+        cut = np.full(len(qid), -np.inf)
+        cut[np.asarray(row["q_rows"], int)] = row["q_cuts"]
+        nodes, kind = _nodes(row["x_dim"], slices), _kind(q, x)
+        norm = np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0)
+        level = np.nextafter((cut / len(nodes) - 1e-5 * norm - 1e-8).astype(kind), kind(-np.inf))
+        keep = np.zeros((len(qid), len(xid)), bool)
+        for node in nodes:
+            keep |= q[:, node].astype(kind) @ x[:, node].astype(kind).T >= level[:, None]
+        i, j = np.nonzero(keep)
+        score = _exact(q, x, i, j)
+        good = (score >= cut[i]) & (qid[i] != xid[j])
+        i, j, score = i[good], j[good], score[good]
+        yield _best(qid, i, xid[j], score, k).assign(q_dim=row["x_dim"], q_part=row["q_part"])[["q_dim", "q_part", "row", "vec_id", "hit_id", "score"]]
 
 
 def search(vectors: DataFrame, k: int = K, slices: int = SLICES, block: int = BLOCK) -> DataFrame:
     """(vec_id, rank, neighbor_id, score): the k best of every vector, rank from 1."""
     blocks = _blocks(vectors, block)
-    lists = _pairs(blocks).mapInPandas(lambda it: _first_phase(it, k, slices), "q_part int, row int, score double, q_dim int")
+    lists = _pairs(blocks, blocks).mapInPandas(lambda it: _first_phase(it, k, slices), "q_part int, row int, score double, q_dim int")
     w = Window.partitionBy("q_dim", "q_part", "row").orderBy(F.desc("score"))
     cut = lists.withColumn("n", F.row_number().over(w)).where(F.col("n") == k).groupBy("q_dim", "q_part").agg(F.collect_list(F.struct("row", "score")).alias("c"))
     cut = materialize(cut.select("q_dim", "q_part", F.expr("transform(c, x -> x.row)").alias("rows"), F.expr("transform(c, x -> x.score)").alias("cuts")), "op4-cutoffs")
-    all_cuts = blocks.selectExpr("dim AS q_dim", "part AS q_part").join(cut, ["q_dim", "q_part"], "left").withColumns({"rows": F.coalesce("rows", F.array().cast("array<int>")), "cuts": F.coalesce("cuts", F.array().cast("array<double>"))})
-    hits = _pairs(blocks, all_cuts).mapInPandas(lambda it: _second_phase(it, k, slices), "q_dim int, q_part int, row int, vec_id bigint, hit_id bigint, score double")
+    cut = cut.withColumnsRenamed({"q_dim": "dim", "q_part": "part"})
+    asking = blocks.join(cut, ["dim", "part"], "left").withColumns({"rows": F.coalesce("rows", F.array().cast("array<int>")), "cuts": F.coalesce("cuts", F.array().cast("array<double>"))})
+    hits = _pairs(asking.repartition(_spread(blocks)), blocks).mapInPandas(lambda it: _second_phase(it, k, slices), "q_dim int, q_part int, row int, vec_id bigint, hit_id bigint, score double")
     best = Window.partitionBy("q_dim", "q_part", "row").orderBy(F.desc("score"), "hit_id")
-    out = hits.dropDuplicates(["q_dim", "q_part", "row", "hit_id", "score"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("vec_id", "rank", F.col("hit_id").alias("neighbor_id"), (F.round(F.col("score") * 1e6) / 1e6).alias("score"))
 
 
