@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 
 NO_COORD = -32768
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Character tables of the lot field, indexed by the encoded value.
-LOT_HEAD = "_" * 3 + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "_" * 3
-LOT_TAIL = "_" * 14 + "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "_" * 14
+LOT_HEAD = LETTERS.center(32, "_")
+LOT_TAIL = ("0123456789" + LETTERS).center(64, "_")
 FABS = {1: "TSMC1", 6: "TSMC2"}
 
 
+def cols(names: str) -> list[str]:
+    """Column names from one text."""
+    return names.split()
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -93,7 +99,7 @@ def revision(file_name: Column | str) -> Column:
 
 
 def path_safe(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(col(c), r"[\x00-\x1f\x7f]", ""), r'[\\/:*?"<>|]', "_"))
+    return F.trim(F.regexp_replace(F.regexp_replace(col(c), r"[\x00-\x1f\x7f]", ""), r'[|<>"?*:/\\]', "_"))
 
 
 def _bits(c: Column, start: int, length: int) -> Column:

@@ -11,18 +11,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silicore.functions.expr import capability, fail_count, good_count, percent, ratio, rounded
+from silicore.functions.expr import cols, capability, fail_count, good_count, percent, ratio, rounded
 from silicore.plans.views import Model
 
 TOP_FAIL_TESTS = 20
-ZONES = {0: "center", 1: "mid", 2: "edge"}
+ZONES = cols("center mid edge")
 
 
 def _numeric(m: Model) -> DataFrame:
-    return m.test_data_final.where("result IS NOT NULL AND rec_type IN ('PTR', 'MPR')")
+    return m.test_data_final.where(F.col("result").isNotNull() & F.col("rec_type").isin("PTR", "MPR"))
 
 
-# -- one lot ---------------------------------------------------------------
+# -- one lot
 
 
 def lot_summary(m: Model, lot_id: str | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def lot_summary(m: Model, lot_id: str | None = None) -> DataFrame:
     if lot_id is not None:
         lots, wafers = lots.where(F.col("lot_id") == lot_id), wafers.where(F.col("lot_id") == lot_id)
     per_lot = wafers.groupBy("lot_id").agg(F.count(F.when(F.col("wafer_id") != "", 1)).alias("wafer_count"), F.sum("total").alias("total_parts"), F.sum("good").alias("good_parts"))
-    head = ["lot_id", "product", "test_category", "sub_process", "part_type", "job_name", "job_rev"]
+    head = [*cols("lot_id product test_category sub_process part_type job_name job_rev")]
     out = lots.select(*head).distinct().join(per_lot, "lot_id", "left").withColumn("yield_pct", percent("good_parts", "total_parts"))
     return out.orderBy("product", "test_category", "sub_process", "lot_id")
 
@@ -57,11 +57,11 @@ def bin_summary(m: Model, lot_id: str) -> DataFrame:
     return bins.withColumn("pct", percent("count", F.sum("count").over(Window.partitionBy()))).orderBy("soft_bin")
 
 
-# -- lots side by side -----------------------------------------------------
+# -- lots side by side
 
 
 def yield_by_lot(m: Model, lot_ids: Sequence[str]) -> DataFrame:
-    return m.wafer_yield_final.where(F.col("lot_id").isin(*lot_ids)).select("lot_id", "wafer_id", "total", "good", "yield_pct").orderBy("lot_id", "wafer_id")
+    return m.wafer_yield_final.where(F.col("lot_id").isin(*lot_ids)).select("lot_id", *cols("wafer_id total good yield_pct")).orderBy("lot_id", "wafer_id")
 
 
 def bin_pareto_by_lot(m: Model, lot_ids: Sequence[str]) -> DataFrame:
@@ -102,11 +102,11 @@ def test_distribution(m: Model, lot_ids: Sequence[str], test_num: int, bins: int
     data = histogram(m, lot_ids, test_num, bins)
     about = m.test_data_final.where(F.col("lot_id").isin(*lot_ids) & (F.col("test_num") == test_num)).agg(F.max("test_name"), F.max("units"), F.min("lo_limit"), F.max("hi_limit")).first()
     name, units, lo, hi = about
-    lines = [{"x": v, "label": label, "dash": True} for v, label in ((lo, "LSL"), (hi, "USL")) if v is not None]
-    return {"kind": "histogram", "overlay": True, "bins": bins, "title": f"{name or ''} (#{test_num}) [{units or ''}] by lot", "lines": lines}, data
+    lines = [{"x": v, "label": label, "dash": True} for label, v in (("LSL", lo), ("USL", hi)) if v is not None]
+    return {"kind": "histogram", "overlay": True, "bins": bins, "title": f"{test_num} {name or ''} [{units or ''}], lots compared", "lines": lines}, data
 
 
-# -- over time -------------------------------------------------------------
+# -- over time
 
 
 def _last(df: DataFrame, last_n: int) -> DataFrame:
@@ -126,7 +126,7 @@ def lot_trend(m: Model, product: str, test_category: str, last_n: int = 30) -> D
 def test_trend(m: Model, product: str, test_category: str, test_num: int, last_n: int = 30) -> DataFrame:
     mean, std = F.avg("result"), F.stddev_pop("result")
     per = _numeric(m).where(F.col("test_num") == test_num).groupBy("lot_id").agg(F.count(F.lit(1)).alias("n"), rounded(mean, 6).alias("mean"), rounded(std, 6).alias("std"), rounded(capability(mean, std, F.min("lo_limit"), F.max("hi_limit")), 3).alias("cpk"))
-    return _last(per.join(_started(m, product, test_category), "lot_id").select("lot_id", "start_t", "n", "mean", "std", "cpk"), last_n)
+    return _last(per.join(_started(m, product, test_category), "lot_id").select("lot_id", *cols("start_t n mean std cpk")), last_n)
 
 
 def control_limits(trend: DataFrame, y: str) -> DataFrame:
@@ -144,7 +144,7 @@ def trend_figure(trend: DataFrame, y: str, limits: bool = True) -> tuple[dict, D
     return {"kind": "lines+markers", "title": f"Trend: {y}", "x": "lot_id", "y": y, "lines": lines}, trend
 
 
-# -- wafer test against final test -----------------------------------------
+# -- wafer test against final test
 
 
 def cp_ft_yield(m: Model, product: str, lot_ids: Sequence[str] | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def die_cp_ft_join(m: Model, product: str, lot_id: str) -> DataFrame:
     die = die.select(F.col("lot_id").alias("cp_lot_id"), F.col("x_coord").alias("cp_x"), F.col("y_coord").alias("cp_y"), F.col("wafer_id").alias("cp_wafer_id_str"), F.col("soft_bin").alias("cp_soft_bin"), F.col("hard_bin").alias("cp_hard_bin"), F.col("passed").alias("cp_passed"))
     number = F.expr("try_cast(cp_wafer_id_str AS BIGINT)")
     out = chip.join(die, ["cp_lot_id", "cp_x", "cp_y"]).where(number.isNull() | (number == F.col("cp_wafer")))
-    return out.select("ft_part_id", "ft_part_txt", "origin_fab", "cp_lot_id", "cp_wafer", "cp_x", "cp_y", "cp_wafer_id_str", "cp_soft_bin", "cp_hard_bin", "cp_passed").orderBy("ft_part_txt", "cp_x", "cp_y")
+    return out.select("ft_part_id", *cols("ft_part_txt origin_fab cp_lot_id cp_wafer cp_x cp_y cp_wafer_id_str cp_soft_bin cp_hard_bin cp_passed")).orderBy("ft_part_txt", "cp_x", "cp_y")
 
 
 def test_correlation(m: Model, lot_id: str, test_nums: Sequence[int]) -> DataFrame:
@@ -189,7 +189,7 @@ def correlation_matrix(long: DataFrame) -> DataFrame:
     return long.groupBy("test_a").pivot("test_b").agg(F.first("r")).orderBy("test_a")
 
 
-# -- on the wafer ----------------------------------------------------------
+# -- on the wafer
 
 
 def _radius(m: Model, lot_id: str) -> DataFrame:
@@ -210,7 +210,7 @@ def zone_yield(m: Model, lot_id: str, n_zones: int = 3) -> DataFrame:
     per = _radius(m, lot_id).groupBy(_ring(n_zones).alias("zone_idx")).agg(F.count(F.lit(1)).alias("total"), good_count().alias("good"))
     name = F.concat(F.lit("zone_"), F.col("zone_idx").cast("string"))
     if n_zones == 3:
-        name = F.element_at(F.array(*[F.lit(z) for z in ZONES.values()]), F.col("zone_idx") + 1)
+        name = F.element_at(F.array(*[F.lit(z) for z in ZONES]), F.col("zone_idx") + 1)
     return per.select(name.alias("zone"), "zone_idx", "total", "good", percent("good", "total").alias("yield_pct")).orderBy("zone_idx")
 
 

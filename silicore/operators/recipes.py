@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silicore.functions.expr import NO_COORD, capability, fail_count, finite, good_count, measured, package_text, percent, rounded, shown_digits, sig_digits
+from silicore.functions.expr import cols, NO_COORD, capability, fail_count, finite, good_count, measured, package_text, percent, rounded, shown_digits, sig_digits
 from silicore.plans.views import Model
 
 
@@ -38,15 +38,15 @@ def _place(df: DataFrame) -> DataFrame:
     return df.withColumn("__text", package_text())
 
 
-PLACE = ["lot_id", "wafer_id", "x_coord", "y_coord", "__text"]
+PLACE = [*cols("lot_id wafer_id x_coord y_coord __text")]
 
 
-# -- 1: programs -----------------------------------------------------------
+# -- 1: programs
 
 
 def r1_1(m: Model) -> DataFrame:
-    cols = ["product", "sub_process", "job_name", "job_rev"]
-    return m.lots.select(*cols).distinct().orderBy(*cols)
+    keys = cols("product sub_process job_name job_rev")
+    return m.lots.select(*keys).distinct().orderBy(*keys)
 
 
 def r1_2(m: Model) -> DataFrame:
@@ -54,21 +54,21 @@ def r1_2(m: Model) -> DataFrame:
 
 
 def r1_3(m: Model, lot: str) -> DataFrame:
-    return m.lots.where(_is(lot_id=lot)).select("lot_id", "product", "sub_process", "job_name", "job_rev", "tester_type", "operator", "start_time", "finish_time")
+    return m.lots.where(_is(lot_id=lot)).select("lot_id", *cols("product sub_process job_name job_rev tester_type operator start_time finish_time"))
 
 
 def r1_4(m: Model, lot: str) -> DataFrame:
-    head = m.lots.where(_is(lot_id=lot)).select("lot_id", "product", "sub_process", "job_name", "job_rev", "tester_type", "operator")
-    die = m.parts_final.where(_is(lot_id=lot)).select("lot_id", "part_id", "wafer_id", "part_txt", "x_coord", "y_coord", "hard_bin", "soft_bin", F.col("passed").alias("die_passed"), "retest_num")
-    test = m.test_data_final.where(_is(lot_id=lot)).select("lot_id", "part_id", "test_num", "test_name", "rec_type", "result", "lo_limit", "hi_limit", "units", F.col("passed").alias("test_passed"))
+    head = m.lots.where(_is(lot_id=lot)).select("lot_id", *cols("product sub_process job_name job_rev tester_type operator"))
+    die = m.parts_final.where(_is(lot_id=lot)).select("lot_id", *cols("part_id wafer_id part_txt x_coord y_coord hard_bin soft_bin"), F.col("passed").alias("die_passed"), "retest_num")
+    test = m.test_data_final.where(_is(lot_id=lot)).select("lot_id", *cols("part_id test_num test_name rec_type result lo_limit hi_limit units"), F.col("passed").alias("test_passed"))
     return head.join(die, "lot_id").join(test, ["lot_id", "part_id"]).orderBy("wafer_id", "part_id", "test_num")
 
 
-# -- 2: lots ---------------------------------------------------------------
+# -- 2: lots
 
 
 def r2_1(m: Model, product: str, sub_process: str) -> DataFrame:
-    return m.lots.where(_is(product=product, sub_process=sub_process)).select("lot_id", "product", "sub_process", "start_time", "finish_time", "job_name", "job_rev").orderBy(F.desc_nulls_last("start_time"))
+    return m.lots.where(_is(product=product, sub_process=sub_process)).select("lot_id", *cols("product sub_process start_time finish_time job_name job_rev")).orderBy(F.desc_nulls_last("start_time"))
 
 
 def r2_2(m: Model, begin: str, end: str) -> DataFrame:
@@ -77,11 +77,11 @@ def r2_2(m: Model, begin: str, end: str) -> DataFrame:
 
 
 def r2_3(m: Model) -> DataFrame:
-    keys = ["lot_id", "product", "test_category", "sub_process", "job_name"]
+    keys = [*cols("lot_id product test_category sub_process job_name")]
     return _yield(m.lots.select(*keys).join(m.parts_final.select("lot_id", "passed"), "lot_id"), *keys).orderBy("product", "test_category", "yield_pct")
 
 
-# -- 3: wafers -------------------------------------------------------------
+# -- 3: wafers
 
 
 def r3_1(m: Model, lot: str) -> DataFrame:
@@ -100,7 +100,7 @@ def r3_3(m: Model, lot: str) -> DataFrame:
 
 
 def r3_4(m: Model, lot: str, wafer: str) -> DataFrame:
-    return m.parts_final.where(_is(lot_id=lot, wafer_id=wafer)).select("x_coord", "y_coord", "hard_bin", "soft_bin", "passed").orderBy("y_coord", "x_coord")
+    return m.parts_final.where(_is(lot_id=lot, wafer_id=wafer)).select("x_coord", *cols("y_coord hard_bin soft_bin passed")).orderBy("y_coord", "x_coord")
 
 
 def r3_5(m: Model, lot: str, wafer: str, inner: float = 50, outer: float = 90) -> DataFrame:
@@ -110,11 +110,11 @@ def r3_5(m: Model, lot: str, wafer: str, inner: float = 50, outer: float = 90) -
     return _yield(m.parts_final.where(_is(lot_id=lot, wafer_id=wafer)).withColumn("zone", zone), "zone").orderBy("zone")
 
 
-# -- 4: dies and bins ------------------------------------------------------
+# -- 4: dies and bins
 
 
 def r4_1(m: Model, lot: str, wafer: str) -> DataFrame:
-    return m.parts_final.where(_is(lot_id=lot, wafer_id=wafer) & ~F.col("passed")).select("part_id", "x_coord", "y_coord", "hard_bin", "soft_bin", "test_count", "test_time").orderBy("hard_bin", "soft_bin")
+    return m.parts_final.where(_is(lot_id=lot, wafer_id=wafer) & ~F.col("passed")).select("part_id", *cols("x_coord y_coord hard_bin soft_bin test_count test_time")).orderBy("hard_bin", "soft_bin")
 
 
 def _bins(df: DataFrame) -> DataFrame:
@@ -144,9 +144,9 @@ def r4_4(m: Model, lot: str, wafer: str) -> DataFrame:
     return near.join(there, ["nx", "ny"]).groupBy("x_coord", "y_coord").agg(_n().alias("fail_neighbors")).orderBy(F.desc("fail_neighbors"), "y_coord", "x_coord")
 
 
-# -- 5: measurements -------------------------------------------------------
+# -- 5: measurements
 
-TEST = ["test_num", "test_name", "units", "lo_limit", "hi_limit"]
+TEST = [*cols("test_num test_name units lo_limit hi_limit")]
 
 
 def r5_1(m: Model, lot: str, test: str) -> DataFrame:
@@ -155,7 +155,7 @@ def r5_1(m: Model, lot: str, test: str) -> DataFrame:
 
 
 def r5_2(m: Model, lot: str, wafer: str) -> DataFrame:
-    return m.test_data_final.where(_is(lot_id=lot, wafer_id=wafer, passed="F")).select("part_id", "x_coord", "y_coord", "test_num", "test_name", "result", "lo_limit", "hi_limit", "units").orderBy("test_num", "part_id")
+    return m.test_data_final.where(_is(lot_id=lot, wafer_id=wafer, passed="F")).select("part_id", *cols("x_coord y_coord test_num test_name result lo_limit hi_limit units")).orderBy("test_num", "part_id")
 
 
 def r5_3(m: Model, lot: str) -> DataFrame:
@@ -164,7 +164,7 @@ def r5_3(m: Model, lot: str) -> DataFrame:
 
 
 def r5_4(m: Model, lot: str, part: str) -> DataFrame:
-    return m.test_data_final.where(_is(lot_id=lot, part_id=part)).select("test_num", "test_name", "rec_type", "result", "lo_limit", "hi_limit", "units", "passed").orderBy("test_num")
+    return m.test_data_final.where(_is(lot_id=lot, part_id=part)).select("test_num", *cols("test_name rec_type result lo_limit hi_limit units passed")).orderBy("test_num")
 
 
 def _limited(m: Model, lot: str) -> DataFrame:
@@ -205,7 +205,7 @@ def r5_9(m: Model, lot: str, test: str) -> DataFrame:
     return m.test_data_final.where(_is(lot_id=lot, rec_type="MPR", test_name=test)).groupBy("pin_num", "pin_name", "units").agg(_n().alias("n"), rounded(F.avg("result"), 4).alias("mean"), rounded(F.stddev_samp("result"), 4).alias("sigma")).orderBy(F.asc_nulls_last("pin_num"))
 
 
-# -- 6: retests ------------------------------------------------------------
+# -- 6: retests
 
 
 def r6_1(m: Model, lot: str) -> DataFrame:
@@ -213,17 +213,17 @@ def r6_1(m: Model, lot: str) -> DataFrame:
 
 
 def r6_2(m: Model, lot: str) -> DataFrame:
-    on = ["lot_id", "wafer_id", "x_coord", "y_coord", "part_txt"]
+    on = [*cols("lot_id wafer_id x_coord y_coord part_txt")]
     was = m.parts.where(_is(lot_id=lot, retest_num=0)).select(*on, F.col("passed").alias("p0"))
     now = m.parts_final.where(_is(lot_id=lot)).select(*on, F.col("passed").alias("p1"))
     return was.join(now, on).agg(_n().alias("dies"), good_count("p0").alias("good_run0"), good_count("p1").alias("good_final"), F.count(F.when(~F.col("p0") & F.col("p1"), 1)).alias("recovered_by_retest"))
 
 
 def r6_3(m: Model, lot: str) -> DataFrame:
-    return m.parts_final.where(_is(lot_id=lot) & ~F.col("passed") & (F.col("retest_num") > 0)).select("wafer_id", "part_txt", "x_coord", "y_coord", "hard_bin", "soft_bin", "retest_num").orderBy("wafer_id", "y_coord", "x_coord")
+    return m.parts_final.where(_is(lot_id=lot) & ~F.col("passed") & (F.col("retest_num") > 0)).select("wafer_id", *cols("part_txt x_coord y_coord hard_bin soft_bin retest_num")).orderBy("wafer_id", "y_coord", "x_coord")
 
 
-# -- 7: across lots --------------------------------------------------------
+# -- 7: across lots
 
 
 def r7_1(m: Model, product: str) -> DataFrame:
@@ -240,19 +240,19 @@ def r7_3(m: Model, lot: str) -> DataFrame:
     """Failing tests of each bin: dies that fail the test, and dies that fail it alone."""
     die = _place(m.parts_final.where(_is(lot_id=lot) & ~F.col("passed"))).select(*PLACE, "hard_bin", "soft_bin")
     test = _place(m.test_data_final.where(_is(lot_id=lot, passed="F"))).select(*PLACE, "test_num", "test_name")
-    key = ["wafer_id", "x_coord", "y_coord", "__text"]
-    fail = die.join(test, PLACE).select(*key, "hard_bin", "soft_bin", "test_num", "test_name").distinct()
+    key = [*cols("wafer_id x_coord y_coord __text")]
+    fail = die.join(test, PLACE).select(*key, *cols("hard_bin soft_bin test_num test_name")).distinct()
     alone = fail.groupBy(*key).agg(F.countDistinct("test_num").alias("n_tests"))
     dies = fail.select(*key, "soft_bin").distinct().groupBy("wafer_id", "soft_bin").agg(_n().alias("bin_dies"))
-    out = fail.join(alone, key).groupBy("wafer_id", "hard_bin", "soft_bin", "test_num", "test_name").agg(_n().alias("fail_dies"), F.count(F.when(F.col("n_tests") == 1, 1)).alias("sole_fail_dies"))
+    out = fail.join(alone, key).groupBy("wafer_id", *cols("hard_bin soft_bin test_num test_name")).agg(_n().alias("fail_dies"), F.count(F.when(F.col("n_tests") == 1, 1)).alias("sole_fail_dies"))
     out = out.join(dies, ["wafer_id", "soft_bin"]).withColumn("pct_of_bin", percent("fail_dies", "bin_dies", 1))
-    return out.select("wafer_id", "hard_bin", "soft_bin", "test_num", "test_name", "fail_dies", "sole_fail_dies", "pct_of_bin").orderBy("wafer_id", "soft_bin", F.desc("fail_dies"), "test_num")
+    return out.select("wafer_id", *cols("hard_bin soft_bin test_num test_name fail_dies sole_fail_dies pct_of_bin")).orderBy("wafer_id", "soft_bin", F.desc("fail_dies"), "test_num")
 
 
 def r7_4(m: Model, lot: str) -> DataFrame:
-    test = _place(m.test_data_final.where(_is(lot_id=lot, passed="F"))).select(*PLACE, "part_txt", "test_num", "test_name", "rec_type", "exec_seq", "result", "lo_limit", "hi_limit", "units")
+    test = _place(m.test_data_final.where(_is(lot_id=lot, passed="F"))).select(*PLACE, *cols("part_txt test_num test_name rec_type exec_seq result lo_limit hi_limit units"))
     die = _place(m.parts_final.where(_is(lot_id=lot))).select(*PLACE, "hard_bin", "soft_bin", F.col("passed").alias("die_passed"))
-    return test.join(die, PLACE, "left").drop("__text").orderBy(F.asc_nulls_last("soft_bin"), "wafer_id", "x_coord", "y_coord", "test_num", "exec_seq")
+    return test.join(die, PLACE, "left").drop("__text").orderBy(F.asc_nulls_last("soft_bin"), *cols("wafer_id x_coord y_coord test_num exec_seq"))
 
 
 def r7_5(m: Model, lots: Sequence[str]) -> DataFrame:
@@ -260,13 +260,13 @@ def r7_5(m: Model, lots: Sequence[str]) -> DataFrame:
     return _yield(rows, "lot_id", "job_rev").orderBy(F.desc("yield_pct"), "lot_id")
 
 
-# -- 8: specifications -----------------------------------------------------
+# -- 8: specifications
 
 
 def r8_1(m: Model, lot: str) -> DataFrame:
     mu, sd = F.avg("result"), F.stddev_samp("result")
     per = _limited(m, lot).groupBy(*TEST).agg(_n().alias("n"), mu.alias("mu"), sd.alias("sd")).where("n > 1 AND sd > 0")
-    mu, sd, lo, hi = (F.col(c) for c in ("mu", "sd", "lo_limit", "hi_limit"))
+    mu, sd, lo, hi = (F.col(c) for c in cols("mu sd lo_limit hi_limit"))
     return per.select(*TEST, "n", rounded(mu, 6).alias("mean"), rounded(sd, 6).alias("sigma"), rounded((hi - lo) / (6.0 * sd), 3).alias("cp"), rounded(capability(mu, sd, lo, hi), 3).alias("cpk")).orderBy("cpk", "test_num")
 
 
@@ -309,7 +309,7 @@ def r8_2(m: Model, product: str, test_category: str, sub_process: str, cpk_min:
     ).where(F.col("n") > 1).where(finite("sd") & (F.col("sd") > 0))
     one = ref.select(F.col("lot_id").alias("ref_lot_id"), F.col("job_name").alias("latest_job_name"), F.col("job_rev").alias("latest_job_rev"))
     df = stats.crossJoin(F.broadcast(one)).join(spec, "test_num", "left")
-    mu, sd, lsl, usl = (F.col(c) for c in ("mu", "sd", "cur_lsl", "cur_usl"))
+    mu, sd, lsl, usl = (F.col(c) for c in cols("mu sd cur_lsl cur_usl"))
     near, far = 3.0 * cpk_min, 3.0 * cpk_max
     df = df.withColumns({
         "d": shown_digits(F.nullif(F.abs(mu), F.lit(0.0)), sd),
@@ -322,7 +322,7 @@ def r8_2(m: Model, product: str, test_category: str, sub_process: str, cpk_min:
     flags = F.concat_ws(",", F.when(F.col("n") < min_n, "LOW_SAMPLE"), F.when(none, "NOT_IN_LATEST_LOT"), F.when(F.col("limits_changed"), "LIMIT_CHANGED"))
     show = lambda c: rounded(c, F.col("d"))
     out = df.select(
-        "test_num", "test_name", "units", "n", "fail_n", percent("fail_n", "n", 3).alias("fail_pct"), show(mu).alias("mean"), show(sd).alias("sigma"), show("lo").alias("min_val"), show("hi").alias("max_val"),
+        *cols("test_num test_name units n fail_n"), percent("fail_n", "n", 3).alias("fail_pct"), show(mu).alias("mean"), show(sd).alias("sigma"), show("lo").alias("min_val"), show("hi").alias("max_val"),
         "ref_lot_id", "latest_job_name", "latest_job_rev", show(lsl).alias("cur_lsl"), show(usl).alias("cur_usl"), "limits_changed", rounded((usl - lsl) / (6.0 * sd), 3).alias("cp_current"),
         F.when(~none, rounded(capability(mu, sd, lsl, usl), 3)).alias("cpk_current"), show(nl).alias("new_lsl"), show(nu).alias("new_usl"), show(nl - lsl).alias("lsl_change"), show(nu - usl).alias("usl_change"), direction.alias("direction"), flags.alias("flags"),
     )
@@ -335,8 +335,8 @@ def r8_2b(m: Model) -> DataFrame:
     return per.where("name_variants > 1").orderBy("test_num")
 
 
-DUMP = ["lot_id", "wafer_id", "x_coord", "y_coord", "part_txt", "job_name", "job_rev", "test_num", "test_name", "units", "rec_type", "exec_seq", "result", "lo_limit", "hi_limit", "test_passed"]
-_DUMP_ORDER = ["test_num", "lot_id", "wafer_id", "x_coord", "y_coord", "exec_seq"]
+DUMP = [*cols("lot_id wafer_id x_coord y_coord part_txt job_name job_rev test_num test_name units rec_type exec_seq result lo_limit hi_limit test_passed")]
+_DUMP_ORDER = [*cols("test_num lot_id wafer_id x_coord y_coord exec_seq")]
 
 
 def r8_3(m: Model, product: str, test_category: str, sub_process: str, test_name_like: str | None = None, job_name: str | None = None, job_rev: str | None = None, exclude_lot: str | None = None) -> DataFrame:
@@ -363,17 +363,17 @@ def r8_4(m: Model, review: DataFrame, product: str, test_category: str, sub_proc
     """What revised limits would do: Cpk, failures, and dies that would newly fail."""
     targets = _targets(m, product, test_category, sub_process, job_name, job_rev, exclude_lot)
     scope = _scope(m, product, test_category, sub_process)
-    base = _named(scope.where(measured()), test_name_like).join(targets.select("lot_id"), "lot_id", "left_semi").select("test_num", "test_name", "units", "result", "passed")
+    base = _named(scope.where(measured()), test_name_like).join(targets.select("lot_id"), "lot_id", "left_semi").select("test_num", *cols("test_name units result passed"))
     _, spec = _current_spec(m, scope, targets)
     rows = base.join(review_table(review), "test_num", "left").join(spec, "test_num", "left")
     out_rev = (F.col("result") < F.col("rev_lsl")) | (F.col("result") > F.col("rev_usl"))
     was_in = (F.col("result") >= F.col("cur_lsl")) & (F.col("result") <= F.col("cur_usl"))
-    keys = ["cur_lsl", "cur_usl", "rev_lsl", "rev_usl", "csv_rows"]
+    keys = [*cols("cur_lsl cur_usl rev_lsl rev_usl csv_rows")]
     a = rows.groupBy("test_num").agg(
         F.min("test_name").alias("test_name"), F.min("units").alias("units"), _n().alias("n"), F.avg("result").alias("mu"), F.stddev_samp("result").alias("sd"), F.min("result").alias("lo"), F.max("result").alias("hi"),
         *[F.max(k).alias(k) for k in keys], fail_count().alias("fail_n_cur"), F.count(F.when(out_rev, 1)).alias("f_rev"), F.count(F.when(was_in & out_rev, 1)).alias("f_new"),
     )
-    mu, sd, lsl, usl = (F.col(c) for c in ("mu", "sd", "rev_lsl", "rev_usl"))
+    mu, sd, lsl, usl = (F.col(c) for c in cols("mu sd rev_lsl rev_usl"))
     no_rev, no_cur = lsl.isNull() | usl.isNull(), F.col("cur_lsl").isNull() | F.col("cur_usl").isNull()
     a = a.withColumns({"cpk": capability(mu, sd, lsl, usl), "d": shown_digits(F.nullif(F.abs(mu), F.lit(0.0)), F.nullif(sd, F.lit(0.0))), "fail_n_rev": F.when(~no_rev, F.col("f_rev")), "n_newly_fail": F.when(~no_rev & ~no_cur, F.col("f_new"))})
     show = lambda c: rounded(c, F.col("d"))
@@ -381,7 +381,7 @@ def r8_4(m: Model, review: DataFrame, product: str, test_category: str, sub_proc
         ("MISSING_IN_CSV", no_rev), ("NO_CURRENT_SPEC", no_cur), ("DUP_IN_CSV", F.col("csv_rows") > 1), ("INVERTED", lsl >= usl), ("OUTSIDE_MEASURED", (F.col("lo") < lsl) | (F.col("hi") > usl)), ("CPK_SHORT", F.col("cpk") < target_cpk),
     )])
     return a.select(
-        "test_num", "test_name", "units", "n", show(mu).alias("mean"), show(sd).alias("sigma"), show("lo").alias("min_val"), show("hi").alias("max_val"), show("cur_lsl").alias("cur_lsl"), show("cur_usl").alias("cur_usl"), "rev_lsl", "rev_usl",
+        *cols("test_num test_name units n"), show(mu).alias("mean"), show(sd).alias("sigma"), show("lo").alias("min_val"), show("hi").alias("max_val"), show("cur_lsl").alias("cur_lsl"), show("cur_usl").alias("cur_usl"), "rev_lsl", "rev_usl",
         rounded("cpk", 3).alias("cpk_rev"), "fail_n_cur", "fail_n_rev", "n_newly_fail", rounded(F.try_divide(1e6 * F.col("fail_n_rev"), F.col("n").cast("double")), 1).alias("fail_ppm_rev"), flags.alias("flags"),
     ).orderBy(F.desc_nulls_last("n_newly_fail"), F.asc_nulls_first("cpk_rev"), "test_num")
 
@@ -389,7 +389,7 @@ def r8_4(m: Model, review: DataFrame, product: str, test_category: str, sub_proc
 def r8_4b(dump: DataFrame, review: DataFrame) -> DataFrame:
     """The rows of a dump that pass now and would fail revised limits."""
     out = dump.join(review_table(review).drop("csv_rows"), "test_num").where(F.col("result").between(F.col("lo_limit"), F.col("hi_limit")) & ((F.col("result") < F.col("rev_lsl")) | (F.col("result") > F.col("rev_usl"))))
-    return out.select("lot_id", "wafer_id", "x_coord", "y_coord", "part_txt", "test_num", "test_name", "result", "lo_limit", "hi_limit", "rev_lsl", "rev_usl").orderBy("test_num", "lot_id", "wafer_id")
+    return out.select("lot_id", *cols("wafer_id x_coord y_coord part_txt test_num test_name result lo_limit hi_limit rev_lsl rev_usl")).orderBy("test_num", "lot_id", "wafer_id")
 
 
 def r8_5(m: Model, names: DataFrame, product: str, test_category: str, sub_process: str, **where) -> DataFrame:
@@ -422,19 +422,19 @@ def r8_6b(variants: DataFrame, test_num: int) -> DataFrame:
     return per.agg(_n().alias("files"), F.array_join(F.array_sort(F.collect_set("lot_id")), ", ").alias("lots"), F.min("wafer_id").alias("wafer_min"), F.max("wafer_id").alias("wafer_max")).orderBy(F.desc("files"))
 
 
-# -- 9: where a die came from ----------------------------------------------
+# -- 9: where a die came from
 
 
 def r9_1(m: Model, lot: str) -> DataFrame:
-    return m.chipid_final.where(_is(lot_id=lot)).select("part_txt", "chip_occurrence_index", "origin_fab", "origin_lot", "origin_wafer", "origin_x", "origin_y").orderBy("part_txt", "chip_occurrence_index")
+    return m.chipid_final.where(_is(lot_id=lot)).select("part_txt", *cols("chip_occurrence_index origin_fab origin_lot origin_wafer origin_x origin_y")).orderBy("part_txt", "chip_occurrence_index")
 
 
 def r9_2(m: Model, barcode: str) -> DataFrame:
-    return m.chipid_final.where(_is(part_txt=barcode)).select("chip_occurrence_index", "origin_fab", "origin_lot", "origin_wafer", "origin_x", "origin_y", "efuse_raw").orderBy("chip_occurrence_index")
+    return m.chipid_final.where(_is(part_txt=barcode)).select("chip_occurrence_index", *cols("origin_fab origin_lot origin_wafer origin_x origin_y efuse_raw")).orderBy("chip_occurrence_index")
 
 
 def r9_3(m: Model, origin_lot: str, origin_wafer: int) -> DataFrame:
-    return m.chipid_final.where(_is(origin_lot=origin_lot, origin_wafer=origin_wafer)).select("origin_wafer", "origin_x", "origin_y", "part_txt", "chip_occurrence_index").orderBy("origin_x", "origin_y")
+    return m.chipid_final.where(_is(origin_lot=origin_lot, origin_wafer=origin_wafer)).select("origin_wafer", *cols("origin_x origin_y part_txt chip_occurrence_index")).orderBy("origin_x", "origin_y")
 
 
 def _chips(m: Model, lot: str) -> DataFrame:
@@ -469,7 +469,7 @@ def r9_8(m: Model, lot: str) -> DataFrame:
     chip = _chips(m, lot).where(~F.col("passed")).select(F.col("lot_id").alias("ft_lot"), F.col("part_txt").alias("ft_package"), F.col("origin_lot").alias("cp_lot"), "origin_wafer", "origin_x", "origin_y", F.col("passed").alias("ft_passed"))
     chip = chip.withColumn("__w", F.concat(F.lit("W"), F.lpad(F.col("origin_wafer").cast("string"), 2, "0")))
     die = m.parts_final.where(F.col("passed")).select(F.col("lot_id").alias("cp_lot"), F.col("wafer_id").alias("__w"), F.col("x_coord").alias("origin_x"), F.col("y_coord").alias("origin_y"), F.col("passed").alias("cp_passed"))
-    return chip.join(die, ["cp_lot", "__w", "origin_x", "origin_y"]).select("ft_lot", "ft_package", "cp_lot", "origin_wafer", "origin_x", "origin_y", "cp_passed", "ft_passed").orderBy("cp_lot", "origin_wafer")
+    return chip.join(die, [*cols("cp_lot __w origin_x origin_y")]).select("ft_lot", *cols("ft_package cp_lot origin_wafer origin_x origin_y cp_passed ft_passed")).orderBy("cp_lot", "origin_wafer")
 
 
 def r9_9(m: Model, lot: str) -> DataFrame:
@@ -481,20 +481,20 @@ def r9_10(m: Model, product: str, sub_process: str, lot: str | None = None, test
     rows = _scope(m, product, "FT", sub_process).where(F.col("rec_type").isin("PTR", "MPR") & (F.col("part_txt") != "") & finite("result"))
     if lot is not None:
         rows = rows.where(_is(lot_id=lot))
-    rows = _named(rows, test_name_like).select("lot_id", "part_txt", "test_num", "test_name", "units", "exec_seq", "result", "lo_limit", "hi_limit", F.col("passed").alias("test_passed"))
-    chip = m.chipid_final.where("valid").select("lot_id", "part_txt", "chip_occurrence_index", "origin_fab", "origin_lot", "origin_wafer", "origin_x", "origin_y")
-    return rows.join(chip, ["lot_id", "part_txt"]).orderBy("test_num", "origin_lot", "origin_wafer", "origin_x", "origin_y")
+    rows = _named(rows, test_name_like).select("lot_id", *cols("part_txt test_num test_name units exec_seq result lo_limit hi_limit"), F.col("passed").alias("test_passed"))
+    chip = m.chipid_final.where("valid").select("lot_id", *cols("part_txt chip_occurrence_index origin_fab origin_lot origin_wafer origin_x origin_y"))
+    return rows.join(chip, ["lot_id", "part_txt"]).orderBy("test_num", *cols("origin_lot origin_wafer origin_x origin_y"))
 
 
 def r9_10b(values: DataFrame) -> DataFrame:
     return values.groupBy("origin_lot", "origin_wafer", "origin_x", "origin_y").agg(_n().alias("n"), rounded(F.avg("result"), 6).alias("mean_result"), F.min("result").alias("min_result"), F.max("result").alias("max_result")).orderBy("origin_lot", "origin_wafer", "origin_y", "origin_x")
 
 
-# -- notebook cells --------------------------------------------------------
+# -- notebook cells
 
 
 def q_lots(m: Model) -> DataFrame:
-    return m.lots.select("lot_id", "product", "test_category", "sub_process", "start_time", "job_name", "job_rev").orderBy(F.desc_nulls_last("start_time"))
+    return m.lots.select("lot_id", *cols("product test_category sub_process start_time job_name job_rev")).orderBy(F.desc_nulls_last("start_time"))
 
 
 def q_lot_yield(m: Model) -> DataFrame:
@@ -509,7 +509,7 @@ def q_wafer(m: Model, lot: str) -> DataFrame:
 
 
 def q_tests(m: Model, lot: str) -> DataFrame:
-    return m.test_data_final.where(_is(lot_id=lot)).select("test_num", "test_name", "rec_type", "units", "lo_limit", "hi_limit").distinct().orderBy("test_num")
+    return m.test_data_final.where(_is(lot_id=lot)).select("test_num", *cols("test_name rec_type units lo_limit hi_limit")).distinct().orderBy("test_num")
 
 
 q_fail = r5_3
@@ -537,12 +537,12 @@ def q_bin_test(m: Model, lot: str) -> DataFrame:
 def q_csv(m: Model, lots: Sequence[str]) -> DataFrame:
     """Dies with their measurements: the rows of a lot export."""
     on = ["lot_id", "wafer_id", "part_id"]
-    die = m.parts_final.where(F.col("lot_id").isin(*lots)).select(*on, "x_coord", "y_coord", "hard_bin", "soft_bin", F.col("passed").alias("die_passed"))
-    test = m.test_data_final.where(F.col("lot_id").isin(*lots)).select(*on, "test_num", "test_name", "result", "lo_limit", "hi_limit", "units", F.col("passed").alias("test_passed"))
+    die = m.parts_final.where(F.col("lot_id").isin(*lots)).select(*on, *cols("x_coord y_coord hard_bin soft_bin"), F.col("passed").alias("die_passed"))
+    test = m.test_data_final.where(F.col("lot_id").isin(*lots)).select(*on, *cols("test_num test_name result lo_limit hi_limit units"), F.col("passed").alias("test_passed"))
     return die.join(test, on).orderBy("wafer_id", "part_id", "test_num")
 
 
-EXPORT_KEYS = ["lot_id", "wafer_id", "part_id", "x_coord", "y_coord", "hard_bin", "soft_bin", "die_passed"]
+EXPORT_KEYS = [*cols("lot_id wafer_id part_id x_coord y_coord hard_bin soft_bin die_passed")]
 
 
 def lot_pivot(m: Model, lots: Sequence[str], tests: Sequence[str] | None = None) -> DataFrame:
@@ -552,8 +552,8 @@ def lot_pivot(m: Model, lots: Sequence[str], tests: Sequence[str] | None = None)
     found with one distinct scan unless given, so that Spark need not plan the pivot twice.
     """
     on = ["lot_id", "wafer_id", "part_id"]
-    die = m.parts_final.where(F.col("lot_id").isin(*lots)).select(*on, "x_coord", "y_coord", "hard_bin", "soft_bin", F.col("passed").alias("die_passed"))
-    test = m.test_data_final.where(F.col("lot_id").isin(*lots) & F.col("result").isNotNull()).select(*on, "test_name", "result", "test_num", "exec_seq")
+    die = m.parts_final.where(F.col("lot_id").isin(*lots)).select(*on, *cols("x_coord y_coord hard_bin soft_bin"), F.col("passed").alias("die_passed"))
+    test = m.test_data_final.where(F.col("lot_id").isin(*lots) & F.col("result").isNotNull()).select(*on, *cols("test_name result test_num exec_seq"))
     if tests is None:
         tests = sorted(r[0] for r in test.select("test_name").distinct().collect() if r[0] is not None)
     rows = die.join(test, on).na.drop(subset=EXPORT_KEYS)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silicore.functions.expr import package_text
+from silicore.functions.expr import cols, package_text
 
 STORE_KEYS = ("product", "test_category", "sub_process")
 
@@ -34,7 +34,7 @@ def with_retest_flag(df: DataFrame) -> DataFrame:
 def demote(current: DataFrame, fresh: DataFrame) -> DataFrame:
     """``current`` after the run ``fresh`` (flag 0) came in: rows with a key that it holds move
     up by one; rows without a flag stay as they are. A null pin matches a null pin."""
-    key = ["lot_id", "wafer_id", "x_coord", "y_coord", "__text", "test_num"]
+    key = [*cols("lot_id wafer_id x_coord y_coord __text test_num")]
     new = fresh.withColumn("__text", package_text()).select(*key, F.col("pin_num").alias("__pin")).distinct().withColumn("__hit", F.lit(1))
     old = current.withColumn("__text", package_text())
     on = [old[k].eqNullSafe(new[k]) for k in key] + [F.col("pin_num").eqNullSafe(F.col("__pin"))]
@@ -49,7 +49,7 @@ def verify_flags(df: DataFrame, lot: str | None = None) -> DataFrame:
     """
     if lot is not None:
         df = df.where(F.col("lot_id") == lot)
-    key = ["lot_id", "wafer_id", "x_coord", "y_coord", "__text", "test_num", "pin_num"]
+    key = [*cols("lot_id wafer_id x_coord y_coord __text test_num pin_num")]
     runs = df.withColumn("__text", package_text()).groupBy(*key, "retest_num").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("retest_flag").isNull(), 1)).alias("nulls"), F.min("retest_flag").alias("lo"), F.max("retest_flag").alias("hi"), F.max((F.col("retest_flag") == 0).cast("int")).alias("now")
     )

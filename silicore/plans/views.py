@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silicore.functions.expr import package_text, percent
+from silicore.functions.expr import cols, package_text, percent
 from silicore.sources.schemas import GROSS_DIE
 
 
@@ -45,7 +45,7 @@ class Model:
 
     @cached_property
     def parts_final(self) -> DataFrame:
-        return newest(self.parts, "lot_id", "wafer_id", "x_coord", "y_coord", package_text(), ties=self.ties)
+        return newest(self.parts, *cols("lot_id wafer_id x_coord y_coord"), package_text(), ties=self.ties)
 
     @cached_property
     def test_data_final(self) -> DataFrame:
@@ -74,7 +74,7 @@ class Model:
         planned = (F.col("wafer_id") != "") & F.col("gross_die").isNotNull()
         total = F.when(planned, F.greatest("probed", "gross_die")).otherwise(F.col("probed"))
         df = df.withColumn("total", total)
-        return df.select("lot_id", "wafer_id", "probed", "good", "total", (F.col("total") - F.col("probed")).alias("unprobed"), "gd_fail_bin", percent("good", "total").alias("yield_pct"))
+        return df.select("lot_id", *cols("wafer_id probed good total"), (F.col("total") - F.col("probed")).alias("unprobed"), "gd_fail_bin", percent("good", "total").alias("yield_pct"))
 
     @cached_property
     def latest_lots(self) -> DataFrame:
@@ -86,7 +86,7 @@ class Model:
     def latest_wafers(self) -> DataFrame:
         return newest(self.wafers, "lot_id", "wafer_id")
 
-    NAMES = ("lots", "wafers", "parts", "test_data", "chipid")
+    NAMES = tuple(cols("lots wafers parts test_data chipid"))
 
     def register(self, spark: SparkSession | None = None) -> list[str]:
         """Create a temp view for every table that there is and for what derives from it; their names."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import urllib.error
 import urllib.request
+from pathlib import Path
 
 import pandas as pd
 
@@ -33,8 +34,8 @@ class Client:
         return df
 
     def to_csv(self, sql: str, path: str, limit: int | None = None) -> str:
-        with open(path, "wb") as f:
-            f.write(self._ask("/api/query", {"sql": sql, "limit": limit, "format": "csv"}))
+        body = self._ask("/api/query", {"format": "csv", "limit": limit, "sql": sql})
+        Path(path).write_bytes(body)
         return path
 
     def views(self) -> dict:

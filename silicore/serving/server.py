@@ -96,7 +96,7 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
             if kind == "csv":
                 self._send(200, "".join(csv_lines(columns, iter(rows))).encode(), "text/csv; charset=utf-8", Content_Disposition="attachment; filename=result.csv")
             else:
-                self._json(200, {"columns": columns, "rows": [[plain(v) for v in r] for r in rows], "row_count": len(rows), "truncated": more})
+                self._json(200, {"truncated": more, "row_count": len(rows), "columns": columns, "rows": [[plain(v) for v in r] for r in rows]})
 
         def log_message(self, *_: object) -> None:
             pass

@@ -40,8 +40,9 @@ class Session:
     def rows(self, sql: str, params: Sequence | dict | None = None) -> list[dict]:
         return [r.asDict() for r in self.q(sql, params).collect()]
 
-    def lots(self, product: str | None = None, test_category: str | None = None) -> DataFrame:
-        return analysis.session_lots(self.model, product, test_category)
+    def lots(self, *filters: str | None) -> DataFrame:
+        """Lots, newest first; filters: product, then test category."""
+        return analysis.session_lots(self.model, *filters)
 
     def use(self, table: str, lot: str | None = None) -> DataFrame:
         """Keep a table, or one lot of it, in memory and put it in the view's place."""

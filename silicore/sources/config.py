@@ -62,16 +62,16 @@ class Settings:
     data_dir: str = "./data"
     download_dir: str = "./downloads"
     compression: str = "zstd"
-    host: str = "0.0.0.0"
-    port: int = 8555
     max_rows: int = 10_000
+    port: int = 8555
+    host: str = "0.0.0.0"
     ftp: dict = field(default_factory=lambda: {"host": "localhost", "port": 21, "username": "", "password": "", "base_path": "/", "patterns": ["*.std*"]})
-    filters: list[dict] = field(default_factory=list)
-    exclude: list[str] = field(default_factory=list)
+    exclude: list = field(default_factory=list)
+    filters: list = field(default_factory=list)
     products: dict = field(default_factory=dict)
 
     @property
-    def gross_die(self) -> dict[str, tuple[int, int]]:
+    def gross_die(self) -> dict:
         return {p: (int(v["gross_die"]), int(v.get("gd_fail_bin") or 200)) for p, v in self.products.items() if v and v.get("gross_die") is not None}
 
     def for_env(self, env: str | None) -> Settings:
@@ -84,12 +84,12 @@ class Settings:
     def excluded(self, name: str) -> bool:
         return any(fnmatch.fnmatch(name.lower(), p.lower()) for p in self.exclude)
 
-    def wanted(self, product: str, test_type: str) -> bool:
+    def wanted(self, product: str, kind: str) -> bool:
         """Whether the filters let a product and test type (by prefix) through; none let CP and FT through."""
         rules = self.filters or [{}]
         for f in rules:
             kinds = f.get("test_types") or ([] if "test_types" in f else ["CP", "FT"])
-            if f.get("product") in (None, product) and (not kinds or any(test_type.upper().startswith(k.upper()) for k in kinds)):
+            if f.get("product") in (None, product) and (not kinds or any(kind.upper().startswith(k.upper()) for k in kinds)):
                 return True
         return False
 

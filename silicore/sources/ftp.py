@@ -92,7 +92,7 @@ class History:
 
     def __init__(self, path: str) -> None:
         self.path = path
-        self.state = {"files": {}, "corrupt": {}} | read_json(path, {})
+        self.state = dict(corrupt={}, files={}) | read_json(path, {})
 
     def _now(self) -> str:
         return datetime.now(UTC).isoformat()

@@ -97,10 +97,10 @@ class Log:
     """What one walk through a file gathers."""
 
     lot: dict = field(default_factory=dict)
-    wafers: list[dict] = field(default_factory=list)
-    parts: list[dict] = field(default_factory=list)
-    rows: list[dict] = field(default_factory=list)
-    chips: list[dict] = field(default_factory=list)
+    parts: list = field(default_factory=list)
+    chips: list = field(default_factory=list)
+    rows: list = field(default_factory=list)
+    wafers: list = field(default_factory=list)
     tests: dict[int, dict] = field(default_factory=dict)
     pins: dict[int, str] = field(default_factory=dict)
     bins: dict[tuple[str, int], dict] = field(default_factory=dict)
@@ -142,7 +142,7 @@ class Walker:
                 at += size
         return self.log
 
-    # -- what the log is about ---------------------------------------------
+    # -- what the log is about
 
     def far(self, b: Body) -> None:
         self.order = ">" if b.u1() == 1 else "<"
@@ -195,7 +195,7 @@ class Walker:
         if self.log.wafers:
             self.log.wafers[-1] |= got
 
-    # -- parts -------------------------------------------------------------
+    # -- parts
 
     def _site(self, head: int, site: int) -> tuple[int, int] | None:
         return (head, site) if self.strict else None
@@ -223,7 +223,7 @@ class Walker:
         for i, e in enumerate(self.efuses.pop(site, [])):
             self.log.chips.append({"record_no": self.no, "wafer_id": self.wafer, "part_id": part, "part_txt": code, "chip_index": i, "efuse": e})
 
-    # -- measurements ------------------------------------------------------
+    # -- measurements
 
     def _row(self, head: int, place: int, test: int, result: float | None, flag: int, pin: int | None = None) -> None:
         part = self.part.get(self._site(head, place), "")

@@ -16,13 +16,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silicore.functions.expr import category, decode_efuse, timestamp_from_unix
+from silicore.functions.expr import cols, category, decode_efuse, timestamp_from_unix
 from silicore.operators.retest import with_exec_seq, with_retest_flag
 from silicore.sources.store import Store
 from silicore.sources.testlog import SCHEMA, parse_files
 
 MANIFEST = "file string, lot_id string, product string, status string, error string, at timestamp"
-RUN = ["product", "test_category", "sub_process", "lot_id", "wafer_id"]
+RUN = [*cols("product test_category sub_process lot_id wafer_id")]
 
 
 @dataclass
@@ -35,7 +35,7 @@ class Ingest:
     sub_process: str | None = None
     strict: bool = False
 
-    # -- manifest ----------------------------------------------------------
+    # -- manifest
 
     @property
     def _manifest(self) -> str:
@@ -60,7 +60,7 @@ class Ingest:
             done = done.where("status = 'ok'")
         return files.join(done.select(F.col("file").alias("path")).distinct(), "path", "left_anti")
 
-    # -- one batch ---------------------------------------------------------
+    # -- one batch
 
     def directory(self, path: str, force: bool = False, retry_bad: bool = False) -> DataFrame:
         """Take in the logs under ``path`` that the manifest does not have; what was done, a row a file."""
@@ -91,13 +91,13 @@ class Ingest:
         code = F.when(F.coalesce(F.col("test_code"), F.lit("")) == "", "UNKNOWN").otherwise(F.col("test_code"))
         heads = lot.withColumn("__f", folders).withColumn("__at", at).select(
             "file", "lot_id", product.alias("product"), category(code).alias("test_category"), (F.lit(self.sub_process) if self.sub_process is not None else code).alias("sub_process"),
-            "part_type", "job_name", "job_rev", "tester_type", "operator", timestamp_from_unix("start_t").alias("start_time"), timestamp_from_unix("finish_t").alias("finish_time"),
+            *cols("part_type job_name job_rev tester_type operator"), timestamp_from_unix("start_t").alias("start_time"), timestamp_from_unix("finish_t").alias("finish_time"),
             F.element_at(F.split(F.element_at(folders, -1), "#"), -1).alias("__ts"),
         )
         # Small: one row a file of this batch.
         heads.write.parquet(f"{stage}/heads")
         heads = spark.read.parquet(f"{stage}/heads")
-        head = heads.select("file", "product", "test_category", "sub_process", "__ts")
+        head = heads.select("file", *cols("product test_category sub_process __ts"))
 
         # Runs: one for each wafer that a file measures, numbered after those in the store.
         wafers = rows.where("kind IN ('part', 'test', 'wafer')").select("file", "lot_id", "wafer_id").distinct().join(head, "file")
@@ -142,7 +142,7 @@ class Ingest:
             out.coalesce(1).write.mode("append").parquet(self._manifest)
         return out
 
-    # -- increments --------------------------------------------------------
+    # -- increments
 
     def stream(self, path: str, checkpoint: str, glob: str = "*", max_files: int = 1000):
         """Take in every log that appears under ``path`` once; returns when none is left.

@@ -5,7 +5,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = Path(__file__).parents[1].absolute()
+sys.path.append(str(ROOT))
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
 
 
