@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from silicore.operators import analysis
@@ -61,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _fetch(args: argparse.Namespace, settings: config.Settings, store: Store) -> int:
-    from silicore.sources.ftp import Fetcher, History, fetch_new
+    from silicore.sources.ftp import Fetcher, History, fetch_new, quarantine
 
     history = History(f"{settings.download_dir}/history.json")
     with Fetcher(settings) as f:
@@ -70,11 +71,15 @@ def _fetch(args: argparse.Namespace, settings: config.Settings, store: Store) ->
     bad = len(got["corrupt"]) + len(got["failed"])
     if not args.no_ingest:
         done = Ingest(store, args.product).directory(settings.download_dir, retry_bad=args.retry_corrupt).collect()
-        ok = {r.file.removeprefix("file:") for r in done if r.status == "ok"}
+        state = {os.path.abspath(r.file.removeprefix("file:")): r for r in done}
         bad += sum(r.status != "ok" for r in done)
         for remote, f in history.pending():
-            if any(p.endswith(f["local_path"].removeprefix(".")) for p in ok):
+            r = state.get(os.path.abspath(f["local_path"]))
+            if r is not None and r.status == "ok":
                 history.ingested(remote)
+            elif r is not None:
+                del history.state["files"][remote]
+                history.corrupt(remote, f["product"], f["test_type"], r.error, quarantine(f["local_path"], settings.download_dir))
     return int(bad > 0)
 
 

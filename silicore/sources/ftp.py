@@ -120,6 +120,14 @@ class History:
         return [(r, f) for r, f in self.state["files"].items() if not f["ingested"]]
 
 
+def quarantine(path: str, root: str) -> str:
+    """Move a file that cannot be read to ``root``/_corrupt; its new place."""
+    target = Path(root) / "_corrupt" / Path(path).name
+    target.parent.mkdir(parents=True, exist_ok=True)
+    os.replace(path, target)
+    return str(target)
+
+
 def fetch_new(fetcher: Fetcher, history: History, folder: str, retry_corrupt: bool = False, limit: int | None = None) -> dict[str, list[str]]:
     """Download what is new; damaged files are noted and not tried again unless asked for.
 

@@ -65,6 +65,7 @@ class Ingest:
     def directory(self, path: str, force: bool = False, retry_bad: bool = False) -> DataFrame:
         """Take in the logs under ``path`` that the manifest does not have; what was done, a row a file."""
         files = self.store.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        files = files.where(~F.col("path").rlike("/_corrupt/|/history\\.json$"))
         return self.batch(self.pending(files, force, retry_bad))
 
     def batch(self, files: DataFrame) -> DataFrame:

@@ -184,6 +184,37 @@ def test_fetch(tmp_path):
     assert json.loads((tmp_path / "h.json").read_text())["corrupt"] and len(h.pending()) == 2
 
 
+def test_fetch_command(spark, tmp_path, monkeypatch):
+    from silicore import cli
+    from silicore.sources import ftp
+
+    class Server(FakeFtp):
+        tree = {"": ["P"], "/P": ["CP1"], "/P/CP1": ["L1"], "/P/CP1/L1": ["a#1.std.gz", "b#2.std"]}
+        files = {"a#1.std.gz": gzip.compress(wafer_test("L1")), "b#2.std": gzip.compress(wafer_test("L1"))[:-20]}
+
+    monkeypatch.setattr(ftp.Fetcher.__init__, "__defaults__", (Server,))
+    f = tmp_path / "c.yaml"
+    f.write_text(f"storage:\n  data_dir: {tmp_path}/store\n  download_dir: {tmp_path}/dl\n")
+    assert cli.main(["-c", str(f), "fetch"], spark) == 1
+    h = History(f"{tmp_path}/dl/history.json")
+    assert not h.pending() and list(h.state["corrupt"]) == ["/P/CP1/L1/b#2.std"]
+    assert (tmp_path / "dl/_corrupt/b#2.std").exists()
+    assert Store(spark, f"{tmp_path}/store").model().parts.count() == 4
+    assert cli.main(["-c", str(f), "fetch"], spark) == 0
+
+
+def test_diagnose():
+    from silicore.sources.diagnose import compare_downloads, gzip_report
+
+    a = gzip.compress(b"x" * 5000) + gzip.compress(b"y" * 10)
+    assert [m.plain for m in gzip_report(a).members] == [5000, 10] and gzip_report(a).verdict == "ok"
+    assert gzip_report(a[:-3]).verdict == "truncated" and gzip_report(b"abc").verdict == "not gzip"
+    broken = bytearray(a)
+    broken[20] ^= 0xFF
+    assert gzip_report(bytes(broken)).verdict in ("damaged", "truncated")
+    assert compare_downloads(a, a) == "both downloads are whole" and "differ" in compare_downloads(a, a[:-3])
+
+
 def test_cli(store, spark, tmp_path, capsys):
     from silicore import cli
 
