@@ -30,8 +30,8 @@ token counts where it occurs twice among the sets that a task holds at once) and
 table of frequent tokens is broadcast, its threshold doubling until it fits. Nothing
 caps the partners of a set. Texts are scanned, not shuffled; what is shuffled are the
 prefixes, and the sets of candidates, once for each group of candidates: a set's
-group is that of its first neighbour. Groups too large for one task are verified pair
-by pair in joins.
+group is that of its first neighbour. A group too large for one task is cut into
+parts, and every two parts are verified together.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fits, materialize, small, table
+from .common import BROADCAST_ROWS, fits, materialize, release, small, table
 from .sentencepiece_bpe import buffers, gather, slices
 
 N = 2
@@ -57,9 +57,11 @@ COUNTED = 6_000_000
 #: Tokens that two similar sets must share within their prefixes.
 SHARED = 3
 #: Index entries of a partition: few large partitions, in which a pair's meetings add up.
-INDEX_ROWS = 4_000_000
-#: Candidates' sets that one task verifies together.
-GROUP_SETS = 20_000
+INDEX_ROWS = 3_000_000
+#: Candidates' sets that are verified together.
+GROUP_SETS = 2_000
+#: Meetings that a task holds at once.
+HELD = 1_000_000
 BLOCK = 64
 _SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -137,28 +139,37 @@ def _each_slice(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _survey(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: (set, document, size). Kind 1: (token, count) of tokens met twice or more."""
-    held: list[np.ndarray] = []
     names = ["kind", "a", "b", "size"]
+    held, n = np.empty(COUNTED, np.uint64), 0
 
     def counted() -> Iterator[pa.RecordBatch]:
-        if held:
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            k, c = k[c > 1], c[c > 1]
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), _signed(k), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(k), np.int64))], names=names)
+        """Counts of the held tokens, which are sorted in place to save memory."""
+        nonlocal n
+        t, n = held[:n], 0
+        t.sort()
+        again = np.zeros(len(t) + 1, bool)
+        again[1:-1] = t[1:] == t[:-1]
+        begin, end = np.flatnonzero(again[1:] & ~again[:-1]), np.flatnonzero(again[:-1] & ~again[1:])
+        k = len(begin)
+        for i in range(0, k, 100_000):
+            s = slice(i, i + 100_000)
+            size = len(begin[s])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int32)), _signed(t[begin[s]]), pa.array(end[s] - begin[s] + 1), pa.array(np.zeros(size, np.int64))], names=names)
 
-    n = 0
     for part in _each_slice(it):
-        sets = sets_of(part.column("text"))
+        sets = [s for s in sets_of(part.column("text"))]
         rows = [(set_id(s), d, len(s)) for s, d in zip(sets, part.column("doc_id").to_pylist()) if len(s)]
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=names)
         # a set that occurs again within the slice counts once
-        held.extend({r[0]: s for r, s in zip(rows, (s for s in sets if len(s)))}.values())
-        n += sum(map(len, sets))
-        if n > COUNTED:
-            yield from counted()
-            n = 0
+        for s in {r[0]: s for r, s in zip(rows, (s for s in sets if len(s)))}.values():
+            for a in range(0, len(s), COUNTED):
+                more = s[a : a + COUNTED]
+                if n + len(more) > COUNTED:
+                    yield from counted()
+                held[n : n + len(more)] = more
+                n += len(more)
     yield from counted()
+    release()
 
 
 def _prefixes(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -267,12 +278,16 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         return a[head], b[head], np.minimum(SHARED, np.add.reduceat(met, head))
 
-    def emit() -> Iterator[pa.RecordBatch]:
-        if sum(len(f[0]) for f in found):
+    def emit(most: int) -> Iterator[pa.RecordBatch]:
+        """Add up what is held; give it out if it is still more than ``most``."""
+        if sum(len(f[0]) for f in found) > most:
             cols = merged()
+            found.clear()
+            if len(cols[0]) <= most // 2:
+                found.append(cols)
+                return
             for i in range(0, len(cols[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["a", "b", "met"])
-        found.clear()
 
     parts: list[list[np.ndarray]] = []
     n = 0
@@ -287,13 +302,13 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scan([c[:at] for c in cols])
         parts = [[c[at:] for c in cols]]
         n = len(cols[0]) - at if at else 0
-        if sum(len(f[0]) for f in found) > INDEX_ROWS:
-            yield from emit()
+        yield from emit(HELD)
     if parts:
         cols = [np.concatenate(x) for x in zip(*parts)]
         if len(cols[0]):
             scan(cols)
-    yield from emit()
+    yield from emit(0)
+    release()
 
 
 def _wanted_sets(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -384,6 +399,7 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush()
     close()
     yield from flush()
+    release()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -432,7 +448,14 @@ def _similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     lead = cand.selectExpr("a AS node", "b AS other").union(cand.selectExpr("b", "a")).groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("comp"))
     pairs = materialize(cand.join(lead.withColumnRenamed("node", "a"), "a"), "op10-groups")
-    comp = materialize(pairs.select("comp", F.col("a").alias("sid")).union(pairs.select("comp", "b")).distinct(), "op10-members")
+    member = lambda p: p.select("comp", F.col("a").alias("sid")).union(p.select("comp", "b")).distinct()
+    cut = F.ceil(F.count(F.lit(1)) / F.lit(GROUP_SETS / 2)).cast("int").alias("cut")
+    large = materialize(member(pairs).groupBy("comp").agg(cut).where("cut > 2"), "op10-large")
+    if not large.isEmpty():
+        x, y = (F.pmod(F.xxhash64(c), F.col("cut")) for c in ("a", "b"))
+        pairs = pairs.join(small(large), "comp", "left")
+        pairs = materialize(pairs.withColumn("comp", F.when(F.col("cut").isNull(), F.col("comp")).otherwise(F.xxhash64("comp", F.least(x, y), F.greatest(x, y)))).drop("cut"), "op10-parts")
+    comp = materialize(member(pairs), "op10-members")
     sets_ddl = "comp bigint, sid bigint, tokens array<bigint>"
     if fits(comp, 4 * BROADCAST_ROWS):
         got = comp.toArrow()
@@ -444,16 +467,8 @@ def _similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         every = text.mapInArrow(lambda it: _wanted_sets(it, None), sets_ddl).drop("comp")
         full = every.join(comp, "sid").groupBy("comp", "sid").agg(F.first("tokens").alias("tokens"))
 
-    big = materialize(comp.groupBy("comp").count().where(F.col("count") > GROUP_SETS).select("comp"), "op10-large")
-    none = big.isEmpty()
-    narrow = lambda df: df if none else df.join(small(big), "comp", "left_anti")
-    rows = narrow(full).select("comp", F.col("sid").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens").unionByName(narrow(pairs).select("comp", "a", "b", F.lit(None).cast("array<bigint>").alias("tokens")))
+    rows = full.select("comp", F.col("sid").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens").unionByName(pairs.select("comp", "a", "b", F.lit(None).cast("array<bigint>").alias("tokens")))
     out = rows.repartition("comp").sortWithinPartitions("comp", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a bigint, b bigint, common bigint, size_a bigint, size_b bigint")
-    if not none:
-        some = materialize(full.join(small(big), "comp", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "op10-large-sets")
-        far = pairs.join(small(big), "comp", "left_semi").join(some.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a").join(some.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
-        far = far.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("common"), F.size("ta").cast("bigint").alias("size_a"), F.size("tb").cast("bigint").alias("size_b"))
-        out = out.unionByName(far.where((NUM + DEN) * F.col("common") >= NUM * (F.col("size_a") + F.col("size_b"))))
     return sets, materialize(out, "op10-pairs")
 
 

@@ -40,12 +40,13 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import release, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-#: Distinct cuts that a worker remembers between batches.
-MEMO = 300_000
+#: Distinct cuts that a task remembers, and pairs of tokens whose fit a worker remembers.
+MEMO = 200_000
+FITS = 300_000
 #: Bytes of text that are encoded at once.
 SLICE = 2 << 20
 
@@ -204,6 +205,8 @@ class Encoder:
         memo, out = self.memo, []
         if len(memo) + len(strings) > MEMO:
             memo.clear()
+        if len(self.fit) > FITS:
+            self.fit.clear()
         for s in strings:
             ids = memo.get(s)
             if ids is None:
@@ -295,6 +298,8 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
             for part in slices(batch, "text"):
                 ids = enc.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, pc.list_value_length(ids)], names=[*keep, "ids", "n_tokens"])
+        enc.memo.clear()
+        release()
 
     return src.mapInArrow(run, schema)
 
@@ -321,6 +326,8 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for part in slices(batch, "text"):
                 ids = enc.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pc.list_value_length(ids), enc.decode(ids)], names=["doc_id", "ids", "n_tokens", "decoded"])
+        enc.memo.clear()
+        release()
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens int, decoded string")
 
