@@ -60,7 +60,8 @@ SHARED = 3
 INDEX_ROWS = 3_000_000
 #: Candidates' sets that are verified together.
 GROUP_SETS = 2_000
-#: Meetings that a task holds at once.
+#: Index entries that a task scans, and meetings that it holds, at once.
+SCANNED = 200_000
 HELD = 1_000_000
 BLOCK = 64
 _SLICE = 1 << 20
@@ -269,32 +270,32 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(tok):
             a, b, met, need = list_pairs(tok, sid, sp >> 32, sp & 0xFFFFFFFF)
             # Pairs that need fewer meetings than SHARED are given the rest.
-            found.append((a, b, met + SHARED - need))
+            found.append((a, b, np.minimum(SHARED, met + SHARED - need).astype(np.int8)))
 
     def merged() -> tuple[np.ndarray, ...]:
         a, b, met = (np.concatenate(c) for c in zip(*found))
+        found.clear()
         order = np.lexsort((b, a))
         a, b, met = a[order], b[order], met[order]
         head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return a[head], b[head], np.minimum(SHARED, np.add.reduceat(met, head))
+        return a[head], b[head], np.minimum(SHARED, np.add.reduceat(met, head, dtype=np.int64)).astype(np.int8)
 
     def emit(most: int) -> Iterator[pa.RecordBatch]:
         """Add up what is held; give it out if it is still more than ``most``."""
         if sum(len(f[0]) for f in found) > most:
             cols = merged()
-            found.clear()
             if len(cols[0]) <= most // 2:
                 found.append(cols)
                 return
             for i in range(0, len(cols[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in cols], names=["a", "b", "met"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in cols], names=["a", "b", "met"])
 
     parts: list[list[np.ndarray]] = []
     n = 0
     for batch in it:
         parts.append([c.to_numpy() for c in batch.columns])
         n += batch.num_rows
-        if n < 500_000:
+        if n < SCANNED:
             continue
         cols = [np.concatenate(x) for x in zip(*parts)]
         at = int(np.searchsorted(cols[0], cols[0][-1]))
