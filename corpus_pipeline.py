@@ -38,8 +38,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, ids, n_tokens) of every block."""
-    return sentencepiece_bpe.encode(docs, keep=("doc_id", "source", "lang"))
+    """(doc_id, source, lang, ids, n_tokens) of every document's piece of every block."""
+    return sentencepiece_bpe.encode(mixing.by_document(docs), keep=("doc_id", "source", "lang"))
 
 
 STAGES = [

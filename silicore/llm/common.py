@@ -34,9 +34,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs a reread, never a recomputation.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, tag))
+
+
+def stored(df: DataFrame, tag: str) -> str:
+    """The path in the shared folder where ``df`` now lies as Parquet."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

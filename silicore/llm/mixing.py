@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import materialize, small, table
+from .common import materialize, small, stored, table
 
 BLOCK = 512
 SHARD = 1024
@@ -53,6 +53,8 @@ _P = 2147483647
 _WS = r"[ \t\n\r\f]"
 _TOKEN = rf"{_WS}*[^ \t\n\r\f]+|{_WS}+\z"
 _NONE = "\u0001"
+#: Metadata of a block's text: where the table of its documents lies.
+BLOCKS = "op2-blocks"
 
 
 def _mix(a: str, b: str, c: str, div: str) -> str:
@@ -173,20 +175,67 @@ def _blocks(docs: DataFrame, split: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(shard, slot, source, lang, block, epoch, doc_ids, text, n_tokens), one row a slot."""
+    out = _slots(docs, weights)
+    return out.select("shard", "slot", "source", "lang", "block", "epoch", F.expr("transform(__m_ps, x -> x.doc_id)").alias("doc_ids"), _joined().alias("text"), "n_tokens")
+
+
+def _joined():
+    return F.expr("array_join(transform(__m_ps, x -> x.p), '')")
+
+
+def _slots(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """One row a slot, with the pieces of its block."""
     split, plan = _plan(docs, weights)
     # The plan has one row a stream and is hashed on the blocks' own partitioning.
     out = _blocks(docs, split).join(plan.hint("shuffle_hash"), ["__m_s", "__m_l", "__m_i"])
     out = out.select("*", F.explode(F.expr("__m_plan[int(__m_b)].__m_d")).alias("__m_d"))
     source = F.when(F.col("__m_s") != _NONE, F.col("__m_s")).alias("source")
-    return out.select("__m_d.shard", "__m_d.slot", source, "lang", "__m_d.block", "__m_d.epoch", F.expr("transform(__m_ps, x -> x.doc_id)").alias("doc_ids"), F.expr("array_join(transform(__m_ps, x -> x.p), '')").alias("text"), "n_tokens")
+    return out.select("__m_d.shard", "__m_d.slot", source, "lang", "__m_d.block", "__m_d.epoch", "__m_ps", "n_tokens")
 
 
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The mixture as rows of the columns of ``docs``: each slot's block is a document
-    whose id is that of the document it begins with."""
-    mixed = mix(docs, weights)
-    made = {"doc_id": F.element_at("doc_ids", 1), "text": F.col("text"), "lang": F.col("lang"), "source": F.col("source"), "n_chars": F.char_length("text")}
-    return mixed.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in docs.schema])
+    whose id is that of the document it begins with.
+
+    All documents of a block are in a table beside it, (shard, slot, key, pieces), whose
+    path the field ``text`` has as metadata; ``by_document`` cuts the blocks by it."""
+    spark = docs.sparkSession
+    lens = F.expr("transform(__m_ps, x -> struct(x.doc_id AS doc_id, char_length(x.p) AS n))")
+    made = {"doc_id": F.expr("__m_ps[0].doc_id"), "text": _joined(), "lang": F.col("lang"), "source": F.col("source"), "n_chars": F.char_length(_joined())}
+    rows = _slots(docs, weights).select(*[made[c].cast(docs.schema[c].dataType).alias(c) for c in made if c in docs.columns], "shard", "slot", lens.alias("pieces"))
+    path = stored(rows.withColumn("key", _block_key()), "op2-blocks")
+    mixed = spark.read.parquet(path)
+    note = lambda f: {"metadata": {BLOCKS: path}} if f.name == "text" else {}
+    return mixed.select(*[(F.col(f.name) if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name, **note(f)) for f in docs.schema])
+
+
+def _block_key():
+    return F.md5(F.to_json(F.struct("doc_id", "source", "lang", "text")))
+
+
+def by_document(blocks: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, text): the rows of ``mix_documents`` cut where another document
+    begins, each piece under its own document's id; a block's pieces follow one another.
+    Rows without a table of blocks, or not in it, are given as they are."""
+    plain = blocks.select("doc_id", "source", "lang", "text")
+    path = blocks.schema["text"].metadata.get(BLOCKS)
+    if path is None:
+        return plain
+    # Blocks of one key look the same: rows of the key take their layouts in turn.
+    one = blocks.sparkSession.read.parquet(path).groupBy("key", "pieces").agg(F.count(F.lit(1)).alias("n"))
+    layouts = one.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "pieces"))).alias("__m_lay"))
+    layouts = materialize(layouts, "op2-layouts")
+    rows = plain.withColumn("key", _block_key())
+    if layouts.where("size(__m_lay) > 1").isEmpty():
+        rows = rows.withColumn("__m_r", F.lit(1))
+    else:
+        rows = rows.withColumn("__m_r", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    rows = rows.join(layouts, "key", "left")
+    mine = """coalesce(get(filter(__m_lay, (v, i) -> aggregate(slice(__m_lay, 1, i + 1), 0L, (s, w) -> s + w.n) >= __m_r), 0), element_at(__m_lay, -1)).pieces"""
+    rows = rows.withColumn("__m_p", F.coalesce(F.expr(mine), F.expr("array(struct(doc_id, char_length(text) AS n))")))
+    cut = "transform(__m_p, (x, i) -> struct(x.doc_id AS doc_id, aggregate(slice(__m_p, 1, i), 0, (s, w) -> s + w.n) AS at, x.n AS n))"
+    rows = rows.select("source", "lang", "text", F.explode(F.expr(cut)).alias("__m_x"))
+    return rows.select(F.col("__m_x.doc_id").cast(blocks.schema["doc_id"].dataType).alias("doc_id"), "source", "lang", F.expr("substring(text, __m_x.at + 1, __m_x.n)").alias("text"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,36 @@ def test_mixing_weights(spark):
     assert mixing.mix(docs, {"absent": 1.0}).count() == 0
 
 
+def test_mixing_names_every_document(spark, monkeypatch, tmp_path):
+    """Every piece of a block comes out under its own document's id, also after a write."""
+    import corpus_pipeline
+    from collections import Counter
+
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    rows = [(i, words(3 + i % 5, i), "en", "a", 1) for i in range(60)] + [(None, "x y z", "en", "a", 1), (None, "x y z", "en", "a", 1), (70, "\u00e9\U0001f600 " + words(40, 9), None, None, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix(docs)
+    want = Counter(i for r in mixed.collect() for i in r.doc_ids)
+    mixing.mix_documents(docs).write.parquet(f"{tmp_path}/b")
+    blocks = spark.read.parquet(f"{tmp_path}/b")
+    cut = mixing.by_document(blocks).collect()
+    assert Counter(r.doc_id for r in cut) == want
+    whole = {r[0]: r[1] + mixing.EOD for r in rows}
+    assert all(r.text in whole[r.doc_id] for r in cut)
+    assert sum(len(r.text) for r in cut) == mixed.agg(F.sum(F.char_length("text"))).first()[0]
+    out = corpus_pipeline.tokens_stage(spark, blocks, "").collect()
+    assert Counter(r.doc_id for r in out) == want and all(len(r.ids) == r.n_tokens > 0 for r in out)
+
+
+def test_blocks_of_one_look_keep_their_own_layouts(spark, tmp_path):
+    rows = [(1, "p q", "en", "a", [(1, 1), (2, 2)])] * 2 + [(1, "p q", "en", "a", [(1, 1), (3, 2)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, pieces array<struct<doc_id: bigint, n: int>>")
+    df.withColumn("key", mixing._block_key()).write.parquet(f"{tmp_path}/t")
+    blocks = df.select("doc_id", F.col("text").alias("text", metadata={mixing.BLOCKS: f"{tmp_path}/t"}), "lang", "source")
+    got = as_rows(mixing.by_document(blocks).select("doc_id", "text"))
+    assert got == sorted([(1, "p")] * 3 + [(2, " q")] * 2 + [(3, " q")], key=repr)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4099])
 def test_permutation(n):
     x = np.arange(n, dtype=np.int64)
