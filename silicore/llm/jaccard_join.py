@@ -20,6 +20,8 @@ Defined results
   * a word is a run of non-space characters, compared as it is; a text with fewer words
     than ``N`` has one n-gram of all its words; null and blank texts have no set and no partner;
   * a null doc_id takes no part in the join; ``drop_near`` keeps such rows;
+  * a doc_id with several texts has a set for each; ``drop_near`` drops only the rows
+    whose own set is a near copy;
   * documents with equal sets have Jaccard 1, whatever their texts;
   * repeated rows count as one document; texts of any length are taken whole;
   * an empty table: no pair; extra columns are ignored, ``drop_near`` carries them through.
@@ -40,9 +42,11 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import BROADCAST_ROWS, fits, materialize, release, small, table
 from .sentencepiece_bpe import buffers, gather, slices
@@ -66,6 +70,7 @@ HELD = 1_000_000
 BLOCK = 64
 _SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+_WORD = r"[^ \t\n\r\f]"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D, 0x0C]] = True
 
@@ -492,16 +497,31 @@ def join(docs: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group of documents linked by
-    similar pairs the one with the smallest doc_id stays. All columns unchanged."""
+    similar pairs the one with the smallest doc_id stays. Where a doc_id has several texts,
+    each row is judged by its own text's set; null and blank texts stay. All columns unchanged."""
     sets, pairs = _similar(docs)
     comp = components(pairs)
     grouped = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left")
-    each = grouped.select(F.coalesce("comp", "sid").alias("comp"), F.explode("docs").alias("__j_doc"))
-    keep = each.groupBy("comp").agg(F.min("__j_doc").alias("__j_keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # A document id stays if it is the keeper of any group that it is in.
-    out = each.join(keep, "comp").groupBy("__j_doc").agg(F.min(F.col("__j_doc") != F.col("__j_keep")).alias("__j_out")).where("__j_out").select("__j_doc")
+    each = grouped.select("sid", F.coalesce("comp", "sid").alias("comp"), F.explode("docs").alias("__j_doc"))
+    keep = each.groupBy("comp").agg(F.min("__j_doc").alias("__j_keep"))
+    # A document id may have several sets: those go that lie in a group that it does not keep.
+    gone = F.collect_list(F.when(F.col("__j_doc") != F.col("__j_keep"), F.col("sid"))).alias("__j_sids")
+    out = each.join(keep, "comp").groupBy("__j_doc").agg(gone, F.count(F.lit(1)).alias("__j_n")).where("size(__j_sids) > 0")
     out = materialize(out, "op10-dropped")
-    return docs.join(small(out, 4 * BROADCAST_ROWS), docs["doc_id"] == out["__j_doc"], "left_anti")
+    all_ = out.where("size(__j_sids) = __j_n").select("__j_doc")
+    kept = docs.join(small(all_, 4 * BROADCAST_ROWS), (F.col("doc_id") == F.col("__j_doc")) & F.col("text").rlike(_WORD), "left_anti")
+    some = out.where("size(__j_sids) < __j_n").drop("__j_n")
+    if some.isEmpty():
+        return kept
+    rows = kept.join(small(some), F.col("doc_id") == F.col("__j_doc"), "left")
+    rows = rows.withColumn("__j_sid", _set_of(F.when(F.col("__j_doc").isNotNull(), F.col("text"))))
+    return rows.where(~F.coalesce(F.array_contains("__j_sids", F.col("__j_sid")), F.lit(False))).drop("__j_doc", "__j_sids", "__j_sid")
+
+
+@F.pandas_udf(LongType())
+def _set_of(texts: pd.Series) -> pd.Series:
+    sets = (None if t is None else sets_of(pa.array([t], pa.string()))[0] for t in texts)
+    return pd.Series([set_id(s) if s is not None and len(s) else None for s in sets], dtype="Int64")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

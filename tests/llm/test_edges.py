@@ -376,6 +376,14 @@ def test_jaccard_defined_results(spark, odd, none):
     assert jaccard_join.join(none).count() == 0 and jaccard_join.drop_near(none).count() == 0
 
 
+def test_drop_near_judges_each_text_of_an_id(spark):
+    near, alone = words(40, 1), words(40, 2)
+    rows = [(1, near), (5, near + " z"), (5, alone), (5, None), (5, " \n"), (7, near + " y"), (7, "  ")]
+    kept = jaccard_join.drop_near(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    assert as_rows(kept) == sorted([(1, near), (5, alone), (5, None), (5, " \n"), (7, "  ")], key=repr)
+
+
 def test_overlaps_derive_from_leaders():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 40, 400).astype(np.uint64)
