@@ -10,15 +10,16 @@ Defined results
   * a document that alone exceeds the limit has a page to itself, ``oversize`` true;
   * repeated rows: each is placed; pages separate them only where they must;
   * an empty table: no shard;
-  * extra columns are ignored.
+  * extra columns: ``shard`` ignores them, ``place`` and ``save`` carry them through.
 
-Only (id, key, bytes) is shuffled, never the text; the directory grows with
+``shard``, the registered query, gives the assignment only: (id, key, bytes) is shuffled,
+never the text. ``save`` writes the shards and moves the text once. The directory grows with
 data / limit and is broadcast behind a size check.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -30,25 +31,57 @@ LIMIT = 8 << 20
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, depth, shard, page, oversize), one row a document; ``shard``
     is the key prefix of ``depth`` bits."""
+    light = materialize(docs.select("doc_id", *_keyed()), "op9-keys")
+    placed = materialize(locate(light, directory(light, limit)), "op9-placed")
+    out = _paged(placed, placed, limit, [F.col("__x_key")])
+    return out.select("doc_id", F.col("__x_bytes").alias("n_bytes"), *_place())
+
+
+def _place() -> list[Column | str]:
+    return [F.col("__x_depth").alias("depth"), F.col("__x_bucket").alias("shard"), "page", "oversize"]
+
+
+def _keyed() -> list[Column]:
     text = F.col("text")
-    light = docs.select(
-        "doc_id",
+    return [
         F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("__x_bytes"),
         F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit("|"), F.coalesce(F.md5(text), F.lit("~")))), 1, 15), 16, 10).cast("bigint").alias("__x_key"),
-    )
-    light = materialize(light, "op9-keys")
-    levels = directory(light, limit)
-    placed = materialize(locate(light, levels), "op9-placed")
-    # Buckets that stayed overfull hold one key: cut them into pages by position.
+    ]
+
+
+def _paged(placed: DataFrame, rows: DataFrame, limit: int, order: list[Column]) -> DataFrame:
+    """``rows`` with page and oversize. Buckets of ``placed`` that stayed overfull hold one
+    key: they are cut into pages by position in ``order``."""
     over = placed.groupBy("__x_depth", "__x_bucket").agg(F.sum("__x_bytes").alias("__x_total"), F.max("__x_bytes").alias("__x_one")).where(F.col("__x_total") > limit)
+    none = {"page": F.lit(0).cast("bigint"), "oversize": F.lit(False)}
     if over.isEmpty():
-        return placed.select("doc_id", F.col("__x_bytes").alias("n_bytes"), F.col("__x_depth").alias("depth"), F.col("__x_bucket").alias("shard"), F.lit(0).cast("bigint").alias("page"), F.lit(False).alias("oversize"))
+        return rows.withColumns(none)
     each = over.withColumn("__x_fit", F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("__x_one"))).cast("bigint")).drop("__x_total")
-    w = Window.partitionBy("__x_depth", "__x_bucket").orderBy("__x_key")
-    paged = placed.join(each, ["__x_depth", "__x_bucket"]).withColumn("page", F.floor((F.row_number().over(w) - 1) / F.col("__x_fit")).cast("bigint")).withColumn("oversize", F.col("__x_bytes") > limit)
-    whole = placed.join(each, ["__x_depth", "__x_bucket"], "left_anti").withColumns({"page": F.lit(0).cast("bigint"), "oversize": F.lit(False)})
-    out = whole.unionByName(paged.drop("__x_one", "__x_fit"))
-    return out.select("doc_id", F.col("__x_bytes").alias("n_bytes"), F.col("__x_depth").alias("depth"), F.col("__x_bucket").alias("shard"), "page", "oversize")
+    w = Window.partitionBy("__x_depth", "__x_bucket").orderBy(*order)
+    paged = rows.join(each, ["__x_depth", "__x_bucket"]).withColumn("page", F.floor((F.row_number().over(w) - 1) / F.col("__x_fit")).cast("bigint")).withColumn("oversize", F.col("__x_bytes") > limit)
+    whole = rows.join(each, ["__x_depth", "__x_bucket"], "left_anti").withColumns(none)
+    return whole.unionByName(paged.drop("__x_one", "__x_fit"))
+
+
+def place(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """All columns of ``docs`` with depth, shard, page and oversize, one row a document."""
+    clash = {c.lower() for c in docs.columns} & {"depth", "shard", "page", "oversize"}
+    if clash:
+        raise ValueError(f"columns have the names of a shard's: {sorted(clash)}")
+    light = materialize(docs.select(*_keyed()), "op9-keys")
+    levels = directory(light, limit)
+    # Equal keys are ordered by the whole row, so that a task that runs again gives the same pages.
+    order = [F.col("__x_key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))]
+    out = _paged(locate(light, levels), locate(docs.select("*", *_keyed()), levels), limit, order)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *_place())
+
+
+def save(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:
+    """Write the shards: Parquet files under ``folder``/depth=/shard=/page=, one a page, with
+    all columns of ``docs``. ``folder`` must not exist; the text is shuffled once."""
+    keys = ["depth", "shard", "page"]
+    placed = place(docs, limit).drop("oversize")
+    placed.repartition(*keys).sortWithinPartitions(*keys).write.partitionBy(*keys).parquet(folder)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

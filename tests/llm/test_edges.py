@@ -311,6 +311,21 @@ def test_sharding(spark, odd, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_writes_whole_shards(spark, odd, none, tmp_path):
+    same = [(None, words(40, 1), "en", f"s{i}", i) for i in range(30)]
+    many = odd.unionByName(spark.createDataFrame(same, DOCS), allowMissingColumns=True)
+    limit = 1500
+    sharding.save(many, f"{tmp_path}/out", limit)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert as_rows(back.select(*[f"`{c}`" for c in many.columns])) == as_rows(many)
+    sizes = lambda df, n: sorted(tuple(r) for r in df.groupBy("depth", "shard", "page").agg(F.sum(n), F.count("*")).collect())
+    assert sizes(back, F.coalesce(F.octet_length("text"), F.lit(0))) == sizes(sharding.shard(many, limit), "n_bytes")
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) == back.select("depth", "shard", "page").distinct().count()
+    assert sharding.place(none).count() == 0
+    with pytest.raises(ValueError):
+        sharding.place(odd.withColumn("Shard", F.lit(1)))
+
+
 def test_directory_splits_only_what_overflows(spark):
     keys = [(i << 50) + i for i in range(1024)] + [(5 << 50) + (k << 20) for k in range(300)]
     df = spark.createDataFrame([(k, 1) for k in keys], "__x_key bigint, __x_bytes bigint")
