@@ -21,8 +21,8 @@ Defined results
   * empty training documents: a uniform model; empty documents: an empty result;
   * extra columns are ignored.
 
-Each task sends its distinct n-grams with counts, so what is gathered follows the
-corpus while a byte model's size is bounded by the language, not by the corpus. The
+Each task sends its distinct n-grams with counts. At this order the gathered table
+levels off while the corpus grows (counts in the README): a limit of the model. The
 automaton is broadcast while it has at most ``MODEL_ROWS`` n-grams; beyond that
 the distinct n-grams of the documents are scored by joins with the count tables and the
 results summed per document.
