@@ -16,6 +16,10 @@ all others are counted once through the index; for a set that differs from a lea
 by few tokens they follow from the leader's: minus what the tokens that it lacks
 share, plus what those that it adds share.
 
+The answer is pairs of documents. Pairs of sets are found first; at the end each meets its
+sets' documents, which lie in chunks of about ``CHUNK``, so that a set of any number of
+documents is spread over many tasks and no row grows with it.
+
 Defined results
   * a word is a run of non-space characters, compared as it is; a text with fewer words
     than ``N`` has one n-gram of all its words; null and blank texts have no set and no partner;
@@ -23,6 +27,8 @@ Defined results
   * a doc_id with several texts has a set for each; ``drop_near`` drops only the rows
     whose own set is a near copy;
   * documents with equal sets have Jaccard 1, whatever their texts;
+  * a pair of documents comes once; if their several texts reach the threshold more than
+    once, with the highest Jaccard; a document is no partner of its own;
   * repeated rows count as one document; texts of any length are taken whole;
   * an empty table: no pair; extra columns are ignored, ``drop_near`` carries them through.
 
@@ -34,6 +40,10 @@ caps the partners of a set. Texts are scanned, not shuffled; what is shuffled ar
 prefixes, and the sets of candidates, once for each group of candidates: a set's
 group is that of its first neighbour. A group too large for one task is cut into
 parts, and every two parts are verified together.
+
+The index is partitioned by ranges of the token hash. A task ships the entries of a range as
+one packed row (tokens, numbers of the sets in a dictionary, positions), which the range's
+task unpacks and sorts: the JVM moves few large rows and sorts none.
 """
 
 from __future__ import annotations
@@ -61,7 +71,11 @@ COUNTED = 6_000_000
 #: Tokens that two similar sets must share within their prefixes.
 SHARED = 3
 #: Index entries of a partition: few large partitions, in which a pair's meetings add up.
-INDEX_ROWS = 3_000_000
+INDEX_ROWS = 2_000_000
+#: Index entries that a task holds before it ships them.
+PACKED = 1_000_000
+#: Documents of a set that are joined as one row.
+CHUNK = 256
 #: Candidates' sets that are verified together.
 GROUP_SETS = 2_000
 #: Index entries that a task scans, and meetings that it holds, at once.
@@ -178,11 +192,31 @@ def _survey(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _prefixes(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _prefixes(it: Iterator[pa.RecordBatch], shared, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, data): index entries packed by range of the token."""
     known, often = shared.value  # often: the frequency's class
-    for part in _each_slice(it):
-        seen, toks, sids, sizes, places = set(), [], [], [], []
-        sets = sets_of(part.column("text"))
+    seen: dict[int, int] = {}
+    toks, sizes, places = [], [], []
+    held = 0
+
+    def ship() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        tok, count = np.concatenate(toks), np.array(places)
+        number = np.repeat(np.arange(len(count), dtype=np.uint32), count)
+        pos = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint32)
+        sid, size = np.array(list(seen), np.int64), np.array(sizes, np.uint32)
+        order = np.argsort(tok, kind="stable")
+        tok, number, pos = tok[order], number[order], pos[order]
+        part = _part(tok, parts)
+        head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for at in range(0, len(head), 64):
+            some = [slice(x, y) for x, y in zip(head[at : at + 64], np.append(head, len(tok))[at + 1 : at + 65])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[head[at : at + 64]].astype(np.int32)), pa.array([_pack(tok[x], number[x], pos[x], sid, size) for x in some], pa.binary())], names=["part", "data"])
+        seen.clear(), toks.clear(), sizes.clear(), places.clear()
+        held = 0
+
+    for batch in _each_slice(it):
+        sets = sets_of(batch.column("text"))
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
         freq = np.where(known[at] == flat, often[at], 0) if len(known) else np.zeros(len(flat), np.int64)
@@ -191,18 +225,40 @@ def _prefixes(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
             begin, end = end, end + len(s)
             if not len(s) or (sid := set_id(s)) in seen:
                 continue
-            seen.add(sid)
+            seen[sid] = len(s)
             p = min(len(s), len(s) - -(-NUM * len(s) // DEN) + SHARED)
-            order = np.argsort(freq[begin:end], kind="stable")[:p]
-            toks.append(s[order])
-            sids.append(sid)
+            toks.append(s[np.argsort(freq[begin:end], kind="stable")[:p]])
             sizes.append(len(s))
             places.append(p)
-        if toks:
-            count = np.array(places)
-            size = np.repeat(np.array(sizes, np.int64), count)
-            pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(toks)), pa.array(np.repeat(np.array(sids, np.int64), count)), pa.array(size << 32 | pos)], names=["tok", "sid", "sp"])
+            held += p
+        if held > PACKED:
+            yield from ship()
+    if held:
+        yield from ship()
+    release()
+
+
+def _part(tok: np.ndarray, parts: int) -> np.ndarray:
+    return ((tok >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(tok: np.ndarray, number: np.ndarray, pos: np.ndarray, sid: np.ndarray, size: np.ndarray) -> bytes:
+    own, at = np.unique(number, return_inverse=True)
+    least = lambda x: x.astype("<u2" if not len(x) or x.max() < 1 << 16 else "<u4")
+    at, pos = least(at), least(pos)
+    head = np.array([len(tok), len(own), at.itemsize, pos.itemsize], "<u4")
+    return b"".join(x.tobytes() for x in (head, tok.astype("<u8"), at, pos, sid[own].astype("<i8"), size[own].astype("<u4")))
+
+
+def _unpack(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, sets, and size << 32 | position."""
+    n, m, wide, deep = (int(x) for x in np.frombuffer(data, "<u4", 4))
+    ends = np.cumsum([16, 8 * n, wide * n, deep * n, 8 * m])
+    tok = np.frombuffer(data, "<u8", n, ends[0])
+    at = np.frombuffer(data, f"<u{wide}", n, ends[1])
+    pos = np.frombuffer(data, f"<u{deep}", n, ends[2]).astype(np.int64)
+    sid, size = np.frombuffer(data, "<i8", m, ends[3]), np.frombuffer(data, "<u4", m, ends[4]).astype(np.int64)
+    return tok, sid[at], size[at] << 32 | pos
 
 
 def _enough(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -264,18 +320,14 @@ def _long_list(size: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Meetings from a partition sorted by token; a list that runs over batches is carried along."""
+    """Meetings in one range of tokens, list by list."""
     found: list[tuple[np.ndarray, ...]] = []
 
     def scan(cols: list[np.ndarray]) -> None:
-        tok = cols[0]
-        change = np.append(True, tok[1:] != tok[:-1])
-        lone = change & np.append(change[1:], True)
-        tok, sid, sp = (c[~lone] for c in cols)
-        if len(tok):
-            a, b, met, need = list_pairs(tok, sid, sp >> 32, sp & 0xFFFFFFFF)
-            # Pairs that need fewer meetings than SHARED are given the rest.
-            found.append((a, b, np.minimum(SHARED, met + SHARED - need).astype(np.int8)))
+        tok, sid, sp = cols
+        a, b, met, need = list_pairs(tok, sid, sp >> 32, sp & 0xFFFFFFFF)
+        # Pairs that need fewer meetings than SHARED are given the rest.
+        found.append((a, b, np.minimum(SHARED, met + SHARED - need).astype(np.int8)))
 
     def merged() -> tuple[np.ndarray, ...]:
         a, b, met = (np.concatenate(c) for c in zip(*found))
@@ -295,24 +347,25 @@ def _candidates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(cols[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in cols], names=["a", "b", "met"])
 
-    parts: list[list[np.ndarray]] = []
-    n = 0
-    for batch in it:
-        parts.append([c.to_numpy() for c in batch.columns])
-        n += batch.num_rows
-        if n < SCANNED:
-            continue
-        cols = [np.concatenate(x) for x in zip(*parts)]
-        at = int(np.searchsorted(cols[0], cols[0][-1]))
-        if at:
-            scan([c[:at] for c in cols])
-        parts = [[c[at:] for c in cols]]
-        n = len(cols[0]) - at if at else 0
-        yield from emit(HELD)
-    if parts:
-        cols = [np.concatenate(x) for x in zip(*parts)]
-        if len(cols[0]):
-            scan(cols)
+    packed = [_unpack(memoryview(d.as_buffer())) for batch in it for d in batch.column(1)]
+    if packed:
+        cols = [np.concatenate(c) for c in zip(*packed)]
+        packed.clear()
+        order = np.argsort(cols[0], kind="stable")
+        cols = [c[order] for c in cols]
+        tok = cols[0]
+        # Tokens of one entry meet nothing.
+        same = tok[1:] == tok[:-1]
+        keep = np.append(same, False) | np.append(False, same)
+        cols = [c[keep] for c in cols]
+        tok, end = cols[0], len(cols[0])
+        at = 0
+        while at < end:
+            to = min(at + SCANNED, end)
+            to = int(np.searchsorted(tok, tok[to - 1], "right"))
+            scan([c[at:to] for c in cols])
+            at = to
+            yield from emit(HELD)
     yield from emit(0)
     release()
 
@@ -427,11 +480,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets (sid, docs) and the pairs of different sets that reach the threshold (a, b, common, size_a, size_b)."""
+    """The sets' documents (sid, doc) and the pairs of different sets that reach the threshold (a, b, common, size_a, size_b)."""
     spark = docs.sparkSession
     src = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     seen = materialize(src.mapInArrow(_survey, "kind int, a bigint, b bigint, size bigint"), "op10-survey")
-    sets = seen.where("kind = 0").groupBy(F.col("a").alias("sid")).agg(F.array_sort(F.collect_set("b")).alias("docs"))
+    sets = seen.where("kind = 0").select(F.col("a").alias("sid"), F.col("b").alias("doc")).distinct()
 
     freq = materialize(seen.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT), "op10-frequent")
     least = FREQUENT
@@ -448,7 +501,8 @@ def _similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The prefixes' total length follows from the sets' sizes.
     total = seen.where("kind = 0").agg(F.sum("size"), F.count(F.lit(1))).first()
     length = (total[0] or 0) * (DEN - NUM) // DEN + (total[1] or 0) * SHARED
-    index = text.mapInArrow(lambda it: _prefixes(it, shared), "tok bigint, sid bigint, sp bigint").repartition(max(1, -(-length // INDEX_ROWS)), "tok").sortWithinPartitions("tok")
+    parts = max(1, -(-length // INDEX_ROWS))
+    index = text.mapInArrow(lambda it: _prefixes(it, shared, parts), "part int, data binary").repartitionById(parts, F.col("part"))
     met = index.mapInArrow(_candidates, "a bigint, b bigint, met bigint").groupBy("a", "b").agg(F.sum("met").alias("met"))
     cand = materialize(met.where(F.col("met") >= SHARED).select("a", "b"), "op10-candidates")
 
@@ -478,21 +532,45 @@ def _similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, materialize(out, "op10-pairs")
 
 
+def _chunks(members: DataFrame) -> DataFrame:
+    """(sid, many, chunk, docs): a set's documents in chunks by hash; ``many``: documents of several sets."""
+    members = materialize(members, "op10-sets")
+    several = members.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("many"))
+    several = materialize(several, "op10-several")
+    large = materialize(members.groupBy("sid").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK))).cast("int").alias("cut")).where("cut > 1"), "op10-copied")
+    cut = members.join(small(several), "doc", "left").join(small(large), "sid", "left")
+    chunk = F.pmod(F.xxhash64("doc"), F.coalesce("cut", F.lit(1))).cast("int")
+    cut = cut.groupBy("sid", F.coalesce("many", F.lit(False)).alias("many"), chunk.alias("chunk")).agg(F.collect_list("doc").alias("docs"))
+    return materialize(cut, "op10-chunks")
+
+
 def join(docs: DataFrame) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard, doc_ids): a row for each pair of similar sets, and one for
-    each set of several documents. doc_id_a < doc_id_b are the sets' first documents (or a
-    set's first two), doc_ids all documents that have either set, sorted."""
+    """(doc_id_a, doc_id_b, jaccard): every pair of documents, doc_id_a < doc_id_b, whose sets
+    reach the threshold, equal sets included."""
     sets, pairs = _similar(docs)
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    many = materialize(sets, "op10-sets")
-    mine = materialize(many.join(ids, "sid", "left_semi"), "op10-mine")
-    side = lambda x: mine.select(F.col("sid").alias(x), F.col("docs").alias(f"docs_{x}"))
-    x, y = F.element_at("docs_a", 1), F.element_at("docs_b", 1)
-    far = pairs.join(side("a"), "a").join(side("b"), "b")
+    chunks = _chunks(sets)
+    side = lambda x: chunks.select(F.col("sid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("many", "chunk", "docs")])
     j = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    far = far.select(F.least(x, y).alias("doc_id_a"), F.greatest(x, y).alias("doc_id_b"), (F.round(j * 1e6) / 1e6).alias("jaccard"), F.array_sort(F.array_union("docs_a", "docs_b")).alias("doc_ids"))
-    same = many.where(F.size("docs") > 1).select(F.element_at("docs", 1).alias("doc_id_a"), F.element_at("docs", 2).alias("doc_id_b"), F.lit(1.0).alias("jaccard"), F.col("docs").alias("doc_ids"))
-    return far.unionByName(same)
+    ids = materialize(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "op10-paired")
+    # Only sets with a partner take part in the joins, on either side.
+    paired = lambda x: side(x).join(ids.withColumnRenamed("sid", x), x, "left_semi")
+    far = pairs.select("a", "b", j.alias("j"), F.lit(False).alias("once")).join(paired("a"), "a").join(paired("b"), "b")
+    own = chunks.where("chunk > 0 OR many OR size(docs) > 1").select(F.col("sid").alias("a")).distinct()
+    same = side("a").join(own, "a", "left_semi").join(side("b"), F.col("a") == F.col("b")).where("(chunk_a, many_a) <= (chunk_b, many_b)")
+    same = same.withColumn("j", F.lit(1.0)).withColumn("once", F.expr("chunk_a = chunk_b AND many_a = many_b"))
+    both = far.unionByName(same).drop("chunk_a", "chunk_b")
+
+    def documents(df: DataFrame) -> DataFrame:
+        each = df.select("once", "j", F.explode("docs_a").alias("x"), "docs_b").select("once", "j", "x", F.explode("docs_b").alias("y"))
+        # A chunk with itself has every pair in both orders.
+        each = each.where("x < y OR (x > y AND NOT once)")
+        return each.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), (F.round(F.col("j") * 1e6) / 1e6).alias("jaccard"))
+
+    if chunks.where("many").isEmpty():
+        return documents(both)
+    # Only pairs with a document of several sets can come twice.
+    twice = F.col("many_a") | F.col("many_b")
+    return documents(both.where(~twice)).unionByName(documents(both.where(twice)).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard")))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
@@ -501,8 +579,7 @@ def drop_near(docs: DataFrame) -> DataFrame:
     each row is judged by its own text's set; null and blank texts stay. All columns unchanged."""
     sets, pairs = _similar(docs)
     comp = components(pairs)
-    grouped = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left")
-    each = grouped.select("sid", F.coalesce("comp", "sid").alias("comp"), F.explode("docs").alias("__j_doc"))
+    each = sets.join(comp.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), F.col("doc").alias("__j_doc"))
     keep = each.groupBy("comp").agg(F.min("__j_doc").alias("__j_keep"))
     # A document id may have several sets: those go that lie in a group that it does not keep.
     gone = F.collect_list(F.when(F.col("__j_doc") != F.col("__j_keep"), F.col("sid"))).alias("__j_sids")
@@ -540,7 +617,8 @@ op10_c AS (SELECT x.sid AS a, y.sid AS b, count(*) AS o, any_value(x.n) AS na, a
 op10_pair AS (SELECT a, b, o / CAST(na + nb - o AS DOUBLE) AS jaccard FROM op10_c WHERE {NUM + DEN} * o >= {NUM} * (na + nb))"""
 
 
-ORACLE = f"""WITH {sql()}
-SELECT a AS doc_id_a, b AS doc_id_b, round(jaccard, 6) AS jaccard, list_sort(list_distinct(list_concat(x.docs, y.docs))) AS doc_ids
-FROM op10_pair JOIN op10_one x ON x.sid = a JOIN op10_one y ON y.sid = b
-UNION ALL SELECT docs[1], docs[2], 1.0::DOUBLE, docs FROM op10_one WHERE len(docs) > 1"""
+ORACLE = f"""WITH {sql()},
+op10_all AS (SELECT sid AS a, sid AS b, 1.0::DOUBLE AS jaccard FROM op10_one UNION ALL SELECT a, b, jaccard FROM op10_pair),
+op10_doc AS (SELECT DISTINCT sid, doc_id FROM op10_set),
+op10_out AS (SELECT least(x.doc_id, y.doc_id) AS doc_id_a, greatest(x.doc_id, y.doc_id) AS doc_id_b, jaccard FROM op10_all JOIN op10_doc x ON x.sid = a JOIN op10_doc y ON y.sid = b WHERE x.doc_id <> y.doc_id)
+SELECT doc_id_a, doc_id_b, round(max(jaccard), 6) AS jaccard FROM op10_out GROUP BY doc_id_a, doc_id_b"""

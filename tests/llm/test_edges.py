@@ -42,7 +42,7 @@ def as_rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-# -- 1 -----------------------------------------------------------------------
+# -- 1
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -77,7 +77,7 @@ def test_quality_shrinks_sparse_sites(spark):
     assert abs(out["rare"] - 41 / 81) < 0.1
 
 
-# -- 2 -----------------------------------------------------------------------
+# -- 2
 
 
 def test_mixing_is_lossless(spark, odd, none, monkeypatch):
@@ -147,7 +147,7 @@ def test_permutation(n):
         assert abs(np.corrcoef(x, p)[0, 1]) < 0.1
 
 
-# -- 3 -----------------------------------------------------------------------
+# -- 3
 
 PAGES = [(1, "http://a/b", "<html>é</html>"), (2, None, "x"), (3, "http://a/\r\nX: y z", None), (None, "u", ""), (1, "http://a/b", "<html>é</html>"), (9, "big", "z" * 400_000)]
 
@@ -179,7 +179,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.frames(pages.where("false")).count() == 0
 
 
-# -- 4 -----------------------------------------------------------------------
+# -- 4
 
 
 def test_topk_against_brute_force(spark):
@@ -200,7 +200,7 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df.where("false")).count() == 0
 
 
-# -- 5 -----------------------------------------------------------------------
+# -- 5
 
 
 def test_sentencepiece_against_library(spark, odd, none):
@@ -222,7 +222,7 @@ def test_sentencepiece_against_library(spark, odd, none):
     assert again.text == LONG
 
 
-# -- 6 -----------------------------------------------------------------------
+# -- 6
 
 
 def test_exact_dedup(spark, odd, none):
@@ -237,7 +237,7 @@ def test_exact_dedup(spark, odd, none):
     assert exact_dedup.find_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
-# -- 7 -----------------------------------------------------------------------
+# -- 7
 
 URLS = ["http://a.example.net/x", "https://b.example.net:80/fr/1?q#f", "HTTP://U@Example.NET./fr", "http://example.org/de", "http://example.org/den", "x.example.org/de/y/", "http://thther.example.org/fr/2", "http://example.com/es/1/2", "http://example.com/es/12", "//m.ththth.example.net/z", "", None, "http://", "mailto:x@y", "http://notexample.net/", "http://q.m.example.com/en//a", "http://q.m.example.com/fr"]
 
@@ -255,7 +255,7 @@ def test_url_filter(spark):
     assert {r.action for r in url_filter.judge(pages, url_filter.entries(spark, [], [])).collect()} == {"none", "invalid"}
 
 
-# -- 8 -----------------------------------------------------------------------
+# -- 8
 
 
 def brute(train: list[str], texts: list[str]) -> list[float]:
@@ -296,7 +296,7 @@ def test_lm_scoring(spark, odd, none):
     assert lm_scoring.score(odd, odd).count() == len(ODD)
 
 
-# -- 9 -----------------------------------------------------------------------
+# -- 9
 
 
 def test_sharding(spark, odd, none):
@@ -337,7 +337,7 @@ def test_directory_splits_only_what_overflows(spark):
     assert all(d == 0 or total(d - 1, p >> 1) > 16 for d, p in sizes.index)
 
 
-# -- 10 ----------------------------------------------------------------------
+# -- 10
 
 
 def similar_sets(docs):
@@ -351,9 +351,18 @@ def similar_sets(docs):
 
 
 def expected_pairs(docs):
-    sets = list(similar_sets(docs).items())
-    out = {(min(a[1][0], b[1][0]), max(a[1][0], b[1][0])) for i, a in enumerate(sets) for b in sets[:i] if (jaccard_join.NUM + jaccard_join.DEN) * len(a[0] & b[0]) >= jaccard_join.NUM * (len(a[0]) + len(b[0]))}
-    return out | {(v[0], v[1]) for _, v in sets if len(v) > 1}
+    """Every pair of documents with its Jaccard similarity."""
+    sets, out = list(similar_sets(docs).items()), {}
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[: k + 1]:
+            o = len(a & b)
+            if (jaccard_join.NUM + jaccard_join.DEN) * o >= jaccard_join.NUM * (len(a) + len(b)):
+                for i in x:
+                    for j in y:
+                        if i != j:
+                            key = min(i, j), max(i, j)
+                            out[key] = max(out.get(key, 0), round(o / (len(a) + len(b) - o), 6))
+    return out
 
 
 def near_corpus():
@@ -365,25 +374,28 @@ def near_corpus():
             docs.append((len(docs) * 3, " ".join(w)))
     common = words(80, 77)
     docs += [(5000 + i, common + " " + words(10 + 10 * i, i)) for i in range(12)]
-    docs += [(9000 + i, words(60, 31)) for i in range(5)]
+    docs += [(9000 + i, words(60, 31)) for i in range(9)]
+    # documents with several texts, alike and not
+    docs += [(9000, words(60, 31) + " more"), (9003, words(50, 91)), (0, words(60, 31)), (0, docs[4][1]), (9100, docs[2][1]), (9100, docs[2][1] + " x")]
     return docs
 
 
-@pytest.mark.parametrize("group_sets", [20_000, 3])
-def test_jaccard_against_brute_force(spark, monkeypatch, group_sets):
+@pytest.mark.parametrize("group_sets, chunk", [(20_000, 256), (3, 2)])
+def test_jaccard_against_brute_force(spark, monkeypatch, group_sets, chunk):
     monkeypatch.setattr(jaccard_join, "GROUP_SETS", group_sets)
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "INDEX_ROWS", 50 * group_sets)
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
     docs = near_corpus()
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("comp", F.lit(1))
-    got = {(r.doc_id_a, r.doc_id_b) for r in jaccard_join.join(df).collect()}
-    assert got == expected_pairs(docs)
+    assert as_rows(jaccard_join.join(df)) == sorted(((a, b, j) for (a, b), j in expected_pairs(docs).items()), key=repr)
 
 
 def test_jaccard_defined_results(spark, odd, none):
     docs = [(i, t) for i, t, *_ in ODD]
     got = jaccard_join.join(odd).collect()
-    assert {(r.doc_id_a, r.doc_id_b) for r in got} == expected_pairs(docs)
-    assert {tuple(r.doc_ids) for r in got} == {(1, 2), (6, 7), (8, 9)}
+    assert {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got} == expected_pairs(docs) and len(got) == len(expected_pairs(docs))
+    assert {(r.doc_id_a, r.doc_id_b) for r in got} == {(1, 2), (6, 7), (8, 9)}
     kept = jaccard_join.drop_near(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 10, 11, 12]
