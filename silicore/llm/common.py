@@ -6,6 +6,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,13 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests in one process) a folder of our own
-    is set, once per session.
+    Only when a session in one process (tests) names none a folder of our own is set,
+    once per session; on a cluster, where no executor would see it, that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="silicore-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -57,6 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(df: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``own`` under generated names, so that no name of the
+    caller's meets one of an operator's; and the function that gives the names back."""
+    names = df.columns
+    inner = [n if n in own else f"__in{i}" for i, n in enumerate(names)]
+    return df.toDF(*inner), lambda out: out.select(*[F.col(i).alias(n) for i, n in zip(inner, names)])
+
+
 def release() -> None:
     """Hand freed memory back, so that a reused Python worker does not keep a task's peak."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import materialize, shielded, small, table
 from .extendible import directory, locate
 
 #: Bytes of text that a bucket may hold before it splits, and that an owner takes.
@@ -75,11 +75,10 @@ def find_copies(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OW
 
 def drop_copies(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES) -> DataFrame:
     """The kept rows of ``docs``, all columns unchanged."""
-    rows = _owned(docs, capacity, owner_bytes)
+    inner, given = shielded(docs, "doc_id", "text")
+    rows = _owned(inner, capacity, owner_bytes)
     place, _ = _chain(rows, [F.col("doc_id").asc_nulls_last()])
-    kept = rows.withColumn("__x_place", place).where("__x_place = 1")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*cols).unionByName(docs.where("text IS NULL").select(*cols))
+    return given(rows.withColumn("__x_place", place).where("__x_place = 1")).unionByName(docs.where("text IS NULL"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,6 @@ task unpacks and sorts: the JVM moves few large rows and sorts none.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,8 +57,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import BROADCAST_ROWS, fits, materialize, release, small, table
-from .sentencepiece_bpe import buffers, gather, slices
+from .common import BROADCAST_ROWS, fits, materialize, release, shielded, small, table
+from .sentencepiece_bpe import gather, slices
+from .words import scramble, split
 
 N = 2
 NUM, DEN = 11, 20
@@ -83,48 +83,12 @@ SCANNED = 200_000
 HELD = 1_000_000
 BLOCK = 64
 _SLICE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = r"[^ \t\n\r\f]"
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0D, 0x0C]] = True
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@functools.lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(1 << bits, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
 
 
 def sets_of(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of every text; an empty array where there is none."""
-    off, data, _ = buffers(texts.fill_null(""))
-    lo, hi = int(off[0]), int(off[-1])
-    view, off = data[lo:hi], off.astype(np.int64) - lo
-    if not len(view):
-        return [np.zeros(0, np.uint64)] * len(texts)
-    word = ~_SPACE[view]
-    edge = np.zeros(len(view) + 1, bool)
-    edge[off] = True
-    begins = word.copy()
-    begins[1:] &= ~word[:-1] | edge[1:-1]
-    ends = word.copy()
-    ends[:-1] &= ~word[1:] | edge[1:-1]
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(max(21, int(len(view)).bit_length()))
-    total = np.zeros(len(view) + 1, np.uint64)
-    np.cumsum((view.astype(np.uint64) + np.uint64(1)) * power[: len(view)], out=total[1:])
-    h = _scramble((total[e] - total[s]) * inverse[s] ^ ((e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    bound = np.searchsorted(s, off)
+    h, _, _, bound, _ = split(texts)
     out = []
     gram = _combine([h[i : len(h) - n + 1 + i] for i in range(n)]) if len(h) >= n else np.zeros(0, np.uint64)
     for a, b in zip(bound[:-1], bound[1:]):
@@ -140,12 +104,12 @@ def sets_of(texts: pa.Array, n: int = N) -> list[np.ndarray]:
 def _combine(words: list[np.ndarray]) -> np.ndarray:
     acc = np.full(len(words[0]), len(words), np.uint64)
     for w in words:
-        acc = _scramble(acc * np.uint64(0xFF51AFD7ED558CCD) + w)
+        acc = scramble(acc * np.uint64(0xFF51AFD7ED558CCD) + w)
     return acc
 
 
 def set_id(tokens: np.ndarray) -> int:
-    return int(_scramble(np.array([_scramble(tokens ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(tokens))]))[0].astype(np.int64))
+    return int(scramble(np.array([scramble(tokens ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(tokens))]))[0].astype(np.int64))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -585,14 +549,15 @@ def drop_near(docs: DataFrame) -> DataFrame:
     gone = F.collect_list(F.when(F.col("__j_doc") != F.col("__j_keep"), F.col("sid"))).alias("__j_sids")
     out = each.join(keep, "comp").groupBy("__j_doc").agg(gone, F.count(F.lit(1)).alias("__j_n")).where("size(__j_sids) > 0")
     out = materialize(out, "op10-dropped")
+    inner, given = shielded(docs, "doc_id", "text")
     all_ = out.where("size(__j_sids) = __j_n").select("__j_doc")
-    kept = docs.join(small(all_, 4 * BROADCAST_ROWS), (F.col("doc_id") == F.col("__j_doc")) & F.col("text").rlike(_WORD), "left_anti")
+    kept = inner.join(small(all_, 4 * BROADCAST_ROWS), (F.col("doc_id") == F.col("__j_doc")) & F.col("text").rlike(_WORD), "left_anti")
     some = out.where("size(__j_sids) < __j_n").drop("__j_n")
     if some.isEmpty():
-        return kept
+        return given(kept)
     rows = kept.join(small(some), F.col("doc_id") == F.col("__j_doc"), "left")
     rows = rows.withColumn("__j_sid", _set_of(F.when(F.col("__j_doc").isNotNull(), F.col("text"))))
-    return rows.where(~F.coalesce(F.array_contains("__j_sids", F.col("__j_sid")), F.lit(False))).drop("__j_doc", "__j_sids", "__j_sid")
+    return given(rows.where(~F.coalesce(F.array_contains("__j_sids", F.col("__j_sid")), F.lit(False))))
 
 
 @F.pandas_udf(LongType())

@@ -1,311 +1,279 @@
 """Language-model scoring with a weighted backoff automaton.
 
-A byte n-gram model of order ``ORDER`` with interpolated Witten-Bell smoothing is
-counted over all documents: every context is a state, every n-gram an arc weighted
-with its smoothed log-probability, and a context's failure arc, weighted with
-log(T / (c + T)), leads to the state of its longest proper suffix. One traversal from
-left to right carries the state through a text and adds up arc and failure
-weights. Bytes outside UTF-8 stand for a text's start and end.
+A model of word ``ORDER``-grams with interpolated Witten-Bell smoothing is counted over all
+training documents: every context is a state, every n-gram an arc, and a context's
+failure arc, weighted with T / (c + T), leads to the state of its suffix.
 
-    p(w | h) = (c(hw) + T(h) p(w | h')) / (c(h) + T(h)),   p over nothing = 1 / 257
+    p(w | h) = (c(hw) + T(h) p(w | h')) / (c(h) + T(h)),   p over nothing = 1 / SYMBOLS
 
-The traversal runs on many texts at once in numpy. A long text is walked in segments,
-each entered through the ``ORDER`` - 1 bytes before it: the state depends on no more
-than those, so the segments give what one walk gives.
+Words are known by buckets of their MD5, so an n-gram is one number of ``ORDER`` x ``BITS``
+bits from which all its suffixes follow.
+
+The automaton grows with the corpus and no task holds it. It is partitioned by the last
+word of a state, so a state and all that its failure arcs lead to, down to the root,
+lie together; the root's arcs are an array with a place for every bucket, broadcast. A task
+that reads documents packs a batch of them: the distinct transitions that their walks take,
+and every text as its sequence of transitions. A batch's transitions travel to the
+partitions that own their states, which take each once, over failure arcs where there
+is no arc, and send the weights back; then every text is walked once from left to right
+and its log-probabilities are added up. It is the same at every size.
 
 Defined results
-  * null text: n_bytes 0 and null scores; empty text: only its end is scored;
+  * a word is a run of non-space characters; a text's end is scored as one more symbol;
+    null text: n_words 0 and null scores; empty and blank text: only the end is scored;
   * texts of any length are scored whole; repeated rows count as often as they occur,
     in the counts and in the result;
-  * bytes never seen in training still have p > 0, by the failure arcs down to 1 / 257;
+  * words of one bucket are not told apart; words never seen in training still have
+    p > 0, by the failure arcs down to 1 / SYMBOLS;
   * empty training documents: a uniform model; empty documents: an empty result;
   * extra columns are ignored.
 
-Each task sends its distinct n-grams with counts. At this order the gathered table
-levels off while the corpus grows (counts in the README): a limit of the model. The
-automaton is broadcast while it has at most ``MODEL_ROWS`` n-grams; beyond that
-the distinct n-grams of the documents are scored by joins with the count tables and the
-results summed per document.
+What travels are a batch's distinct n-grams, once each way, and its texts as numbers; the
+sums over the corpus are as many as it has distinct n-grams. Limit: all states that end in one
+word share a partition, so a very frequent word makes its partition larger than the rest.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .sentencepiece_bpe import buffers, slices
-
-ORDER = 5
-MODEL_ROWS = 8_000_000
-START, END = 0xFF, 0xFE
-SYMBOLS = 257
-#: Bytes that a lane of the traversal scores.
-SEGMENT = 512
-_SLICE = 8 << 20
-
-
-def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one array, each between its start bytes and its end byte; where each
-    begins (its start bytes), and its number of scored bytes."""
-    off, data, _ = buffers(texts.fill_null(""))
-    off = off.astype(np.int64)
-    n = np.diff(off)
-    pad = ORDER - 1
-    begin = np.append(0, np.cumsum(n + pad + 1))
-    out = np.full(begin[-1], START, np.uint8)
-    to = np.repeat(begin[:-1] + pad - off[:-1], n)
-    to += np.arange(off[0], off[-1])
-    out[to] = data[off[0] : off[-1]]
-    out[begin[1:] - 1] = END
-    return out, begin[:-1], n + 1
-
-
-def _codes(text: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each place from ORDER - 1 on, as a number."""
-    m = max(0, len(text) - ORDER + 1)
-    code = np.zeros(m, np.int64)
+from .common import materialize, release, table
+from .sentencepiece_bpe import slices
+from .words import scramble, split
+
+ORDER = 3
+BITS = 21
+MASK = (1 << BITS) - 1
+START, END = MASK, MASK - 1
+#: Buckets of words, and what may follow a state: a bucket or the end.
+VOCAB = MASK - 1
+SYMBOLS = VOCAB + 1
+#: Positions that a task packs at once, and bytes of text for each partition of the automaton.
+PACKED = 2_000_000
+PART_BYTES = 12 << 20
+_SLICE = 4 << 20
+_ROWS = "kind int, batch bigint, part bigint, data binary"
+DOCS, COUNTED, ASKED, WORD = 0, 1, 2, 4
+
+
+def _ids(texts: pa.Array, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every word, and where each text's words begin."""
+    h, s, e, bound, view = split(texts)
+    uniq, first, at = np.unique(h, return_index=True, return_inverse=True)
+    raw = view.tobytes()
+    out = np.empty(len(uniq), np.int64)
+    if len(known) > 1_000_000:
+        known.clear()  # a cache alone
+    for i, (k, f) in enumerate(zip(uniq.tolist(), first.tolist())):
+        got = known.get(k)
+        if got is None:
+            got = known[k] = int(hashlib.md5(raw[s[f] : e[f]]).hexdigest()[:6], 16) % VOCAB
+        out[i] = got
+    return out[at], bound
+
+
+def _codes(ids: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every text's transitions, end included, one text after another, and their numbers."""
+    n = np.diff(bound)
+    begin = np.append(0, np.cumsum(n + ORDER))
+    x = np.full(begin[-1], START, np.int64)
+    x[np.repeat(begin[:-1] + ORDER - 1 - bound[:-1], n) + np.arange(bound[0], bound[-1])] = ids
+    x[begin[1:] - 1] = END
+    code = np.zeros(max(0, len(x) - ORDER + 1), np.int64)
     for i in range(ORDER):
-        code <<= 8
-        code |= text[i : i + m]
-    return code
-
+        code = code << BITS | x[i : i + len(code)]
+    keep = np.ones(len(x), bool)
+    for i in range(1, ORDER):
+        keep[begin[1:] - i] = False
+    return code[keep[: len(code)]], n + 1
+
+
+def _part(code: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of the state from which a transition starts: that of its last word."""
+    word = (code >> BITS & MASK).astype(np.uint64) + np.uint64(1)
+    return ((scramble(word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(code: np.ndarray, count: np.ndarray | None) -> bytes:
+    """Sorted numbers as differences, byte by byte, which compresses well."""
+    gap = np.diff(code, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    if count is None:
+        return np.array([len(code), 0], "<u4").tobytes() + gap
+    wide = next(w for w in (1, 2, 4, 8) if not len(count) or int(count.max()) < 1 << 8 * w)
+    return np.array([len(code), wide], "<u4").tobytes() + gap + count.astype(f"<u{wide}").tobytes()
+
+
+def _unpack(data: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    n, wide = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    gap = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n).T).view("<i8").ravel()
+    count = np.frombuffer(data, f"<u{wide}", n, 8 + 8 * n).astype(np.int64) if wide else np.zeros(n, np.int64)
+    return np.cumsum(gap), count
+
+
+def _rows(rows: list[tuple[int, int, int, bytes | None]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "batch", "part", "data"])
+
+
+def _gather(it: Iterator[pa.RecordBatch], role: int, parts: int, packed: int) -> Iterator[pa.RecordBatch]:
+    """Batches of documents. ``role``: COUNTED, ASKED or both."""
+    task, serial, known = TaskContext.get().partitionId(), 0, {}
+    ids, dead, codes, lens = [], [], [], []
+    held = rows = 0
+
+    def ship() -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows, serial
+        batch = task << 32 | serial
+        code = np.concatenate(codes)
+        codes.clear()
+        uniq, at, count = np.unique(code, return_inverse=True, return_counts=True)
+        part = _part(uniq, parts)
+        order = np.argsort(part, kind="stable")
+        head = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+        ends = np.append(head[1:], len(order))
+        if role & ASKED:
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order), dtype="<u4")
+            who, n, null = pa.concat_arrays(ids), np.concatenate(lens), np.concatenate(dead)
+            own = [np.array([len(n), len(head)], "<u4"), np.where(null, -1, n).astype("<i8"), who.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), who.fill_null(0).to_numpy().astype("<i8"), part[order[head]].astype("<i8"), (ends - head).astype("<i8"), rank[at]]
+            yield _rows([(DOCS, batch, -1, b"".join(x.tobytes() for x in own))])
+        some = [(role, batch, int(part[order[a]]), _pack(uniq[order[a:b]], count[order[a:b]] if role & COUNTED else None)) for a, b in zip(head, ends)]
+        for i in range(0, len(some), 64):
+            yield _rows(some[i : i + 64])
+        if role & COUNTED:
+            word, n = np.unique(code & MASK, return_counts=True)
+            for i in range(0, len(word), 50_000):
+                yield _rows([(WORD, int(w), int(c), None) for w, c in zip(word[i : i + 50_000], n[i : i + 50_000])])
+        ids.clear(), dead.clear(), lens.clear()
+        held, rows, serial = 0, 0, serial + 1
 
-def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in it:
-        for part in slices(batch, "text", _SLICE):
-            texts = part.column("text").drop_null()
-            if not len(texts):
-                continue
-            data, begin, n = _padded(texts)
-            code = _codes(data)
-            real = np.ones(len(code), bool)
-            # windows that run over the border of two texts
-            over = (begin[1:, None] - np.arange(1, ORDER)[None, :]).ravel()
-            over = over[(over >= 0) & (over < len(code))]
-            real[over] = False
-            k, c = np.unique(code[real], return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-    for a in range(0, len(keys), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], names=["g", "c"])
-
-
-def count(docs: DataFrame) -> DataFrame:
-    """(g, c): every n-gram of full order with its count."""
-    return materialize(docs.select("text").mapInArrow(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "op8-counts")
-
-
-def _tail(n: int, c: str = "g") -> str:
-    return f"({c} & {(1 << 8 * n) - 1}L)"
-
-
-def _levels(full: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For n = 1..ORDER: (g, c) of the n-grams and (h, ch, th) of their contexts."""
-    out = []
-    grams = full
-    for n in range(ORDER, 0, -1):
+        for x in slices(batch, "text", _SLICE):
+            null = x.column("text").is_null().to_numpy(zero_copy_only=False)
+            texts = x.column("text").drop_null()
+            code, n = _codes(*_ids(texts, known))
+            every = np.zeros(len(null), np.int64)
+            every[~null] = n
+            ids.append(x.column("doc_id"))
+            dead.append(null)
+            codes.append(code)
+            lens.append(every)
+            held, rows = held + len(code), rows + len(null)
+            if held >= packed or rows >= packed:
+                yield from ship()
+    if rows:
+        yield from ship()
+    release()
+
+
+def _weights(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(batch, part, data): the log-probability of every transition that was asked for."""
+    asked, counted = [], []
+    for rows in it:
+        for kind, batch, part, data in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column(3)):
+            code, count = _unpack(memoryview(data.as_buffer()))
+            if kind & COUNTED:
+                counted.append((code, count))
+            if kind & ASKED:
+                asked.append((batch, part, code))
+    root = shared.value
+    keys, sums = _summed(*(np.concatenate(x) for x in zip(*counted))) if counted else (np.zeros(0, np.int64),) * 2
+    counted.clear()
+    levels = []
+    for n in range(ORDER, 1, -1):
         if n < ORDER:
-            grams = grams.groupBy(F.expr(_tail(n)).alias("g")).agg(F.sum("c").alias("c"))
-        contexts = grams.groupBy(F.expr("shiftright(g, 8)").alias("h")).agg(F.sum("c").alias("ch"), F.count(F.lit(1)).alias("th"))
-        out.append((grams, contexts))
-    return out[::-1]
-
-
-def _smoothed(grams: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """``grams`` (g: n-grams of full order) with p, by joins level by level."""
-    df = grams.withColumn("p", F.lit(1.0 / SYMBOLS))
-    for n, (counts, contexts) in enumerate(levels, 1):
-        df = df.withColumn("__k", F.expr(_tail(n))).withColumn("__h", F.expr("shiftright(__k, 8)"))
-        df = df.join(contexts.withColumnRenamed("h", "__h"), "__h", "left").join(counts.select(F.col("g").alias("__k"), F.col("c").alias("__c")), "__k", "left")
-        p = (F.coalesce("__c", F.lit(0)) + F.col("th") * F.col("p")) / (F.col("ch") + F.col("th"))
-        df = df.withColumn("p", F.when(F.col("th").isNull(), F.col("p")).otherwise(p)).drop("__k", "__h", "__c", "ch", "th")
-    return df
-
-
-class Automaton:
-    """States are contexts of length 0..ORDER-1, arcs n-grams in an open-addressed table."""
-
-    def __init__(self, g: np.ndarray, c: np.ndarray) -> None:
-        grams: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (ORDER + 1)
-        order = np.argsort(g, kind="stable")
-        grams[ORDER] = g[order], c[order]
-        for n in range(ORDER - 1, 0, -1):
-            up, uc = grams[n + 1]
-            k, at = np.unique(up & ((1 << 8 * n) - 1), return_inverse=True)
-            grams[n] = k, np.bincount(at, uc, len(k)).astype(np.int64)
-        self.states: list[np.ndarray] = []
-        self.base = np.zeros(ORDER + 1, np.int64)
-        weight, fail = [], []
-        contexts = []
-        for n in range(1, ORDER + 1):
-            k, cc = grams[n]
-            h, at = np.unique(k >> 8, return_inverse=True)
-            if n == 1 and not len(h):
-                h = np.zeros(1, np.int64)
-            th = np.bincount(at, minlength=len(h)).astype(float)
-            ch = np.bincount(at, cc, len(h)).astype(float)
-            contexts.append((h, ch, th))
-            self.states.append(h)
-            self.base[n] = self.base[n - 1] + len(h)
-        keys, logp, nxt = [], [], []
-        lower = None
-        for n in range(1, ORDER + 1):
-            k, cc = grams[n]
-            h, ch, th = contexts[n - 1]
-            at = np.searchsorted(h, k >> 8)
-            under = np.full(len(k), 1.0 / SYMBOLS) if n == 1 else lower[np.searchsorted(grams[n - 1][0], k & ((1 << 8 * (n - 1)) - 1))]
-            p = (cc + th[at] * under) / (ch[at] + th[at])
-            lower = p
-            keys.append((self.base[n - 1] + at) * 256 + (k & 0xFF))
-            logp.append(np.log(p))
-            nxt.append(self._longest(k, min(n, ORDER - 1)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                weight.append(np.where(ch + th > 0, np.log(th / (ch + th)), 0.0))
-            fail.append(self._longest(h, n - 2) if n > 1 else np.zeros(len(h), np.int64))
-        self.weight, self.fail = np.concatenate(weight), np.concatenate(fail).astype(np.int32)
-        # One entry more, which index -1 (no arc) meets.
-        self.logp, self.next = np.append(np.concatenate(logp), 0.0), np.append(np.concatenate(nxt), 0).astype(np.int32)
-        self.start = int(self._longest(np.array([(1 << 8 * (ORDER - 1)) - 1]), ORDER - 1)[0])
-        self._table(np.concatenate(keys))
-
-    def _longest(self, code: np.ndarray, n: int) -> np.ndarray:
-        """The state of the longest suffix, of at most n bytes, that is a context."""
-        out = np.zeros(len(code), np.int64)
-        for m in range(1, n + 1):
-            have, tail = self.states[m], code & ((1 << 8 * m) - 1)
-            if not len(have):
+            keys, sums = _summed(keys & ((1 << BITS * n) - 1), sums)
+        state, at = np.unique(keys >> BITS, return_inverse=True)
+        total, kinds = np.bincount(at, sums, len(state)), np.bincount(at, minlength=len(state)).astype(float)
+        levels.append((n, keys, sums, state, total, kinds))
+    for batch, part, code in asked:
+        p = root[code & MASK]
+        for n, keys, sums, state, total, kinds in reversed(levels):
+            if not len(keys):
                 continue
-            at = np.minimum(np.searchsorted(have, tail), len(have) - 1)
-            out = np.where(have[at] == tail, self.base[m] + at, out)
-        return out
-
-    def _table(self, keys: np.ndarray) -> None:
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.arc = np.zeros(1 << bits, np.int32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = left[self.keys[slot] < 0]
-            put = slot[self.keys[slot] < 0]
-            self.keys[put] = keys[free]
-            self.arc[put] = free
-            lost = self.keys[slot] != keys[left]
-            left, slot = left[lost], (slot[lost] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The arc of each key, or -1."""
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        out = np.where(there == keys, self.arc[slot], -1)
-        on = np.flatnonzero((there != keys) & (there >= 0))
-        while len(on):
-            slot[on] = (slot[on] + 1) & self.mask
-            there = self.keys[slot[on]]
-            hit = there == keys[on]
-            out[on[hit]] = self.arc[slot[on[hit]]]
-            on = on[~hit & (there >= 0)]
-        return out
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states, and the weights of the failure arcs and the arc taken."""
-        arc = self.find(state.astype(np.int64) * 256 + symbol)
-        if (arc >= 0).all():
-            return self.next[arc], self.logp[arc]
-        w, out = self.logp[arc], self.next[arc]
-        on = np.flatnonzero(arc < 0)
-        at = state[on]
-        while len(on):
-            root = at == 0
-            # Beyond the root's failure arc lies the uniform distribution.
-            w[on[root]] += self.weight[0] - np.log(SYMBOLS)
-            on, at = on[~root], at[~root]
-            w[on] += self.weight[at]
-            at = self.fail[at]
-            arc = self.find(at.astype(np.int64) * 256 + symbol[on])
-            hit = arc >= 0
-            w[on[hit]] += self.logp[arc[hit]]
-            out[on[hit]] = self.next[arc[hit]]
-            on, at = on[~hit], at[~hit]
-        return out, w
-
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes scored and the sum of their log-probabilities, for every text."""
-        data, begin, n = _padded(texts)
-        pad = ORDER - 1
-        parts = -(-n // SEGMENT)
-        doc = np.repeat(np.arange(len(n)), parts)
-        k = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-        at = begin[doc] + k * SEGMENT
-        size = np.minimum(SEGMENT, n[doc] - k * SEGMENT)
-        order = np.argsort(-size, kind="stable")
-        at, size, k = at[order], size[order], k[order]
-        state = np.zeros(len(at), np.int32)
-        for i in range(pad):
-            state = self.step(state, data[at + i])[0].astype(np.int32)
-        state[k == 0] = self.start
-        total = np.zeros(len(at))
-        alive = np.searchsorted(-size, -np.arange(SEGMENT), side="left")
-        for i in range(int(size[0]) if len(size) else 0):
-            m = alive[i]
-            state, w = self.step(state[:m], data[at[:m] + pad + i])
-            total[:m] += w
-        out = np.zeros(len(at))
-        out[order] = total
-        return n, np.bincount(doc, out, len(n))
-
-
-def _by_automaton(docs: DataFrame, full: DataFrame) -> DataFrame:
-    got = full.toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((got.column("g").to_numpy(), got.column("c").to_numpy()))
-    built: list[Automaton] = []
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(Automaton(*shared.value))
-        for batch in it:
-            for part in slices(batch, "text", _SLICE):
-                n, s = built[0].score(part.column("text"))
-                dead = part.column("text").is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.where(dead, 0, n)), pa.array(s, mask=dead)], names=["doc_id", "n_bytes", "s"])
-
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, s double")
-
-
-def _by_join(docs: DataFrame, full: DataFrame) -> DataFrame:
-    """The way for models that no executor can hold: n-grams meet the counts in shuffles."""
-    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
-    rows = materialize(rows, "op8-rows")
-
-    def grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for row, text in zip(batch.column("__row").to_pylist(), batch.column("text")):
-                if text.is_valid:
-                    g, c = np.unique(_codes(_padded(pa.array([text.as_py()], pa.string()))[0]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), row)), pa.array(g), pa.array(c)], names=["__row", "g", "n"])
-
-    each = materialize(rows.select("__row", "text").mapInArrow(grams, "__row bigint, g bigint, n bigint"), "op8-grams")
-    levels = [(materialize(a, "op8-level"), materialize(b, "op8-context")) for a, b in _levels(full)]
-    p = materialize(_smoothed(each.select("g").distinct(), levels), "op8-smoothed")
-    s = each.join(p, "g").groupBy("__row").agg(F.sum(F.col("n") * F.log("p")).alias("s"), F.sum("n").alias("n_bytes"))
-    return rows.join(s, "__row", "left").select("doc_id", F.coalesce("n_bytes", F.lit(0)).cast("bigint").alias("n_bytes"), "s")
-
-
-def score(docs: DataFrame, training: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """(doc_id, n_bytes, mean_logprob, perplexity), one row a document of ``docs``."""
-    full = count(training)
-    out = (_by_automaton if full.count() <= model_rows else _by_join)(docs, full)
-    mean = F.col("s") / F.col("n_bytes")
-    return out.select("doc_id", "n_bytes", (F.round(mean * 1e6) / 1e6).alias("mean_logprob"), (F.round(F.exp(-mean) * 1e6) / 1e6).alias("perplexity"))
+            arc = code & ((1 << BITS * n) - 1)
+            at = np.minimum(np.searchsorted(keys, arc), len(keys) - 1)
+            count = np.where(keys[at] == arc, sums[at], 0)
+            own = np.minimum(np.searchsorted(state, arc >> BITS), len(state) - 1)
+            p = np.where(state[own] == arc >> BITS, (count + kinds[own] * p) / (total[own] + kinds[own]), p)
+        yield _rows([(ASKED, batch, part, np.log(p).astype("<f8").tobytes())])
+    release()
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
+
+
+def _walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by batch: its texts, and the weights of its transitions."""
+    texts, weights, now = None, {}, None
+
+    def walked() -> Iterator[pa.RecordBatch]:
+        n_docs, n_parts = (int(x) for x in np.frombuffer(texts, "<u4", 2))
+        at = np.cumsum([8, 8 * n_docs, n_docs, 8 * n_docs, 8 * n_parts, 8 * n_parts])
+        n, none, who = (np.frombuffer(texts, k, n_docs, a) for k, a in zip(("<i8", np.uint8, "<i8"), at))
+        parts = np.frombuffer(texts, "<i8", n_parts, at[3])
+        path = np.frombuffer(texts, "<u4", -1, at[5])
+        total = np.zeros(n_docs)
+        if len(path):
+            step = np.concatenate([weights[p] for p in parts.tolist()])[path]
+            live = np.flatnonzero(n > 0)
+            # One pass over the steps of each text in turn.
+            total[live] = np.add.reduceat(step, np.append(0, np.cumsum(n[live]))[:-1])
+        dead = n < 0
+        yield pa.RecordBatch.from_arrays([pa.array(who, mask=none.astype(bool)), pa.array(np.where(dead, 0, n)), pa.array(total, mask=dead)], names=["doc_id", "n_words", "s"])
+
+    for rows in it:
+        for kind, batch, part, data in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column(3)):
+            if batch != now:
+                if texts is not None:
+                    yield from walked()
+                texts, weights, now = None, {}, batch
+            if kind == DOCS:
+                texts = memoryview(data.as_buffer())
+            else:
+                weights[part] = np.frombuffer(data.as_buffer(), "<f8")
+    if texts is not None:
+        yield from walked()
+    release()
+
+
+def _root(words: DataFrame) -> np.ndarray:
+    """p of every symbol at the root: a fixed number of places, whatever the corpus."""
+    got = words.groupBy("batch").agg(F.sum("part").alias("n")).toArrow()
+    count = np.zeros(MASK + 1)
+    count[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    kinds, total = float(np.count_nonzero(count)), float(count.sum())
+    uniform = 1.0 / SYMBOLS
+    return (count + kinds * uniform) / (total + kinds) if total else np.full(MASK + 1, uniform)
+
+
+def score(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """(doc_id, n_words, mean_logprob, perplexity), one row a document of ``docs``."""
+    spark = docs.sparkSession
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, packed = max(1, -(-size // PART_BYTES)), PACKED
+    seen = lambda df, role: df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(lambda it: _gather(it, role, parts, packed), _ROWS)
+    rows = seen(docs, COUNTED | ASKED) if docs is training else seen(docs, ASKED).unionByName(seen(training.select(F.lit(None).alias("doc_id"), "text"), COUNTED))
+    rows = materialize(rows, "op8-batches")
+    shared = spark.sparkContext.broadcast(_root(rows.where(F.col("kind") == WORD)))
+    moves = rows.where(F.col("kind").isin(COUNTED, ASKED, COUNTED | ASKED)).repartitionById(parts, F.col("part").cast("int"))
+    back = moves.mapInArrow(lambda it: _weights(it, shared), _ROWS)
+    texts = rows.where(F.col("kind") == DOCS)
+    out = texts.unionByName(back).repartition(max(1, texts.count()), "batch").sortWithinPartitions("batch").mapInArrow(_walk, "doc_id bigint, n_words bigint, s double")
+    mean = F.col("s") / F.col("n_words")
+    return out.select("doc_id", "n_words", (F.round(mean * 1e6) / 1e6).alias("mean_logprob"), (F.round(F.exp(-mean) * 1e3) / 1e3).alias("perplexity"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,20 +282,22 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    head, ctes = "ff" * (ORDER - 1), []
-    ctes.append(f"t AS (SELECT row_number() OVER () AS rid, doc_id, text, '{head}' || lower(hex(encode(text))) || 'fe' AS x FROM documents)")
-    ctes.append(f"pos AS (SELECT rid, substr(x, 2 * CAST(i AS INT) + 1, {2 * ORDER}) AS g FROM (SELECT rid, x, unnest(range(length(x) // 2 - {ORDER - 1})) AS i FROM t WHERE text IS NOT NULL))")
-    ctes.append("each AS (SELECT rid, g, count(*) AS n FROM pos GROUP BY rid, g)")
-    ctes.append("full0 AS (SELECT g, sum(n) AS c FROM each GROUP BY g)")
+    word = rf"CAST('0x' || substr(md5(x), 1, 6) AS BIGINT) % {VOCAB}"
+    ctes = [
+        rf"t AS (SELECT row_number() OVER () AS rid, doc_id, text, list_concat({[START] * (ORDER - 1)}, list_concat(list_transform(list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> ''), lambda x: {word}), [{END}])) AS x FROM documents)",
+        f"pos AS (SELECT rid, {' + '.join(f'x[i + {k}] * {1 << BITS * (ORDER - 1 - k)}' for k in range(ORDER))} AS g FROM (SELECT rid, x, unnest(range(1, len(x) - {ORDER - 2})) AS i FROM t WHERE text IS NOT NULL))",
+        "each AS (SELECT rid, g, count(*) AS n FROM pos GROUP BY rid, g)",
+        "full0 AS (SELECT g, sum(n) AS c FROM each GROUP BY g)",
+    ]
     prev = f"(SELECT g, 1.0::DOUBLE / {SYMBOLS} AS p FROM full0)"
     for n in range(1, ORDER + 1):
-        tail = f"right(g, {2 * n})"
+        tail = f"g % {1 << BITS * n}" if n < ORDER else "g"
         ctes.append(f"c{n} AS (SELECT {tail} AS k, sum(c) AS c FROM full0 GROUP BY 1)")
-        ctes.append(f"h{n} AS (SELECT left(k, {2 * n - 2}) AS h, sum(c) AS ch, count(*) AS th FROM c{n} GROUP BY 1)")
-        ctes.append(f"p{n} AS (SELECT q.g, (c.c + h.th * q.p) / CAST(h.ch + h.th AS DOUBLE) AS p FROM {prev} q JOIN c{n} c ON c.k = {tail} JOIN h{n} h ON h.h = left(c.k, {2 * n - 2}))")
+        ctes.append(f"h{n} AS (SELECT k >> {BITS} AS h, sum(c) AS ch, count(*) AS th FROM c{n} GROUP BY 1)")
+        ctes.append(f"p{n} AS (SELECT q.g, (c.c + h.th * q.p) / CAST(h.ch + h.th AS DOUBLE) AS p FROM {prev} q JOIN c{n} c ON c.k = {tail.replace('g', 'q.g')} JOIN h{n} h ON h.h = c.k >> {BITS})")
         prev = f"p{n}"
-    ctes.append(f"s AS (SELECT rid, sum(n * ln(p)) / sum(n) AS m, CAST(sum(n) AS BIGINT) AS n_bytes FROM each JOIN {prev} USING (g) GROUP BY rid)")
-    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, round(m, 6) AS mean_logprob, round(exp(-m), 6) AS perplexity FROM t LEFT JOIN s USING (rid)"
+    ctes.append(f"s AS (SELECT rid, sum(n * ln(p)) / sum(n) AS m, CAST(sum(n) AS BIGINT) AS n_words FROM each JOIN {prev} USING (g) GROUP BY rid)")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, coalesce(n_words, 0) AS n_words, round(m, 6) AS mean_logprob, round(exp(-m), 3) AS perplexity FROM t LEFT JOIN s USING (rid)"
 
 
 ORACLE = _oracle()

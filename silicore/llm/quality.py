@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import materialize, shielded, small, table
 
 BINS = {"sym": 16, "up": 13, "dis": 11, "len": 17}
 THRESHOLD = 0.5
@@ -149,8 +149,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     met with the broadcast site table.
     """
     _, evidence, sites = _fit(docs, labels)
-    out = _posterior(_scored(_with_bins(docs), evidence), sites).where(F.col("__post") >= THRESHOLD)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, given = shielded(docs, "doc_id", "text", "source", "lang")
+    return given(_posterior(_scored(_with_bins(inner), evidence), sites).where(F.col("__post") >= THRESHOLD))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, shielded, table
 from .extendible import directory, locate
 
 LIMIT = 8 << 20
@@ -71,9 +71,10 @@ def place(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     light = materialize(docs.select(*_keyed()), "op9-keys")
     levels = directory(light, limit)
     # Equal keys are ordered by the whole row, so that a task that runs again gives the same pages.
-    order = [F.col("__x_key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))]
-    out = _paged(locate(light, levels), locate(docs.select("*", *_keyed()), levels), limit, order)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *_place())
+    inner, _ = shielded(docs, "doc_id", "text")
+    order = [F.col("__x_key"), F.to_json(F.struct(*[F.col(c) for c in inner.columns]))]
+    out = _paged(locate(light, levels), locate(inner.select("*", *_keyed()), levels), limit, order)
+    return out.select(*[F.col(i).alias(n) for i, n in zip(inner.columns, docs.columns)], *_place())
 
 
 def save(docs: DataFrame, folder: str, limit: int = LIMIT) -> None:

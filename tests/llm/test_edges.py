@@ -42,6 +42,24 @@ def as_rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def test_callers_columns_never_clash(spark):
+    """Every name that an operator uses inside is carried through as an extra column."""
+    import re
+    from pathlib import Path
+
+    rows = spark.createDataFrame([(1, words(40, 1), "en", "a", 1), (2, words(40, 1), "en", "a", 1), (3, words(40, 1) + " z", "en", "b", 1), (3, words(40, 9), "en", "b", 1), (4, None, None, None, None)], DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0)], LABELS)
+    cases = [(quality, lambda d: quality.keep_good(d, labels)), (exact_dedup, exact_dedup.drop_copies), (jaccard_join, jaccard_join.drop_near), (sharding, lambda d: sharding.place(d).drop("depth", "shard", "page", "oversize"))]
+    for module, call in cases:
+        source = Path(module.__file__).read_text() + Path(extendible.__file__).read_text()
+        names = sorted({n for n in re.findall(r'"(__\w+)"', source)} | {"__x_s0", "__x_d0", "__x_slot0", "comp", "sid", "a", "b", "doc", "__in0", "a.b"})
+        extra = rows.withColumns({n: F.lit(f"v-{n}") for n in names})
+        out, plain = call(extra), call(rows)
+        assert out.columns == extra.columns, module.__name__
+        assert out.where(" OR ".join(f"`{n}` <> 'v-{n}' OR `{n}` IS NULL" for n in names)).isEmpty(), module.__name__
+        assert as_rows(out.select(*rows.columns)) == as_rows(plain) and plain.count() > 0, module.__name__
+
+
 # -- 1
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -259,11 +277,13 @@ def test_url_filter(spark):
 
 
 def brute(train: list[str], texts: list[str]) -> list[float]:
+    import hashlib
     from collections import Counter, defaultdict
 
     n = lm_scoring.ORDER
     counts: list[dict] = [defaultdict(Counter) for _ in range(n)]
-    pad = lambda t: [255] * (n - 1) + list(t.encode()) + [254]
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % lm_scoring.VOCAB
+    pad = lambda t: [-1] * (n - 1) + [bucket(w) for w in t.split()] + [-2]
     for t in train:
         s = pad(t)
         for i in range(n - 1, len(s)):
@@ -278,21 +298,26 @@ def brute(train: list[str], texts: list[str]) -> list[float]:
     return [sum(np.log(p(tuple(s[i - n + 1 : i]), s[i])) for i in range(n - 1, len(s))) for s in map(pad, texts)]
 
 
-def test_lm_scoring(spark, odd, none):
-    train = [words(50, i) for i in range(20)] + ["", "é" * 30]
-    texts = [words(30, 500), "zzz QQQ é\U0001f600", "", train[3], words(400, 600)]
+@pytest.mark.parametrize("packed, part_bytes", [(2_000_000, 12 << 20), (50, 300)])
+def test_lm_scoring(spark, odd, none, monkeypatch, packed, part_bytes):
+    monkeypatch.setattr(lm_scoring, "PACKED", packed)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", part_bytes)
+    train = [words(50, i) for i in range(20)] + ["", "é " * 30, words(50, 3) + " end"]
+    texts = [words(30, 500), "zzz QQQ é😀", "", train[3], words(400, 600), " \n\t ", words(50, 3) + " other", "é é é"]
     t = spark.createDataFrame([(i, x) for i, x in enumerate([*train, None])], "doc_id bigint, text string")
-    d = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])], "doc_id bigint, text string").withColumn("s", F.lit("x"))
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, None])] + [(None, texts[0])], "doc_id bigint, text string").withColumn("s", F.lit("x"))
     want = brute(train, texts)
-    for rows in (lm_scoring.MODEL_ROWS, 0):
-        out = {r.doc_id: r for r in lm_scoring.score(d, t, rows).collect()}
-        for i, x in enumerate(texts):
-            n = len(x.encode()) + 1
-            assert out[i].n_bytes == n and abs(out[i].mean_logprob - want[i] / n) < 2e-6, (rows, i)
-        assert out[5].n_bytes == 0 and out[5].mean_logprob is None
+    out = {r.doc_id: r for r in lm_scoring.score(d, t).collect()}
+    assert len(out) == len(texts) + 2 and out[None].mean_logprob == out[0].mean_logprob
+    for i, x in enumerate(texts):
+        n = len(x.split()) + 1
+        assert out[i].n_words == n and abs(out[i].mean_logprob - want[i] / n) < 2e-6, i
+    assert out[len(texts)].n_words == 0 and out[len(texts)].mean_logprob is None
+    own = {r.doc_id: r.mean_logprob for r in lm_scoring.score(t, t).collect()}
+    assert all(abs(own[i] - s / (len(x.split()) + 1)) < 2e-6 for i, (x, s) in enumerate(zip(train, brute(train, train))))
     assert lm_scoring.score(none, t).count() == 0
     empty = lm_scoring.score(d, none).where("doc_id = 0").first()
-    assert abs(empty.mean_logprob + np.log(257)) < 1e-6
+    assert abs(empty.mean_logprob + np.log(lm_scoring.SYMBOLS)) < 1e-6
     assert lm_scoring.score(odd, odd).count() == len(ODD)
 
 
