@@ -11,11 +11,12 @@ from silicore.functions.expr import cols, decode_efuse, finite, rounded
 from silicore.operators import analysis as A
 from silicore.operators import recipes as R
 from silicore.operators.retest import verify_flags
+from silicore.plans import ingest_queries
 from silicore.plans.driver_model import CTES, load
 from silicore.plans.views import Model
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(ingest_queries.QUERIES)
+ORACLES: dict[str, str] = dict(ingest_queries.ORACLES)
 
 LOTS3 = ["L0", "L1", "L8"]
 CP = ("P0", "CP", "CP1")

@@ -1,29 +1,41 @@
 """The Parquet store: one folder a table, partitioned by product, category, process and lot.
 
-The partition columns (``p_*``, path-safe, ``_`` for empty) are copies: every logical
-column also lies in the files, so empty, numeric-looking and odd names keep their
-values and types. Reads take the tables' explicit schema: columns that old files lack
-are null, and no footers are sampled.
+The partition columns (``p_*``) hold the run's keys as text, nulls, empty values and a
+leading underscore escaped, so the keys follow from them without loss: the model's key
+columns are expressions over the partition columns, and a report's filter or join on a lot
+or product prunes folders, whatever the report. The keys also lie in the files, for
+other readers. Reads take the tables' explicit schema: columns that old files lack are
+null, and no footers are sampled.
+
+One writer at a time. A batch's tables are staged, then each is put in place lot by lot,
+which gives the same tables however often it is done (see ``streaming.ingest``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from silicore.functions.expr import path_safe
 from silicore.plans.views import Model, gross_die_table
 from silicore.sources.schemas import TABLES, stored
 
 PARTITIONS = {"p_product": "product", "p_category": "test_category", "p_process": "sub_process", "p_lot": "lot_id"}
 
 
+def escaped(key: Column) -> Column:
+    """A key as the name of a folder: never null or empty."""
+    return F.when(key.isNull(), "_null").when(key == "", "_empty").when(key.startswith("_"), F.concat(F.lit("_"), key)).otherwise(key)
+
+
+def unescaped(name: Column) -> Column:
+    return F.when(name == "_null", None).when(name == "_empty", "").when(name.startswith("_"), F.substring(name, 2, 1 << 30)).otherwise(name)
+
+
 def with_partitions(df: DataFrame) -> DataFrame:
-    safe = lambda c: F.when(path_safe(F.coalesce(F.col(c), F.lit(""))) == "", "_").otherwise(path_safe(F.col(c)))
-    return df.withColumns({p: safe(c) for p, c in PARTITIONS.items()})
+    return df.withColumns({p: escaped(F.col(c)) for p, c in PARTITIONS.items()})
 
 
 class Store:
@@ -40,7 +52,15 @@ class Store:
         return fs.exists(p)
 
     def table(self, name: str) -> DataFrame | None:
-        """The stored table with its partition columns, or None where there is none yet."""
+        """The stored table, its keys read from the partition columns; None where there is none yet."""
+        files = self.files(name)
+        if files is None:
+            return None
+        keys = {c: unescaped(F.col(p)).alias(c) for p, c in PARTITIONS.items()}
+        return files.select(*[keys.get(c, F.col(c)) for c in stored(name).fieldNames()])
+
+    def files(self, name: str) -> DataFrame | None:
+        """The stored table as it lies, with its partition columns."""
         if not self.has(name):
             return None
         schema = StructType(stored(name).fields)
@@ -49,22 +69,15 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def model(self) -> Model:
-        tables = {n: t.drop(*PARTITIONS) if (t := self.table(n)) is not None else None for n in TABLES}
-        return Model(**tables, gross_die=gross_die_table(self.spark, self.gross_die))
-
-    def append(self, name: str, df: DataFrame) -> None:
-        self._write(name, df, "append")
+        return Model(**{n: self.table(n) for n in TABLES}, gross_die=gross_die_table(self.spark, self.gross_die))
 
     def replace_lots(self, name: str, df: DataFrame) -> None:
         """Write ``df`` in place of what its lots' partitions held; other lots stay."""
-        self._write(name, df, "overwrite")
-
-    def _write(self, name: str, df: DataFrame, mode: str) -> None:
         cols = stored(name).fieldNames()
         out = with_partitions(df.select(*[F.col(c).cast(stored(name)[c].dataType) if c in df.columns else F.lit(None).cast(stored(name)[c].dataType).alias(c) for c in cols]))
-        # One task a lot writes one file a lot; AQE splits lots that are too large for that.
-        out = out.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS)
-        out.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", self.compression).partitionBy(*PARTITIONS).parquet(f"{self.path}/{name}")
+        # Lots are gathered, and lots that are too large for one task are split.
+        out = out.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", self.compression).partitionBy(*PARTITIONS).parquet(f"{self.path}/{name}")
 
 
 def import_tree(spark: SparkSession, path: str, table: str) -> DataFrame:

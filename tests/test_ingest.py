@@ -73,6 +73,103 @@ def test_stream_equals_batch(spark, tmp_path):
     assert max(r[5] for r in a) == 2
 
 
+def snapshot(store):
+    m = store.model()
+    return {n: sorted((tuple(map(str, r)) for r in t.collect())) for n in ("lots", "wafers", "parts", "test_data", "chipid") if (t := getattr(m, n)) is not None}
+
+
+def test_a_broken_batch_counts_once(spark, tmp_path, monkeypatch):
+    """Every write fails in turn; the run that follows gives the tables of an undisturbed one."""
+    logs = [tmp_path / "one", tmp_path / "two"]
+    for d in logs:
+        d.mkdir()
+    (logs[0] / "A_l#1.log").write_bytes(wafer_test("A", wafers=2, parts=4, fail=(1,)))
+    (logs[0] / "F_l#1.log").write_bytes(final_test("F", 2))
+    (logs[1] / "A_l#2.log").write_bytes(wafer_test("A", parts=3, start=1_700_200_000))
+    clean = Store(spark, str(tmp_path / "clean"))
+    for d in logs:
+        Ingest(clean, "P").directory(str(d))
+    want = snapshot(clean)
+    assert {r[-4] for r in want["parts"]} and len(want["test_data"]) == 13
+    put = Store.replace_lots
+    for broken in ("test_data", "parts", "wafers", "lots", "manifest"):
+        store = Store(spark, str(tmp_path / f"broken-{broken}"))
+        Ingest(store, "P").directory(str(logs[0]))
+        with monkeypatch.context() as patch:
+            if broken == "manifest":
+                patch.setattr(Ingest, "_manifest", property(lambda self: self.store.path + "/nowhere:\0"))
+                patch.setattr(Ingest, "manifest", lambda self: self.store.spark.read.parquet(self.store.path + "/_manifest", recursiveFileLookup=True))
+            else:
+                patch.setattr(Store, "replace_lots", lambda self, name, df: 1 / 0 if name == broken else put(self, name, df))
+            with pytest.raises(Exception):
+                Ingest(store, "P").directory(str(logs[1]))
+        assert Ingest(store, "P").directory(str(logs[1])).count() == 0, broken
+        assert snapshot(store) == want, broken
+        Ingest(store, "P").recover()
+        assert snapshot(store) == want and Ingest(store, "P").manifest().count() == 3
+
+
+def test_a_batch_that_was_not_ready_is_forgotten(spark, tmp_path, monkeypatch):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/A_l#1.log").write_bytes(wafer_test("A", parts=4))
+    store = Store(spark, str(tmp_path / "store"))
+    with monkeypatch.context() as patch:
+        patch.setattr(Ingest, "_put", lambda self, stage: 1 / 0)
+        patch.setattr("silicore.streaming.ingest.with_retest_flag", lambda df: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            Ingest(store, "P").directory(str(tmp_path / "logs"))
+    assert not store.has("parts")
+    assert Ingest(store, "P").directory(str(tmp_path / "logs")).count() == 1
+    assert store.model().parts.agg(F.max("retest_num"), F.count("*")).first()[:] == (0, 4)
+
+
+def test_stream_replay_counts_once(spark, tmp_path):
+    """A batch that is handed over again, as after a crash, changes nothing."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "A_l#1.log").write_bytes(wafer_test("A", parts=4))
+    store = Store(spark, str(tmp_path / "store"))
+    Ingest(store, "P").stream(str(logs), str(tmp_path / "ck1"))
+    want = snapshot(store)
+    Ingest(store, "P").stream(str(logs), str(tmp_path / "ck2"))
+    assert snapshot(store) == want and len(want["parts"]) == 4
+
+
+def test_keys_survive_as_folders(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    keys = ["L1", "", None, "_x", "__y", "_null", "a/b:c*", "007", " pad ", "1e5"]
+    df = spark.createDataFrame([(k, "P", "CP", None) for k in keys], "lot_id string, product string, test_category string, sub_process string")
+    store.replace_lots("lots", df)
+    assert sorted(r.lot_id or repr(r.lot_id) for r in store.model().lots.collect()) == sorted(k or repr(k) for k in keys)
+    assert [store.model().lots.where(F.col("lot_id") == k).count() for k in keys if k is not None] == [1] * 9
+
+
+def partition_filters(df) -> list[str]:
+    import re
+
+    return re.findall(r"PartitionFilters: \[(.*?)\](?:, (?:PushedFilters|Read)|\n|$)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_reports_prune_lots_and_products(store, spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    m = store.model()
+    for df in (R.r5_3(m, "LOT1"), R.r3_1(m, "LOT1"), A.wafer_yield(m, "LOT1"), R.r8_1(m, "LOT1"), A.test_stats_by_lot(m, ["LOT1", "FT9"])):
+        found = partition_filters(df)
+        assert found and all("p_lot" in f for f in found if f), found
+        assert any("LOT1" in f for f in found)
+    assert any("p_product" in f for f in partition_filters(R.r2_1(m, "PROD", "CP1")))
+    touched = spark.createDataFrame([("PROD", "CP", "CP11", "LOT1")], "product string, test_category string, sub_process string, lot_id string")
+    for name in ("parts", "test_data"):
+        df = Ingest(store)._lots(name, touched)
+        assert all("p_lot" in f for f in partition_filters(df)) and df.count() > 0
+
+
+def test_known_logs_are_not_opened(store, spark, monkeypatch):
+    logs = store.path.rsplit("/", 1)[0] + "/logs"
+    monkeypatch.setattr(Ingest, "batch", lambda self, files: 1 / 0)
+    assert Ingest(store, "PROD").directory(logs).count() == 0
+
+
 def test_demotion_equals_rank(spark):
     schema = "lot_id string, wafer_id string, x_coord bigint, y_coord bigint, part_txt string, test_num bigint, pin_num bigint, retest_num bigint"
     runs = [[("L", "W", x, 0, "", t, p) for x in xs for t, p in ((1, None), (2, 3))] for xs in ((0, 1, 2), (1,), (1, 2), (5,))]
