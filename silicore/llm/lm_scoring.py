@@ -28,9 +28,11 @@ Defined results
   * empty training documents: a uniform model; empty documents: an empty result;
   * extra columns are ignored.
 
-What travels are a batch's distinct n-grams, once each way, and its texts as numbers; the
-sums over the corpus are as many as it has distinct n-grams. Limit: all states that end in one
-word share a partition, so a very frequent word makes its partition larger than the rest.
+What travels are a batch's distinct n-grams there, their weights back, and its texts as
+numbers of three bytes, which pass through; the sums over the corpus are as many as it has
+distinct n-grams. The input should be a written table: a task that runs again must find its
+rows as they were. Limit: all states that end in one word share a partition, so a very
+frequent word makes its partition larger than the rest.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import release, table
 from .sentencepiece_bpe import slices
 from .words import scramble, split
 
@@ -59,9 +61,11 @@ SYMBOLS = VOCAB + 1
 #: Positions that a task packs at once, and bytes of text for each partition of the automaton.
 PACKED = 2_000_000
 PART_BYTES = 12 << 20
-_SLICE = 4 << 20
+_SLICE = 1 << 20
+#: Words whose bucket a task remembers.
+KNOWN = 100_000
 _ROWS = "kind int, batch bigint, part bigint, data binary"
-DOCS, COUNTED, ASKED, WORD = 0, 1, 2, 4
+DOCS, COUNTED, ASKED = 0, 1, 2
 
 
 def _ids(texts: pa.Array, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +74,7 @@ def _ids(texts: pa.Array, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray
     uniq, first, at = np.unique(h, return_index=True, return_inverse=True)
     raw = view.tobytes()
     out = np.empty(len(uniq), np.int64)
-    if len(known) > 1_000_000:
+    if len(known) > KNOWN:
         known.clear()  # a cache alone
     for i, (k, f) in enumerate(zip(uniq.tolist(), first.tolist())):
         got = known.get(k)
@@ -102,6 +106,11 @@ def _part(code: np.ndarray, parts: int) -> np.ndarray:
     return ((scramble(word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of equal rank side by side: those that are all zero compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+
+
 def _pack(code: np.ndarray, count: np.ndarray | None) -> bytes:
     """Sorted numbers as differences, byte by byte, which compresses well."""
     gap = np.diff(code, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -143,15 +152,11 @@ def _gather(it: Iterator[pa.RecordBatch], role: int, parts: int, packed: int) ->
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order), dtype="<u4")
             who, n, null = pa.concat_arrays(ids), np.concatenate(lens), np.concatenate(dead)
-            own = [np.array([len(n), len(head)], "<u4"), np.where(null, -1, n).astype("<i8"), who.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), who.fill_null(0).to_numpy().astype("<i8"), part[order[head]].astype("<i8"), (ends - head).astype("<i8"), rank[at]]
-            yield _rows([(DOCS, batch, -1, b"".join(x.tobytes() for x in own))])
+            own = [np.array([len(n), len(head)], "<u4"), np.where(null, -1, n).astype("<i8"), who.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), who.fill_null(0).to_numpy().astype("<i8"), part[order[head]].astype("<i8"), (ends - head).astype("<i8"), _planes(rank[at])]
+            yield _rows([(DOCS, batch, batch % parts, b"".join(x.tobytes() for x in own))])
         some = [(role, batch, int(part[order[a]]), _pack(uniq[order[a:b]], count[order[a:b]] if role & COUNTED else None)) for a, b in zip(head, ends)]
         for i in range(0, len(some), 64):
             yield _rows(some[i : i + 64])
-        if role & COUNTED:
-            word, n = np.unique(code & MASK, return_counts=True)
-            for i in range(0, len(word), 50_000):
-                yield _rows([(WORD, int(w), int(c), None) for w, c in zip(word[i : i + 50_000], n[i : i + 50_000])])
         ids.clear(), dead.clear(), lens.clear()
         held, rows, serial = 0, 0, serial + 1
 
@@ -179,6 +184,9 @@ def _weights(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     asked, counted = [], []
     for rows in it:
         for kind, batch, part, data in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column(3)):
+            if kind == DOCS:
+                yield _rows([(kind, batch, part, data.as_py())])
+                continue
             code, count = _unpack(memoryview(data.as_buffer()))
             if kind & COUNTED:
                 counted.append((code, count))
@@ -204,7 +212,10 @@ def _weights(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
             count = np.where(keys[at] == arc, sums[at], 0)
             own = np.minimum(np.searchsorted(state, arc >> BITS), len(state) - 1)
             p = np.where(state[own] == arc >> BITS, (count + kinds[own] * p) / (total[own] + kinds[own]), p)
-        yield _rows([(ASKED, batch, part, np.log(p).astype("<f8").tobytes())])
+        # Few values differ: a table of them, and a number of it for each transition.
+        values, at = np.unique(np.log(p), return_inverse=True)
+        at = at.astype(next(k for k in ("<u1", "<u2", "<u4") if len(values) <= 1 << 8 * np.dtype(k).itemsize))
+        yield _rows([(ASKED, batch, part, np.array([len(values), at.itemsize], "<u4").tobytes() + values.astype("<f8").tobytes() + _planes(at).tobytes())])
     release()
 
 
@@ -224,7 +235,7 @@ def _walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.cumsum([8, 8 * n_docs, n_docs, 8 * n_docs, 8 * n_parts, 8 * n_parts])
         n, none, who = (np.frombuffer(texts, k, n_docs, a) for k, a in zip(("<i8", np.uint8, "<i8"), at))
         parts = np.frombuffer(texts, "<i8", n_parts, at[3])
-        path = np.frombuffer(texts, "<u4", -1, at[5])
+        path = np.ascontiguousarray(np.frombuffer(texts, np.uint8, -1, at[5]).reshape(4, -1).T).view("<u4").ravel()
         total = np.zeros(n_docs)
         if len(path):
             step = np.concatenate([weights[p] for p in parts.tolist()])[path]
@@ -243,15 +254,34 @@ def _walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == DOCS:
                 texts = memoryview(data.as_buffer())
             else:
-                weights[part] = np.frombuffer(data.as_buffer(), "<f8")
+                raw = data.as_buffer()
+                n, wide = (int(x) for x in np.frombuffer(raw, "<u4", 2))
+                number = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 8 + 8 * n).reshape(wide, -1).T).view(f"<u{wide}").ravel()
+                weights[part] = np.frombuffer(raw, "<f8", n, 8)[number]
     if texts is not None:
         yield from walked()
     release()
 
 
-def _root(words: DataFrame) -> np.ndarray:
+def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(symbol, n): a task's symbols with their counts."""
+    total, known = np.zeros(MASK + 1, np.int64), {}
+    for batch in it:
+        for x in slices(batch, "text", _SLICE):
+            texts = x.column("text").drop_null()
+            word, n = np.unique(_ids(texts, known)[0], return_counts=True)
+            total[word] += n
+            total[END] += len(texts)
+    word = np.flatnonzero(total)
+    for i in range(0, len(word), 50_000):
+        w = word[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(total[w])], names=["symbol", "n"])
+    release()
+
+
+def _root(training: DataFrame) -> np.ndarray:
     """p of every symbol at the root: a fixed number of places, whatever the corpus."""
-    got = words.groupBy("batch").agg(F.sum("part").alias("n")).toArrow()
+    got = training.select("text").mapInArrow(_words, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(MASK + 1)
     count[got.column(0).to_numpy()] = got.column(1).to_numpy()
     kinds, total = float(np.count_nonzero(count)), float(count.sum())
@@ -261,17 +291,14 @@ def _root(words: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, n_words, mean_logprob, perplexity), one row a document of ``docs``."""
-    spark = docs.sparkSession
-    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts, packed = max(1, -(-size // PART_BYTES)), PACKED
+    size = lambda df: -(-(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    parts, packed = max(1, size(training)), PACKED
+    own = parts if docs is training else max(1, size(docs))
     seen = lambda df, role: df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(lambda it: _gather(it, role, parts, packed), _ROWS)
     rows = seen(docs, COUNTED | ASKED) if docs is training else seen(docs, ASKED).unionByName(seen(training.select(F.lit(None).alias("doc_id"), "text"), COUNTED))
-    rows = materialize(rows, "op8-batches")
-    shared = spark.sparkContext.broadcast(_root(rows.where(F.col("kind") == WORD)))
-    moves = rows.where(F.col("kind").isin(COUNTED, ASKED, COUNTED | ASKED)).repartitionById(parts, F.col("part").cast("int"))
-    back = moves.mapInArrow(lambda it: _weights(it, shared), _ROWS)
-    texts = rows.where(F.col("kind") == DOCS)
-    out = texts.unionByName(back).repartition(max(1, texts.count()), "batch").sortWithinPartitions("batch").mapInArrow(_walk, "doc_id bigint, n_words bigint, s double")
+    shared = docs.sparkSession.sparkContext.broadcast(_root(training))
+    back = rows.repartitionById(parts, F.col("part").cast("int")).mapInArrow(lambda it: _weights(it, shared), _ROWS)
+    out = back.repartition(own, "batch").sortWithinPartitions("batch").mapInArrow(_walk, "doc_id bigint, n_words bigint, s double")
     mean = F.col("s") / F.col("n_words")
     return out.select("doc_id", "n_words", (F.round(mean * 1e6) / 1e6).alias("mean_logprob"), (F.round(F.exp(-mean) * 1e3) / 1e3).alias("perplexity"))
 
