@@ -85,6 +85,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with buckets and owners so small that small tables double the directory too."""
+    return find_copies(table(spark, sf_dir, "documents"), capacity=32 << 10, owner_bytes=128 << 10)
+
+
 ORACLE = """
 SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS kept_doc_id,
        text IS NOT NULL AND row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) > 1 AS is_copy

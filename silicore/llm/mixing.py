@@ -21,13 +21,16 @@ Defined results
     nulls first, text);
   * weights: sources that the table lacks are ignored, sources without a weight get
     none; by default a source's weight is its block count to the power ``ALPHA``;
-  * a source with fewer blocks than slots is passed through again (``epoch``);
+  * a source with fewer blocks than slots is passed through again (``epoch``); its draws
+    travel in rows of at most ``EPOCHS`` passes, however many they are;
   * an empty table: no slots;
   * extra columns are ignored by ``mix``; ``mix_documents`` returns them as null.
 
 The text is shuffled once, when streams gather: the plan is made of counts, and the
-slots that drew a stream's blocks travel to the stream. The number of slots is that
-of the blocks.
+slots that drew a stream's blocks travel to the stream. Only where a source is passed
+through more than ``EPOCHS`` times its blocks are spread again before they are repeated. The
+number of slots is that of the blocks. Words are the tokens: the model's own would cost more
+CPU time than this operator's budget has (figures in the README).
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ ALPHA = 0.5
 SEED = 20_240_501
 ROUNDS = 24
 PAGE = 4096
+#: Passes over a source whose draws lie in one row.
+EPOCHS = 64
 EOD = "\n\n"
 
 _P = 2147483647
@@ -106,8 +111,9 @@ def _spread():
     return F.expr(f"coalesce((pmod(doc_id, {_P}) * 48271 + 11) % {_P}, 0)")
 
 
-def _plan(docs: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame, DataFrame]:
-    """Streams per (source, lang); for each stream an array, by block, of the slots that drew it."""
+def _plan(docs: DataFrame, weights: dict[str, float] | None, shard: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Streams per (source, lang); for each stream and ``EPOCHS`` passes an array, by block, of
+    the slots that drew it; and whether any source has more passes."""
     spark = docs.sparkSession
     light = materialize(_streams(docs), "op2-tokens")
     split = materialize(light.groupBy("__m_s", "__m_l").agg(F.ceil(F.sum("__m_b") / F.lit(float(STREAM_BYTES))).cast("bigint").alias("__m_g")), "op2-streams")
@@ -131,7 +137,7 @@ def _plan(docs: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame,
 
     head = size.agg(F.max("__m_slots"), F.max("__m_all")).first()
     n = int(head[0] or 0) if (head[1] or 0) > 0 else 0
-    slots = spark.range(n).select(F.expr(f"id div {SHARD}").alias("shard"), F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint").alias("__m_u"))
+    slots = spark.range(n).select(F.expr(f"id div {shard}").alias("shard"), F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint").alias("__m_u"))
     drawn = slots.join(small(size.select("__m_s", "__m_lo", "__m_hi")), (F.col("__m_u") >= F.col("__m_lo")) & (F.col("__m_u") < F.col("__m_hi")))
     counts = drawn.groupBy("shard", "__m_s").agg(F.count(F.lit(1)).alias("__m_c"))
     before = Window.partitionBy("__m_s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,10 +154,15 @@ def _plan(docs: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame,
     pages = first.withColumn("__m_page", F.explode(F.expr(f"sequence(__m_first div {PAGE}, (__m_first + __m_k - 1) div {PAGE})")))
     slot = slot.withColumn("__m_page", F.expr(f"block div {PAGE}")).join(pages, ["__m_s", "__m_page"]).where("block >= __m_first AND block < __m_first + __m_k")
     keys = ["__m_s", "__m_l", "__m_i"]
-    drawn = slot.groupBy(*keys, (F.col("block") - F.col("__m_first")).alias("__m_b")).agg(F.collect_list(F.struct("shard", "slot", "block", "epoch")).alias("__m_d"))
-    every = first.withColumn("__m_b", F.explode(F.expr("sequence(0L, __m_k - 1)"))).join(drawn, [*keys, "__m_b"], "left")
-    plan = every.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__m_b", "__m_d"))).alias("__m_plan"))
-    return split, materialize(plan, "op2-plan")
+    passes = (F.col("epoch") / EPOCHS).cast("bigint").alias("__m_e")
+    drawn = slot.groupBy(*keys, passes, (F.col("block") - F.col("__m_first")).alias("__m_b")).agg(F.collect_list(F.struct("shard", "slot", "block", "epoch")).alias("__m_d"))
+    last = materialize(counts.groupBy("__m_s").agg(F.max(F.col("__m_base") + F.col("__m_c") - 1).alias("__m_j")), "op2-last")
+    rows = size.join(small(last), "__m_s").select("__m_s", F.expr(f"sequence(0L, __m_j div __m_size div {EPOCHS})").alias("__m_es"))
+    many = not rows.where("size(__m_es) > 1").isEmpty()
+    every = first.join(small(rows), "__m_s").select("*", F.explode("__m_es").alias("__m_e")).withColumn("__m_b", F.explode(F.expr("sequence(0L, __m_k - 1)")))
+    every = every.join(drawn, [*keys, "__m_e", "__m_b"], "left")
+    plan = every.groupBy(*keys, "__m_e").agg(F.sort_array(F.collect_list(F.struct("__m_b", "__m_d"))).alias("__m_plan"))
+    return split, materialize(plan, "op2-plan"), many
 
 
 def _blocks(docs: DataFrame, split: DataFrame) -> DataFrame:
@@ -173,9 +184,9 @@ def _blocks(docs: DataFrame, split: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, shard: int = SHARD) -> DataFrame:
     """(shard, slot, source, lang, block, epoch, doc_ids, text, n_tokens), one row a slot."""
-    out = _slots(docs, weights)
+    out = _slots(docs, weights, shard)
     return out.select("shard", "slot", "source", "lang", "block", "epoch", F.expr("transform(__m_ps, x -> x.doc_id)").alias("doc_ids"), _joined().alias("text"), "n_tokens")
 
 
@@ -183,12 +194,15 @@ def _joined():
     return F.expr("array_join(transform(__m_ps, x -> x.p), '')")
 
 
-def _slots(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+def _slots(docs: DataFrame, weights: dict[str, float] | None, shard: int = SHARD) -> DataFrame:
     """One row a slot, with the pieces of its block."""
-    split, plan = _plan(docs, weights)
+    split, plan, many = _plan(docs, weights, shard)
     # The plan has one row a stream and is hashed on the blocks' own partitioning.
     out = _blocks(docs, split).join(plan.hint("shuffle_hash"), ["__m_s", "__m_l", "__m_i"])
-    out = out.select("*", F.explode(F.expr("__m_plan[int(__m_b)].__m_d")).alias("__m_d"))
+    out = out.withColumn("__m_ds", F.expr("__m_plan[int(__m_b)].__m_d")).drop("__m_plan").where("__m_ds IS NOT NULL")
+    if many:
+        out = out.repartition("__m_s", "__m_l", "__m_i", "__m_b", "__m_e")
+    out = out.select("*", F.explode("__m_ds").alias("__m_d"))
     source = F.when(F.col("__m_s") != _NONE, F.col("__m_s")).alias("source")
     return out.select("__m_d.shard", "__m_d.slot", source, "lang", "__m_d.block", "__m_d.epoch", "__m_ps", "n_tokens")
 
@@ -242,7 +256,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-def sql(docs: str = "documents") -> str:
+def op2_mixing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shards so small that small tables fill many."""
+    return mix(table(spark, sf_dir, "documents"), shard=32)
+
+
+def sql(docs: str = "documents", shard: int = SHARD) -> str:
     """CTEs ending in ``op2_out`` over ``docs``."""
     body = _swap_round("x", "r", "key0", "size0", "//")
     return rf"""
@@ -259,7 +278,7 @@ op2_z AS (SELECT s0, CAST(sum(k) AS BIGINT) AS size0, power(CAST(sum(k) AS DOUBL
 op2_y AS (SELECT *, CAST(floor(sum(w) OVER (ORDER BY s0 ROWS UNBOUNDED PRECEDING) / sum(w) OVER () * 4294967296.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS hi FROM op2_z),
 op2_x AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY s0), 0) AS lo FROM op2_y),
 op2_u AS (SELECT id, CAST('0x' || substr(md5('{SEED}|' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) AS u FROM (SELECT unnest(range((SELECT CAST(coalesce(sum(size0), 0) AS BIGINT) FROM op2_z))) AS id)),
-op2_c AS (SELECT id // {SHARD} AS shard, s0, size0, count(*) AS c FROM op2_u JOIN op2_x ON u >= lo AND u < hi GROUP BY ALL),
+op2_c AS (SELECT id // {shard} AS shard, s0, size0, count(*) AS c FROM op2_u JOIN op2_x ON u >= lo AND u < hi GROUP BY ALL),
 op2_j AS (SELECT shard, s0, size0, unnest(range(base, base + c)) AS j FROM (SELECT *, CAST(coalesce(sum(c) OVER (PARTITION BY s0 ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base FROM op2_c)),
 op2_e AS (SELECT *, j // size0 AS epoch, CAST('0x' || substr(md5(concat_ws('|', '{SEED}', s0, CAST(j // size0 AS VARCHAR))), 1, 7) AS BIGINT) AS key0 FROM op2_j),
 op2_s AS (SELECT *, list_reduce(range({ROUNDS}), lambda x, r: {body}, j % size0) AS block,
@@ -268,3 +287,4 @@ op2_out AS (SELECT s.shard, s.slot, CASE WHEN s0 <> chr(1) THEN s0 END AS source
 
 
 ORACLE = f"WITH {sql()} SELECT * FROM op2_out"
+SHARDS_ORACLE = f"WITH {sql(shard=32)} SELECT * FROM op2_out"

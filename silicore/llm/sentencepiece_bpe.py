@@ -19,6 +19,8 @@ Defined results
   * decoding gives the text back but for that mark; ids that are no bytes of a whole
     character decode to U+FFFD; control ids decode to nothing;
   * texts of any length are encoded whole; repeated rows are each encoded;
+  * a model whose merges tie in score (but for runs of the mark) is refused: which of two
+    equal merges comes first would not follow from prefixes;
   * an empty table: an empty result; extra columns are ignored.
 
 Everything is a map over the scan: nothing is shuffled. The model's path is a
@@ -39,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import release, table
 
@@ -332,5 +335,14 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens int, decoded string")
 
 
+def op5_sentencepiece_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): every text encoded and decoded again."""
+    return round_trip(table(spark, sf_dir, "documents")).select("doc_id", F.col("decoded").alias("text"))
+
+
+#: The meta symbol for a blank is read as a blank.
+ROUND_TRIP_ORACLE = "SELECT doc_id, replace(text, chr(9601), ' ') AS text FROM documents"
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))

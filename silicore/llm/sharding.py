@@ -89,11 +89,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-ORACLE = f"""
+def op9_sharding_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at a limit that splits small tables too."""
+    return shard(table(spark, sf_dir, "documents"), SPLIT)
+
+
+SPLIT = 32 << 10
+
+
+def _oracle(limit: int) -> str:
+    return f"""
 WITH k AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0) AS n_bytes,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(md5(text), '~')), 1, 15) AS BIGINT) AS h FROM documents),
 p AS (SELECT rid, d, h >> (60 - d) AS prefix, n_bytes, h FROM k CROSS JOIN (SELECT CAST(unnest(range(0, 25)) AS INT) AS d)),
 s AS (SELECT d, prefix, sum(n_bytes) AS total, min(h) = max(h) AS one FROM p GROUP BY d, prefix),
-best AS (SELECT p.rid, min(p.d) AS depth FROM p JOIN s ON p.d = s.d AND p.prefix = s.prefix WHERE s.total <= {LIMIT} OR s.one GROUP BY p.rid)
-SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, depth, h >> (60 - depth) AS shard, CAST(0 AS BIGINT) AS page, false AS oversize
-FROM k JOIN best USING (rid)"""
+best AS (SELECT p.rid, min(p.d) AS depth FROM p JOIN s ON p.d = s.d AND p.prefix = s.prefix WHERE s.total <= {limit} OR s.one GROUP BY p.rid),
+b AS (SELECT *, h >> (60 - depth) AS shard FROM k JOIN best USING (rid)),
+w AS (SELECT *, sum(n_bytes) OVER x > {limit} AS over, greatest(1, {limit} // greatest(max(n_bytes) OVER x, 1)) AS fit, row_number() OVER (PARTITION BY depth, shard ORDER BY h) AS place FROM b WINDOW x AS (PARTITION BY depth, shard))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, depth, shard, CAST(CASE WHEN over THEN (place - 1) // fit ELSE 0 END AS BIGINT) AS page, over AND n_bytes > {limit} AS oversize FROM w"""
+
+
+ORACLE, SPLIT_ORACLE = _oracle(LIMIT), _oracle(SPLIT)

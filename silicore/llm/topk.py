@@ -171,6 +171,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with blocks so small that small tables have many."""
+    return search(table(spark, sf_dir, "embeddings"), block=64)
+
+
 ORACLE = f"""
 WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
 p AS (SELECT row_number() OVER () AS rid, * FROM v),

@@ -17,9 +17,10 @@ Defined results
   * repeated rows are each judged; an empty table gives an empty result; extra columns
     are ignored.
 
-The entries are broadcast as a trie while there are at most ``TRIE_ENTRIES``; beyond
-that the same decision is a join of each URL's candidate keys with the entry table,
-which shuffles keys instead of copying the list to every executor.
+The entries are broadcast as a trie while there are at most ``TRIE_ENTRIES``. Beyond that the
+trie is partitioned below its first two labels: URLs and entries go to the partition of
+their first two labels, where the same walk goes over that part of the trie. Entries of one
+label, of which there are no more than top-level domains, are in every part.
 """
 
 from __future__ import annotations
@@ -27,16 +28,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fits, table
+from .url_rules import ALLOW, BLOCK
 
 TRIE_ENTRIES = 2_000_000
 
-BLOCK = ["example.net", "ththre.example.com", "example.org/de", "m.example.com", "thther.example.org/fr", "example.com/es/1", "spam.example"]
-ALLOW = ["example.net/fr", "m.ththth.example.net", "thther.example.org", "example.com/es", "m.example.com/en"]
-
 
 def parts(url: Column) -> tuple[Column, Column]:
     """Host labels from the top-level domain inwards, and path segments."""
@@ -56,24 +56,23 @@ def entries(spark: SparkSession, allow: Iterable[str | None], block: Iterable[st
     return df.select(labels.alias("labels"), segments.alias("segments"), "action").where("size(labels) > 0").groupBy("labels", "segments").agg(F.max("action").alias("action"))
 
 
-def _text(labels: Column, segments: Column) -> Column:
-    host = F.concat_ws(".", F.reverse(labels))
-    return F.when(F.size(segments) > 0, F.concat_ws("/", host, F.concat_ws("/", segments))).otherwise(host)
-
-
 def build_trie(rows: list) -> dict:
     """Nested dicts: label -> node; a node's "/" leads to its segment nodes, its "" holds the decision."""
     root: dict = {}
     for labels, segments, action in rows:
-        node = root
-        for x in labels:
-            node = node.setdefault("." + x, {})
-        for x in segments:
-            node = node.setdefault("/" + x, {})
-        node[""] = (action, ".".join(reversed(labels)) + "".join("/" + s for s in segments))
+        add(root, labels, segments, action)
     return root
 
 
+def add(root: dict, labels: list[str], segments: list[str], action: str) -> None:
+    node = root
+    for x in labels:
+        node = node.setdefault("." + x, {})
+    for x in segments:
+        node = node.setdefault("/" + x, {})
+    node[""] = (action, ".".join(reversed(labels)) + "".join("/" + s for s in segments))
+
+
 def walk(trie: dict, labels: Iterable[str], segments: list[str]) -> tuple[str, str] | None:
     found, node = None, trie
     for x in labels:
@@ -94,16 +93,13 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     """(key, url, action, entry, keep), one row a page."""
     labels, segments = parts(F.coalesce(F.col(url), F.lit("")))
     src = pages.select(F.col(key), F.col(url).alias("url"), labels.alias("__u_l"), segments.alias("__u_s"))
-    if rules.limit(trie_entries + 1).count() <= trie_entries:
-        out = _by_trie(src, rules)
-    else:
-        out = _by_join(src, rules)
+    out = (_whole if fits(rules, trie_entries) else _parted)(src, rules)
     bad = F.size("__u_l") == 0
     action = F.when(bad, "invalid").otherwise(F.coalesce(F.col("__u_hit")["action"], F.lit("none")))
     return out.select(key, "url", action.alias("action"), F.when(~bad, F.col("__u_hit")["entry"]).alias("entry"), action.isin("allow", "none").alias("keep"))
 
 
-def _by_trie(src: DataFrame, rules: DataFrame) -> DataFrame:
+def _whole(src: DataFrame, rules: DataFrame) -> DataFrame:
     sc = src.sparkSession.sparkContext
     shared = sc.broadcast(build_trie([tuple(r) for r in rules.collect()]))
 
@@ -117,14 +113,32 @@ def _by_trie(src: DataFrame, rules: DataFrame) -> DataFrame:
     return src.withColumn("__u_hit", look("__u_l", "__u_s"))
 
 
-def _by_join(src: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every URL's candidate keys against the entries; the deepest match by (labels, segments)."""
-    src = src.withColumn("__u_row", F.monotonically_increasing_id())
-    keys = src.select("__u_row", "__u_l", "__u_s", F.explode(F.sequence(F.lit(1), F.size("__u_l"))).alias("__u_n")).where("size(__u_l) > 0")
-    keys = keys.select("*", F.explode(F.sequence(F.lit(0), F.size("__u_s"))).alias("__u_m"))
-    keys = keys.select("__u_row", "__u_n", "__u_m", F.slice("__u_l", 1, F.col("__u_n")).alias("labels"), F.slice("__u_s", 1, F.col("__u_m")).alias("segments"))
-    hit = keys.join(rules, ["labels", "segments"]).groupBy("__u_row").agg(F.max_by(F.struct("action", _text(F.col("labels"), F.col("segments")).alias("entry")), F.struct("__u_n", "__u_m")).alias("__u_hit"))
-    return src.join(hit, "__u_row", "left").drop("__u_row")
+def _parted(src: DataFrame, rules: DataFrame) -> DataFrame:
+    """URLs and entries meet by their first two labels; a part's trie is built from its entries."""
+    sc = src.sparkSession.sparkContext
+    shared = sc.broadcast([tuple(r) for r in rules.where("size(labels) = 1").collect()])
+    part = lambda c: F.concat_ws(".", F.slice(c, 1, 2))
+    key, kind = src.columns[0], src.schema[0].dataType.simpleString()
+    asked = src.select(part("__u_l").alias("__u_p"), F.lit(1).alias("__u_k"), F.col(key).alias("__u_id"), F.col("url").alias("__u_url"), "__u_l", "__u_s", F.lit(None).cast("string").alias("__u_a"))
+    known = rules.where("size(labels) > 1").select(part("labels").alias("__u_p"), F.lit(0).alias("__u_k"), F.lit(None).cast(kind).alias("__u_id"), F.lit(None).cast("string").alias("__u_url"), F.col("labels").alias("__u_l"), F.col("segments").alias("__u_s"), F.col("action").alias("__u_a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, trie, found = None, {}, []
+        for batch in batches:
+            rows, found = [batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6)], []
+            for i, (p, k, labels, segments, action) in enumerate(zip(*rows)):
+                if p != now:
+                    now, trie = p, build_trie(shared.value)
+                if k == 0:
+                    add(trie, labels, segments, action)
+                else:
+                    found.append((i, *(walk(trie, labels, segments) or (None, None))))
+            at = pa.array([x[0] for x in found], pa.int64())
+            hit = pa.StructArray.from_arrays([pa.array([x[j] for x in found], pa.string()) for j in (1, 2)], ["action", "entry"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in (2, 3, 4)), hit], names=[key, "url", "__u_l", "__u_hit"])
+
+    rows = asked.unionByName(known).repartition("__u_p").sortWithinPartitions("__u_p", "__u_k")
+    return rows.mapInArrow(run, f"`{key}` {kind}, url string, __u_l array<string>, __u_hit struct<action: string, entry: string>")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def test_mixing_is_lossless(spark, odd, none, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 7)
     out = mixing.mix(odd)
     assert out.count() == out.select("shard", "slot").distinct().count()
-    split, _ = mixing._plan(odd, None)
+    split, _, _ = mixing._plan(odd, None, mixing.SHARD)
     blocks = mixing._blocks(odd, split).withColumn("t", F.expr("array_join(transform(__m_ps, x -> x.p), '')")).orderBy("__m_s", "__m_l", "__m_i", "__m_b").collect()
     streams = {}
     for b in blocks:
@@ -125,6 +125,17 @@ def test_mixing_weights(spark):
     assert mixing.mix(docs, {"absent": 1.0}).count() == 0
 
 
+def test_mixing_repeats_a_small_source(spark, monkeypatch):
+    """A source that is passed through many times: its draws are spread over rows, none is lost."""
+    docs = spark.createDataFrame([(i, words(400, i), "en", "big", 1) for i in range(60)] + [(100, words(700, 5), "en", "tiny", 1)], DOCS)
+    monkeypatch.setattr(mixing, "EPOCHS", 3)
+    few = as_rows(mixing.mix(docs, {"tiny": 9.0, "big": 1.0}))
+    monkeypatch.setattr(mixing, "EPOCHS", 10_000)
+    assert few == as_rows(mixing.mix(docs, {"tiny": 9.0, "big": 1.0}))
+    tiny = [r for r in few if r[2] == "tiny"]
+    assert len({r[4] for r in tiny}) == 2 and max(r[5] for r in tiny) > 6 and len({r[:2] for r in few}) == len(few)
+
+
 def test_mixing_names_every_document(spark, monkeypatch, tmp_path):
     """Every piece of a block comes out under its own document's id, also after a write."""
     import corpus_pipeline
@@ -257,16 +268,19 @@ def test_exact_dedup(spark, odd, none):
 
 # -- 7
 
-URLS = ["http://a.example.net/x", "https://b.example.net:80/fr/1?q#f", "HTTP://U@Example.NET./fr", "http://example.org/de", "http://example.org/den", "x.example.org/de/y/", "http://thther.example.org/fr/2", "http://example.com/es/1/2", "http://example.com/es/12", "//m.ththth.example.net/z", "", None, "http://", "mailto:x@y", "http://notexample.net/", "http://q.m.example.com/en//a", "http://q.m.example.com/fr"]
+URLS = ["http://a.example.net/x", "https://b.example.net:80/fr/1?q#f", "HTTP://U@Example.NET./fr", "http://example.org/de", "http://example.org/den", "x.example.org/de/y/", "http://thther.example.org/fr/2", "http://example.com/es/1/2", "http://example.com/es/12", "//m.ththth.example.net/z", "", None, "http://", "mailto:x@y", "http://notexample.net/", "http://q.m.example.com/en//a", "http://q.m.example.com/fr", "http://any.host.xxx/a", "http://xxx", "http://m.example.com/en/" + "a/" * 50_000]
 
 
 def test_url_filter(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id bigint, url string").withColumn("action", F.lit("mine"))
-    rules = url_filter.entries(spark, [*url_filter.ALLOW, None, "", "/only/path"], [*url_filter.BLOCK, url_filter.BLOCK[0]])
+    block = ["example.net", "ththre.example.com", "example.org/de", "m.example.com", "thther.example.org/fr", "example.com/es/1", "spam.example", "xxx", "example.net"]
+    allow = ["example.net/fr", "m.ththth.example.net", "thther.example.org", "example.com/es", "m.example.com/en", None, "", "/only/path"]
+    rules = url_filter.entries(spark, allow, block)
     trie = as_rows(url_filter.judge(pages, rules))
     assert trie == as_rows(url_filter.judge(pages, rules, trie_entries=0))
     got = [r[2] for r in sorted(trie)]
-    assert got == ["block", "allow", "allow", "block", "none", "block", "block", "block", "allow", "allow", "invalid", "invalid", "invalid", "none", "none", "allow", "block"]
+    assert got == ["block", "allow", "allow", "block", "none", "block", "block", "block", "allow", "allow", "invalid", "invalid", "invalid", "none", "none", "allow", "block", "block", "block", "allow"]
+    assert all(url_filter.judge(pages.where("false"), rules, trie_entries=n).count() == 0 for n in (0, 100))
     both = url_filter.entries(spark, ["a.b"], ["a.b"])
     assert [r.action for r in url_filter.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id bigint, url string"), both).collect()] == ["block"]
     assert url_filter.judge(pages.where("false"), rules).count() == 0
