@@ -1,7 +1,11 @@
 """Quality classifier: hierarchical empirical Bayes.
 
-A naive-Bayes classifier over four binned text statistics gives every document
-a log likelihood ratio. Its soft verdicts are summed per path (source, lang) and
+A classifier gives every document a log likelihood ratio: naive Bayes over five binned
+statistics. One is the mean weight of the document's words, hashed into ``BUCKETS``; a
+bucket's weight is the log ratio of the shares of good and bad labelled documents that have
+a word of it. Words are weighed by the labelled documents of even id and the bins of their
+mean by those of odd id, so the bins see documents that the weights have not. The other
+four are shares of symbols, capitals and repeated words, and the length. The soft verdicts are summed per path (source, lang) and
 per host (source) by grouped aggregation; each level's mean is shrunk towards the
 level above with a strength estimated from the spread between sites (method of
 moments), so that a site with few documents falls back on its host and a sparse
@@ -14,24 +18,41 @@ Defined results
   * null label, or a document with contradicting labels: not used in fitting;
   * repeated rows: each is scored and kept or rejected alike; repeated labels of
     one document count once; documents that share a doc_id share its label;
+  * ``FIT_ROWS`` labelled documents at most, by the hash of their id, weigh words; every
+    other count is over all;
+  * a null doc_id has no label; no usable label of either parity: its evidence is 0;
   * no usable label: all evidence is 0, so every non-blank document is kept;
   * empty documents: an empty result;
   * extra columns of either input are ignored by ``classify`` and carried through
     unchanged by ``keep_good``, whatever their names.
 
-All features are built-in expressions. The evidence table has a fixed number of
-rows (the bins), so it is broadcast as one row; the site table grows with the
+All features but the words' are built-in expressions. The evidence table has a fixed
+number of rows (the bins), so it is broadcast as one row, and the words' weights a fixed
+number of places; the site table grows with the
 data and is broadcast only behind a size check.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shielded, small, table
-
-BINS = {"sym": 16, "up": 13, "dis": 11, "len": 17}
+from .sentencepiece_bpe import slices
+from .words import split
+
+BINS = {"sym": 16, "up": 13, "dis": 11, "len": 17, "word": 16}
+#: Hashed words are weighed by the first 16 bits of their MD5.
+BUCKETS = 1 << 16
+#: Labelled documents, at most, that weigh words.
+FIT_ROWS = 200_000
+#: Words whose bucket a worker remembers.
+KNOWN = 100_000
 THRESHOLD = 0.5
 #: Limits of the estimated prior strengths (pseudo-documents).
 STRENGTH = (1.0, 1000.0)
@@ -50,38 +71,113 @@ def _bins(text: Column) -> dict[str, Column]:
     }
 
 
-def _with_bins(docs: DataFrame) -> DataFrame:
+def _words(texts: pa.Array, known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the distinct words of every text, by text."""
+    h, s, e, bound, view = split(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bound))
+    order = np.lexsort((h, owner))
+    h, owner, first = h[order], owner[order], order
+    new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
+    h, owner, first = h[new], owner[new], first[new]
+    uniq, one, at = np.unique(h, return_index=True, return_inverse=True)
+    raw, out = view.tobytes(), np.empty(len(uniq), np.int64)
+    if len(known) > KNOWN:
+        known.clear()  # a cache alone
+    for i, (k, f) in enumerate(zip(uniq.tolist(), first[one].tolist())):
+        got = known.get(k)
+        if got is None:
+            got = known[k] = int(hashlib.md5(raw[s[f] : e[f]]).hexdigest()[:4], 16)
+        out[i] = got
+    return owner, out[at]
+
+
+def _micros(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e6 + 0.5).astype(np.int64)
+
+
+def _weights(docs: DataFrame, votes: DataFrame) -> np.ndarray:
+    """Every bucket's weight in millionths, from the labelled documents of even id."""
+    votes = votes.where("pmod(__l_id, 2) = 0").orderBy(F.md5(F.col("__l_id").cast("string")), "__l_id").limit(FIT_ROWS)
+    known = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(votes), F.col("doc_id") == F.col("__l_id"))
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bucket, q, n): documents of label q that have the bucket; bucket -1: all documents with words."""
+        total, seen = np.zeros((2, BUCKETS + 1), np.int64), {}
+        for batch in it:
+            for part in slices(batch, "text", 1 << 20):
+                owner, bucket = _words(part.column("text"), seen)
+                q = part.column("q").to_numpy()
+                pair = np.unique(owner * BUCKETS + bucket)
+                np.add.at(total, (q[pair // BUCKETS], pair % BUCKETS), 1)
+                np.add.at(total, (q[np.unique(owner)], BUCKETS), 1)
+        q, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(q), pa.array(total[q, b])], names=["b", "q", "n"])
+
+    got = known.select("text", F.col("__l_q").cast("bigint").alias("q")).mapInArrow(count, "b bigint, q bigint, n bigint").groupBy("b", "q").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((2, BUCKETS + 1))
+    n[got.column("q").to_numpy(), got.column("b").to_numpy()] = got.column("n").to_numpy()
+    if not n[:, BUCKETS].any():
+        return np.zeros(BUCKETS, np.int64)
+    return _micros(np.log((n[1, :BUCKETS] + 1.0) / (n[1, BUCKETS] + 2.0)) - np.log((n[0, :BUCKETS] + 1.0) / (n[0, BUCKETS] + 2.0)))
+
+
+def _word_bin(weights):
+    """The bin of a text's mean weight: quarters from -2 to 2; no word: the bin of 0."""
+    seen: dict[int, int] = {}
+
+    @F.arrow_udf("int")
+    def bin_of(text: pa.Array) -> pa.Array:
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text", 1 << 20):
+            each = part.column(0)
+            owner, bucket = _words(each, seen)
+            n = np.bincount(owner, minlength=len(each))
+            total = np.bincount(owner, weights.value[bucket].astype(float), len(each))  # integers below 2 ** 53: exact
+            out.append(np.clip(np.floor(total / np.maximum(n, 1) / 250_000.0) + 8, 0, 15).astype(np.int32))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
+
+    return bin_of
+
+
+def _with_bins(docs: DataFrame, weights) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     out = {f"__q_{k}": c for k, c in _bins(text).items()}
+    out["__q_word"] = _word_bin(weights)(text)
     out["__q_blank"] = F.trim(F.translate(text, "\t\n\r\f", "    ")) == ""
     out["__q_host"] = F.coalesce(F.col("source"), F.lit(_NONE))
     out["__q_path"] = F.coalesce(F.col("lang"), F.lit(_NONE))
     return docs.withColumns(out)
 
 
-def _evidence(light: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: an array of log likelihood ratios for each feature, and the prior."""
-    votes = (
+def _votes(labels: DataFrame) -> DataFrame:
+    return (
         labels.select(F.col("doc_id").alias("__l_id"), F.col("quality").cast("int").alias("__l_q"))
         .where("__l_id IS NOT NULL AND __l_q IN (0, 1)")
         .groupBy("__l_id")
         .agg(F.min("__l_q").alias("__l_q"), F.max("__l_q").alias("__l_hi"))
         .where("__l_q = __l_hi")
     )
+
+
+def _evidence(light: DataFrame, votes: DataFrame) -> DataFrame:
+    """One row: an array of log likelihood ratios for each feature, and the prior."""
     known = light.join(votes, light["doc_id"] == votes["__l_id"])
-    counts = [F.count(F.when(F.col("__l_q") == q, 1)).alias(f"n{q}") for q in (1, 0)]
+    # Words are judged by documents that did not weigh them.
+    odd = F.expr("pmod(__l_id, 2) = 1")
+    counts = [F.count(F.when(F.col("__l_q") == q, 1)).alias(f"n{q}") for q in (1, 0)] + [F.count(F.when((F.col("__l_q") == q) & odd, 1)).alias(f"o{q}") for q in (1, 0)]
     for f, k in BINS.items():
         for b in range(k):
             for q in (1, 0):
-                counts.append(F.count(F.when((F.col(f"__q_{f}") == b) & (F.col("__l_q") == q), 1)).alias(f"{f}_{b}_{q}"))
+                counts.append(F.count(F.when((F.col(f"__q_{f}") == b) & (F.col("__l_q") == q) & (odd if f == "word" else F.lit(True)), 1)).alias(f"{f}_{b}_{q}"))
     one = known.where(~F.col("__q_blank")).agg(*counts)
 
     def llr(f: str, b: int) -> Column:
-        return F.log((F.col(f"{f}_{b}_1") + 1.0) / (F.col("n1") + float(BINS[f]))) - F.log((F.col(f"{f}_{b}_0") + 1.0) / (F.col("n0") + float(BINS[f])))
+        n = "o" if f == "word" else "n"
+        ratio = F.log((F.col(f"{f}_{b}_1") + 1.0) / (F.col(f"{n}1") + float(BINS[f]))) - F.log((F.col(f"{f}_{b}_0") + 1.0) / (F.col(f"{n}0") + float(BINS[f])))
+        return F.when(F.col(f"{n}1") + F.col(f"{n}0") > 0, ratio).otherwise(F.lit(0.0))
 
-    seen = F.col("n1") + F.col("n0") > 0
     return one.select(
-        *[F.array(*[F.when(seen, llr(f, b)).otherwise(F.lit(0.0)) for b in range(k)]).alias(f"__e_{f}") for f, k in BINS.items()],
+        *[F.array(*[llr(f, b) for b in range(k)]).alias(f"__e_{f}") for f, k in BINS.items()],
         F.log((F.col("n1") + 1.0) / (F.col("n0") + 1.0)).alias("__e_prior"),
     )
 
@@ -128,16 +224,18 @@ def _posterior(scored: DataFrame, sites: DataFrame) -> DataFrame:
     return out.withColumn("__post", F.when(F.col("__q_blank"), 0.0).otherwise(post))
 
 
-def _fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    light = materialize(_with_bins(docs.select("doc_id", "text", "source", "lang")).drop("text"), "op1-bins")
-    evidence = materialize(_evidence(light, labels), "op1-evidence")
+def _fit(docs: DataFrame, labels: DataFrame) -> tuple:
+    votes = materialize(_votes(labels), "op1-votes")
+    weights = docs.sparkSession.sparkContext.broadcast(_weights(docs, votes))
+    light = materialize(_with_bins(docs.select("doc_id", "text", "source", "lang"), weights).drop("text"), "op1-bins")
+    evidence = materialize(_evidence(light, votes), "op1-evidence")
     scored = _scored(light, evidence)
-    return scored, evidence, materialize(_sites(scored), "op1-sites")
+    return scored, weights, evidence, materialize(_sites(scored), "op1-sites")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, lang, evidence, site_prior, posterior, keep): one row a document."""
-    scored, _, sites = _fit(docs, labels)
+    scored, _, _, sites = _fit(docs, labels)
     r = lambda c: F.round(F.col(c) * 1e6) / 1e6
     return _posterior(scored, sites).select("doc_id", "source", "lang", r("__q_llr").alias("evidence"), r("__prior").alias("site_prior"), r("__post").alias("posterior"), (F.col("__post") >= THRESHOLD).alias("keep"))
 
@@ -148,9 +246,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The text is never shuffled: its statistics are computed again in the scan and
     met with the broadcast site table.
     """
-    _, evidence, sites = _fit(docs, labels)
+    _, weights, evidence, sites = _fit(docs, labels)
     inner, given = shielded(docs, "doc_id", "text", "source", "lang")
-    return given(_posterior(_scored(_with_bins(inner), evidence), sites).where(F.col("__post") >= THRESHOLD))
+    return given(_posterior(_scored(_with_bins(inner, weights), evidence), sites).where(F.col("__post") >= THRESHOLD))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,18 +264,26 @@ def sql(docs: str = "documents") -> str:
     return rf"""
 op1_t AS (SELECT *, coalesce(text, '') AS t0, length(coalesce(text, '')) AS n0, string_split(coalesce(text, ''), ' ') AS w0,
                  coalesce(source, chr(1)) AS host0, coalesce(lang, chr(1)) AS path0 FROM {docs}),
-op1_d AS (SELECT *, trim(translate(t0, chr(9) || chr(10) || chr(13) || chr(12), '    ')) = '' AS blank0,
+op1_v AS (SELECT doc_id AS vid, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+op1_tr AS (SELECT row_number() OVER () AS rid, * FROM op1_t),
+op1_x AS (SELECT rid, doc_id, CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) AS b FROM (SELECT rid, doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(t0, '[ \t\n\r\f]+'), lambda x: x <> ''))) AS w FROM op1_tr)),
+op1_xv AS (SELECT DISTINCT rid, b, q FROM op1_x JOIN op1_v ON doc_id = vid WHERE ((vid % 2) + 2) % 2 = 0),
+op1_xn AS (SELECT count(DISTINCT rid) FILTER (WHERE q = 1) AS n1, count(DISTINCT rid) FILTER (WHERE q = 0) AS n0 FROM op1_xv),
+op1_xw AS (SELECT u.b, CAST(floor((ln((coalesce(c1, 0) + 1.0::DOUBLE) / (n1 + 2.0::DOUBLE)) - ln((coalesce(c0, 0) + 1.0::DOUBLE) / (n0 + 2.0::DOUBLE))) * 1e6 + 0.5) AS BIGINT) * CAST(n1 + n0 > 0 AS BIGINT) AS w
+  FROM (SELECT DISTINCT b FROM op1_x) u LEFT JOIN (SELECT b, count(*) FILTER (WHERE q = 1) AS c1, count(*) FILTER (WHERE q = 0) AS c0 FROM op1_xv GROUP BY b) c ON u.b = c.b CROSS JOIN op1_xn),
+op1_ws AS (SELECT rid, CAST(least(15, greatest(0, floor(CAST(sum(w) AS DOUBLE) / count(*) / 250000.0::DOUBLE) + 8)) AS INT) AS word FROM op1_x JOIN op1_xw USING (b) GROUP BY rid),
+op1_d AS (SELECT op1_tr.*, trim(translate(t0, chr(9) || chr(10) || chr(13) || chr(12), '    ')) = '' AS blank0,
   least(15, CAST(floor(coalesce(length(regexp_replace(t0, '[\p{{L}}\p{{N}} \t\n\r\f]', '', 'g')) / CAST(nullif(n0, 0) AS DOUBLE), 0.0) * 50) AS INT)) AS sym,
   least(12, CAST(floor(coalesce(length(regexp_replace(t0, '[^\p{{Lu}}]', '', 'g')) / CAST(nullif(n0, 0) AS DOUBLE), 0.0) * 20) AS INT)) AS up,
   CAST(floor(len(list_distinct(w0)) / CAST(len(w0) AS DOUBLE) * 10) AS INT) AS dis,
-  least(16, CAST(floor(log2(n0 + 1.0::DOUBLE) + 1e-9) AS INT)) AS len FROM op1_t),
-op1_v AS (SELECT doc_id AS vid, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+  least(16, CAST(floor(log2(n0 + 1.0::DOUBLE) + 1e-9) AS INT)) AS len , coalesce(word, 8) AS word FROM op1_tr LEFT JOIN op1_ws USING (rid)),
 op1_k AS (SELECT d.*, v.q FROM op1_d d JOIN op1_v v ON d.doc_id = v.vid WHERE NOT blank0),
 op1_n AS (SELECT count(*) FILTER (WHERE q = 1) AS n1, count(*) FILTER (WHERE q = 0) AS n0 FROM op1_k),
-op1_c AS ({" UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS b, count(*) FILTER (WHERE q = 1) AS c1, count(*) FILTER (WHERE q = 0) AS c0 FROM op1_k GROUP BY {f}" for f in names)}),
+op1_nf AS (SELECT false AS odd, n1 AS m1, n0 AS m0 FROM op1_n UNION ALL SELECT true, count(*) FILTER (WHERE q = 1), count(*) FILTER (WHERE q = 0) FROM op1_k WHERE ((doc_id % 2) + 2) % 2 = 1),
+op1_c AS ({" UNION ALL ".join(f"SELECT '{f}' AS f, {f} AS b, count(*) FILTER (WHERE q = 1) AS c1, count(*) FILTER (WHERE q = 0) AS c0 FROM op1_k {"WHERE ((doc_id % 2) + 2) % 2 = 1" if f == "word" else ""} GROUP BY {f}" for f in names)}),
 op1_b AS ({bins}),
-op1_ev AS (SELECT b.f, b.b, CASE WHEN n1 + n0 = 0 THEN 0.0::DOUBLE ELSE ln((coalesce(c1, 0) + 1.0::DOUBLE) / (n1 + k)) - ln((coalesce(c0, 0) + 1.0::DOUBLE) / (n0 + k)) END AS w
-  FROM op1_b b LEFT JOIN op1_c c ON b.f = c.f AND b.b = c.b CROSS JOIN op1_n),
+op1_ev AS (SELECT b.f, b.b, CASE WHEN m1 + m0 = 0 THEN 0.0::DOUBLE ELSE ln((coalesce(c1, 0) + 1.0::DOUBLE) / (m1 + k)) - ln((coalesce(c0, 0) + 1.0::DOUBLE) / (m0 + k)) END AS w
+  FROM op1_b b LEFT JOIN op1_c c ON b.f = c.f AND b.b = c.b JOIN op1_nf ON odd = (b.f = 'word')),
 op1_s AS (SELECT d.*, 0.0::DOUBLE + {" + ".join(f"e_{f}.w" for f in names)} AS llr FROM op1_d d {join}),
 op1_p AS (SELECT *, CAST(floor(1e6 * (1.0::DOUBLE / (1.0::DOUBLE + exp(-((SELECT ln((n1 + 1.0::DOUBLE) / (n0 + 1.0::DOUBLE)) FROM op1_n) + llr)))) + 0.5) AS BIGINT) AS p FROM op1_s),
 op1_path AS (SELECT host0, path0, CAST(sum(p) AS BIGINT) AS s_p, count(*) AS n_p FROM op1_p WHERE NOT blank0 GROUP BY host0, path0),
