@@ -29,10 +29,11 @@ Defined results
   * extra columns are ignored.
 
 What travels are a batch's distinct n-grams there, their weights back, and its texts as
-numbers of three bytes, which pass through; the sums over the corpus are as many as it has
-distinct n-grams. The input should be a written table: a task that runs again must find its
-rows as they were. Limit: all states that end in one word share a partition, so a very
-frequent word makes its partition larger than the rest.
+numbers of three bytes; the sums over the corpus are as many as it has distinct n-grams.
+Texts are read once to ask and once to walk, in the same batches: the input has to be a
+written table, whose splits stay the same, and a walk that does not fit its batch is an error.
+Limit: all states that end in one word share a partition, so a very frequent word makes its
+partition larger than the rest.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def _rows(rows: list[tuple[int, int, int, bytes | None]]) -> pa.RecordBatch:
 
 
 def _gather(it: Iterator[pa.RecordBatch], role: int, parts: int, packed: int) -> Iterator[pa.RecordBatch]:
-    """Batches of documents. ``role``: COUNTED, ASKED or both."""
+    """Batches of documents. ``role``: DOCS, or COUNTED, ASKED or both."""
     task, serial, known = TaskContext.get().partitionId(), 0, {}
     ids, dead, codes, lens = [], [], [], []
     held = rows = 0
@@ -143,28 +144,32 @@ def _gather(it: Iterator[pa.RecordBatch], role: int, parts: int, packed: int) ->
         batch = task << 32 | serial
         code = np.concatenate(codes)
         codes.clear()
-        uniq, at, count = np.unique(code, return_inverse=True, return_counts=True)
+        if role == DOCS:
+            uniq, at = np.unique(code, return_inverse=True)
+        else:
+            code.sort()
+            head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+            uniq, count = code[head], np.diff(np.append(head, len(code)))
         part = _part(uniq, parts)
         order = np.argsort(part, kind="stable")
         head = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, np.int64)
         ends = np.append(head[1:], len(order))
-        if role & ASKED:
+        if role == DOCS:
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order), dtype="<u4")
             who, n, null = pa.concat_arrays(ids), np.concatenate(lens), np.concatenate(dead)
             own = [np.array([len(n), len(head)], "<u4"), np.where(null, -1, n).astype("<i8"), who.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), who.fill_null(0).to_numpy().astype("<i8"), part[order[head]].astype("<i8"), (ends - head).astype("<i8"), _planes(rank[at])]
-            yield _rows([(DOCS, batch, batch % parts, b"".join(x.tobytes() for x in own))])
-        some = [(role, batch, int(part[order[a]]), _pack(uniq[order[a:b]], count[order[a:b]] if role & COUNTED else None)) for a, b in zip(head, ends)]
-        for i in range(0, len(some), 64):
-            yield _rows(some[i : i + 64])
+            yield _rows([(DOCS, batch, -1, b"".join(x.tobytes() for x in own))])
+        else:
+            for i in range(0, len(head), 64):
+                yield _rows([(role, batch, int(part[order[a]]), _pack(uniq[order[a:b]], count[order[a:b]] if role & COUNTED else None)) for a, b in zip(head[i : i + 64], ends[i : i + 64])])
         ids.clear(), dead.clear(), lens.clear()
         held, rows, serial = 0, 0, serial + 1
 
     for batch in it:
         for x in slices(batch, "text", _SLICE):
             null = x.column("text").is_null().to_numpy(zero_copy_only=False)
-            texts = x.column("text").drop_null()
-            code, n = _codes(*_ids(texts, known))
+            code, n = _codes(*_ids(x.column("text").drop_null(), known))
             every = np.zeros(len(null), np.int64)
             every[~null] = n
             ids.append(x.column("doc_id"))
@@ -184,9 +189,6 @@ def _weights(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     asked, counted = [], []
     for rows in it:
         for kind, batch, part, data in zip(*(rows.column(i).to_pylist() for i in range(3)), rows.column(3)):
-            if kind == DOCS:
-                yield _rows([(kind, batch, part, data.as_py())])
-                continue
             code, count = _unpack(memoryview(data.as_buffer()))
             if kind & COUNTED:
                 counted.append((code, count))
@@ -212,10 +214,11 @@ def _weights(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
             count = np.where(keys[at] == arc, sums[at], 0)
             own = np.minimum(np.searchsorted(state, arc >> BITS), len(state) - 1)
             p = np.where(state[own] == arc >> BITS, (count + kinds[own] * p) / (total[own] + kinds[own]), p)
-        # Few values differ: a table of them, and a number of it for each transition.
-        values, at = np.unique(np.log(p), return_inverse=True)
+        # Values repeat: a table of them, and a number of it for each transition. They keep 36
+        # bits of their fractions, ten digits, and so travel as six bytes.
+        values, at = np.unique(np.log(p).view(np.int64) + (1 << 15) >> 16, return_inverse=True)
         at = at.astype(next(k for k in ("<u1", "<u2", "<u4") if len(values) <= 1 << 8 * np.dtype(k).itemsize))
-        yield _rows([(ASKED, batch, part, np.array([len(values), at.itemsize], "<u4").tobytes() + values.astype("<f8").tobytes() + _planes(at).tobytes())])
+        yield _rows([(ASKED, batch, part, np.array([len(values), at.itemsize], "<u4").tobytes() + _planes(values << 16).tobytes() + _planes(at).tobytes())])
     release()
 
 
@@ -237,6 +240,8 @@ def _walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = np.frombuffer(texts, "<i8", n_parts, at[3])
         path = np.ascontiguousarray(np.frombuffer(texts, np.uint8, -1, at[5]).reshape(4, -1).T).view("<u4").ravel()
         total = np.zeros(n_docs)
+        if {p: len(w) for p, w in weights.items()} != dict(zip(parts.tolist(), np.frombuffer(texts, "<i8", n_parts, at[4]).tolist())):
+            raise ValueError("the documents were read in other batches than before: score a written table")
         if len(path):
             step = np.concatenate([weights[p] for p in parts.tolist()])[path]
             live = np.flatnonzero(n > 0)
@@ -257,7 +262,7 @@ def _walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = data.as_buffer()
                 n, wide = (int(x) for x in np.frombuffer(raw, "<u4", 2))
                 number = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 8 + 8 * n).reshape(wide, -1).T).view(f"<u{wide}").ravel()
-                weights[part] = np.frombuffer(raw, "<f8", n, 8)[number]
+                weights[part] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view("<f8").ravel()[number]
     if texts is not None:
         yield from walked()
     release()
@@ -295,10 +300,10 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     parts, packed = max(1, size(training)), PACKED
     own = parts if docs is training else max(1, size(docs))
     seen = lambda df, role: df.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(lambda it: _gather(it, role, parts, packed), _ROWS)
-    rows = seen(docs, COUNTED | ASKED) if docs is training else seen(docs, ASKED).unionByName(seen(training.select(F.lit(None).alias("doc_id"), "text"), COUNTED))
+    asks = seen(docs, COUNTED | ASKED) if docs is training else seen(docs, ASKED).unionByName(seen(training.select(F.lit(None).alias("doc_id"), "text"), COUNTED))
     shared = docs.sparkSession.sparkContext.broadcast(_root(training))
-    back = rows.repartitionById(parts, F.col("part").cast("int")).mapInArrow(lambda it: _weights(it, shared), _ROWS)
-    out = back.repartition(own, "batch").sortWithinPartitions("batch").mapInArrow(_walk, "doc_id bigint, n_words bigint, s double")
+    back = asks.repartitionById(parts, F.col("part").cast("int")).mapInArrow(lambda it: _weights(it, shared), _ROWS)
+    out = seen(docs, DOCS).unionByName(back).repartition(own, "batch").sortWithinPartitions("batch").mapInArrow(_walk, "doc_id bigint, n_words bigint, s double")
     mean = F.col("s") / F.col("n_words")
     return out.select("doc_id", "n_words", (F.round(mean * 1e6) / 1e6).alias("mean_logprob"), (F.round(F.exp(-mean) * 1e3) / 1e3).alias("perplexity"))
 
