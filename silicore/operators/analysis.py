@@ -118,15 +118,17 @@ def _started(m: Model, product: str, test_category: str) -> DataFrame:
 
 
 def lot_trend(m: Model, product: str, test_category: str, last_n: int = 30) -> DataFrame:
-    per = m.parts_final.groupBy("lot_id").agg(F.count(F.lit(1)).alias("total"), good_count().alias("good"))
-    out = per.join(_started(m, product, test_category), "lot_id").select("lot_id", "start_t", "total", "good", percent("good", "total").alias("yield_pct"))
+    started = _started(m, product, test_category)
+    per = m.only_lots(started).parts_final.groupBy("lot_id").agg(F.count(F.lit(1)).alias("total"), good_count().alias("good"))
+    out = per.join(started, "lot_id").select("lot_id", "start_t", "total", "good", percent("good", "total").alias("yield_pct"))
     return _last(out, last_n)
 
 
 def test_trend(m: Model, product: str, test_category: str, test_num: int, last_n: int = 30) -> DataFrame:
     mean, std = F.avg("result"), F.stddev_pop("result")
-    per = _numeric(m).where(F.col("test_num") == test_num).groupBy("lot_id").agg(F.count(F.lit(1)).alias("n"), rounded(mean, 6).alias("mean"), rounded(std, 6).alias("std"), rounded(capability(mean, std, F.min("lo_limit"), F.max("hi_limit")), 3).alias("cpk"))
-    return _last(per.join(_started(m, product, test_category), "lot_id").select("lot_id", *cols("start_t n mean std cpk")), last_n)
+    started = _started(m, product, test_category)
+    per = _numeric(m.only_lots(started)).where(F.col("test_num") == test_num).groupBy("lot_id").agg(F.count(F.lit(1)).alias("n"), rounded(mean, 6).alias("mean"), rounded(std, 6).alias("std"), rounded(capability(mean, std, F.min("lo_limit"), F.max("hi_limit")), 3).alias("cpk"))
+    return _last(per.join(started, "lot_id").select("lot_id", *cols("start_t n mean std cpk")), last_n)
 
 
 def control_limits(trend: DataFrame, y: str) -> DataFrame:

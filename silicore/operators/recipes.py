@@ -240,12 +240,11 @@ def r7_3(m: Model, lot: str) -> DataFrame:
     """Failing tests of each bin: dies that fail the test, and dies that fail it alone."""
     die = _place(m.parts_final.where(_is(lot_id=lot) & ~F.col("passed"))).select(*PLACE, "hard_bin", "soft_bin")
     test = _place(m.test_data_final.where(_is(lot_id=lot, passed="F"))).select(*PLACE, "test_num", "test_name")
-    key = [*cols("wafer_id x_coord y_coord __text")]
-    fail = die.join(test, PLACE).select(*key, *cols("hard_bin soft_bin test_num test_name")).distinct()
-    alone = fail.groupBy(*key).agg(F.countDistinct("test_num").alias("n_tests"))
-    dies = fail.select(*key, "soft_bin").distinct().groupBy("wafer_id", "soft_bin").agg(_n().alias("bin_dies"))
-    out = fail.join(alone, key).groupBy("wafer_id", *cols("hard_bin soft_bin test_num test_name")).agg(_n().alias("fail_dies"), F.count(F.when(F.col("n_tests") == 1, 1)).alias("sole_fail_dies"))
-    out = out.join(dies, ["wafer_id", "soft_bin"]).withColumn("pct_of_bin", percent("fail_dies", "bin_dies", 1))
+    # One row a die with its tests; a bin's dies are counted at the first test of each.
+    fail = die.join(test, PLACE).groupBy("wafer_id", *cols("x_coord y_coord __text hard_bin soft_bin")).agg(F.collect_set(F.struct("test_num", "test_name")).alias("tests"))
+    each = fail.select("wafer_id", "hard_bin", "soft_bin", F.size(F.array_distinct("tests.test_num")).alias("n_tests"), F.posexplode("tests").alias("at", "test"))
+    per = each.groupBy("wafer_id", "hard_bin", "soft_bin", "test.test_num", "test.test_name").agg(_n().alias("fail_dies"), F.count(F.when(F.col("n_tests") == 1, 1)).alias("sole_fail_dies"), F.count(F.when(F.col("at") == 0, 1)).alias("first"))
+    out = per.withColumn("pct_of_bin", percent("fail_dies", F.sum("first").over(Window.partitionBy("wafer_id", "soft_bin")), 1))
     return out.select("wafer_id", *cols("hard_bin soft_bin test_num test_name fail_dies sole_fail_dies pct_of_bin")).orderBy("wafer_id", "soft_bin", F.desc("fail_dies"), "test_num")
 
 
@@ -300,15 +299,18 @@ def r8_2(m: Model, product: str, test_category: str, sub_process: str, cpk_min:
     """Review of limits: where Cpk falls short of cpk_min, limits that lie between the
     cpk_min and the cpk_max band around what was measured, three significant digits outwards."""
     targets = _targets(m, product, test_category, sub_process, job_name, job_rev, exclude_lot)
-    scope = _scope(m, product, test_category, sub_process)
-    base = _named(scope.where(measured()), test_name_like).join(targets.select("lot_id"), "lot_id", "left_semi")
-    ref, spec = _current_spec(m, scope, targets)
-    stats = base.groupBy("test_num").agg(
-        F.min("test_name").alias("test_name"), F.min("units").alias("units"), _n().alias("n"), fail_count().alias("fail_n"), F.avg("result").alias("mu"), F.stddev_samp("result").alias("sd"),
-        F.min("result").alias("lo"), F.max("result").alias("hi"), ((F.min("lo_limit") != F.max("lo_limit")) | (F.min("hi_limit") != F.max("hi_limit"))).alias("limits_changed"),
-    ).where(F.col("n") > 1).where(finite("sd") & (F.col("sd") > 0))
+    ref = targets.orderBy(F.desc_nulls_last("start_time"), F.desc("lot_id")).limit(1)
     one = ref.select(F.col("lot_id").alias("ref_lot_id"), F.col("job_name").alias("latest_job_name"), F.col("job_rev").alias("latest_job_rev"))
-    df = stats.crossJoin(F.broadcast(one)).join(spec, "test_num", "left")
+    # One pass: the last lot's limits are aggregated beside the statistics that all lots give.
+    rows = _scope(m, product, test_category, sub_process).where(measured(units=False)).join(targets.select("lot_id"), "lot_id", "left_semi").crossJoin(F.broadcast(one))
+    counts = measured() if test_name_like is None else measured() & F.col("test_name").ilike(test_name_like)
+    of = lambda c: F.when(counts, F.col(c))
+    now = lambda c: F.min(F.when(F.col("lot_id") == F.col("ref_lot_id"), F.col(c)))
+    df = rows.groupBy("test_num", *cols("ref_lot_id latest_job_name latest_job_rev")).agg(
+        F.min(of("test_name")).alias("test_name"), F.min(of("units")).alias("units"), F.count(of("result")).alias("n"), F.count(F.when(counts & (F.col("passed") == "F"), 1)).alias("fail_n"), F.avg(of("result")).alias("mu"), F.stddev_samp(of("result")).alias("sd"),
+        F.min(of("result")).alias("lo"), F.max(of("result")).alias("hi"), ((F.min(of("lo_limit")) != F.max(of("lo_limit"))) | (F.min(of("hi_limit")) != F.max(of("hi_limit")))).alias("limits_changed"),
+        now("lo_limit").alias("cur_lsl"), now("hi_limit").alias("cur_usl"),
+    ).where(F.col("n") > 1).where(finite("sd") & (F.col("sd") > 0))
     mu, sd, lsl, usl = (F.col(c) for c in cols("mu sd cur_lsl cur_usl"))
     near, far = 3.0 * cpk_min, 3.0 * cpk_max
     df = df.withColumns({

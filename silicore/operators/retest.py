@@ -37,8 +37,7 @@ def demote(current: DataFrame, fresh: DataFrame) -> DataFrame:
     key = [*cols("lot_id wafer_id x_coord y_coord __text test_num")]
     new = fresh.withColumn("__text", package_text()).select(*key, F.col("pin_num").alias("__pin")).distinct().withColumn("__hit", F.lit(1))
     old = current.withColumn("__text", package_text())
-    on = [old[k].eqNullSafe(new[k]) for k in key] + [F.col("pin_num").eqNullSafe(F.col("__pin"))]
-    out = old.join(new.select(*[F.col(k).alias(f"n_{k}") for k in key], "__pin", "__hit"), [old[k].eqNullSafe(F.col(f"n_{k}")) for k in key] + on[-1:], "left")
+    out = old.join(new.select(*[F.col(k).alias(f"n_{k}") for k in key], "__pin", "__hit"), [old[k].eqNullSafe(F.col(f"n_{k}")) for k in key] + [F.col("pin_num").eqNullSafe(F.col("__pin"))], "left")
     return out.withColumn("retest_flag", F.when(F.col("__hit").isNotNull(), F.col("retest_flag") + 1).otherwise(F.col("retest_flag"))).select(*current.columns)
 
 

@@ -8,7 +8,6 @@ SQL text that Spark and DuckDB both run, so every report has an oracle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from silicore.operators.retest import with_exec_seq, with_retest_flag
 from silicore.plans.views import Model, gross_die_table
@@ -101,9 +100,3 @@ def load(spark: SparkSession, sf_dir: str) -> Model:
     wafers = spark.sql(WAFERS_SQL.replace("FROM m_parts", "FROM {parts}"), parts=parts)
     chipid = spark.sql(CHIPS_SQL.replace("FROM m_parts", "FROM {parts}"), parts=parts)
     return Model(lots=lots, wafers=wafers, parts=parts, test_data=test_data, chipid=chipid, gross_die=gross_die_table(spark, GROSS))
-
-
-def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements before they are numbered and flagged."""
-    m = load(spark, sf_dir)
-    return m.test_data.drop("exec_seq", "retest_flag").withColumn("record_no", F.col("record_no"))

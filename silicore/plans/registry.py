@@ -75,7 +75,7 @@ _HEAD = "lot_id, product, test_category, sub_process, part_type, job_name, job_r
 add("lot_summary", A.lot_summary, f"""SELECT {_HEAD}, wafer_count, CAST(total_parts AS BIGINT) AS total_parts, CAST(good_parts AS BIGINT) AS good_parts, {pct('good_parts', 'total_parts')} AS yield_pct
 FROM lots LEFT JOIN (SELECT lot_id, sum(good) AS good_parts, sum(total) AS total_parts, count(nullif(wafer_id, '')) AS wafer_count FROM wafer_yield_final GROUP BY lot_id) USING (lot_id)""")
 add("wafer_yield", lambda m: A.wafer_yield(m, "L0"), f"SELECT {C('wafer_id total good yield_pct')} FROM wafer_yield_final WHERE lot_id = 'L0'")
-add("test_fail_rate", lambda m: A.test_fail_rate(m, "L0"), f"SELECT test_num, test_name, count(*) AS total, {FAIL} AS fails, {pct(FAIL, 'count(*)')} AS fail_rate FROM test_data_final WHERE lot_id = 'L0' GROUP BY ALL HAVING fails > 0 ORDER BY fail_rate DESC, test_num LIMIT 10")
+add("test_fail_rate", lambda m: A.test_fail_rate(m, "L0", 3), f"SELECT test_num, test_name, count(*) AS total, {FAIL} AS fails, {pct(FAIL, 'count(*)')} AS fail_rate FROM test_data_final WHERE lot_id = 'L0' GROUP BY ALL HAVING fails > 0 ORDER BY fail_rate DESC, test_num LIMIT 3")
 _BINNED = """binned AS (SELECT lot_id, soft_bin, count(*) AS c FROM parts_final GROUP BY ALL
 UNION ALL SELECT lot_id, gd_fail_bin, sum(unprobed) FROM wafer_yield_final WHERE gd_fail_bin IS NOT NULL AND unprobed > 0 GROUP BY ALL)"""
 add("bin_summary", lambda m: A.bin_summary(m, "L0"), f"SELECT soft_bin, CAST(sum(c) AS BIGINT) AS \"count\", {pct('sum(c)', 'sum(sum(c)) OVER ()')} AS pct FROM binned WHERE lot_id = 'L0' GROUP BY soft_bin", _BINNED)
@@ -88,7 +88,7 @@ WHERE lot_id IN {_IN3} AND {LIMITED} AND result IS NOT NULL AND test_num IN (SEL
 _START = "(SELECT lot_id, max(start_time) AS start_t FROM lots WHERE product = '{}' AND test_category = 'CP' GROUP BY lot_id)"
 _LAST = "ORDER BY start_t DESC, lot_id DESC LIMIT {}"
 add("lot_trend", lambda m: A.lot_trend(m, "P0", "CP", 2), f"SELECT lot_id, start_t, count(*) AS total, {GOOD} AS good, {pct(GOOD, 'count(*)')} AS yield_pct FROM parts_final JOIN {_START.format('P0')} USING (lot_id) GROUP BY ALL {_LAST.format(2)}")
-add("test_trend", lambda m: A.test_trend(m, "P1", "CP", 2), f"SELECT lot_id, start_t, {_STATS} FROM test_data_final JOIN {_START.format('P1')} USING (lot_id) WHERE test_num = 2 AND {NUMERIC} GROUP BY lot_id, start_t {_LAST.format(30)}")
+add("test_trend", lambda m: A.test_trend(m, "P1", "CP", 2, 1), f"SELECT lot_id, start_t, {_STATS} FROM test_data_final JOIN {_START.format('P1')} USING (lot_id) WHERE test_num = 2 AND {NUMERIC} GROUP BY lot_id, start_t {_LAST.format(1)}")
 add("control_limits", lambda m: A.control_limits(A.lot_trend(m, "P0", "CP"), "yield_pct"), f"""SELECT {r('avg(y)', 6)} AS mean, {r('avg(y) + 3 * stddev_pop(y)', 6)} AS upper, {r('avg(y) - 3 * stddev_pop(y)', 6)} AS lower
 FROM (SELECT {pct(GOOD, 'count(*)')} AS y FROM parts_final JOIN {_START.format('P0')} USING (lot_id) GROUP BY lot_id)""")
 _SIDE = f"(SELECT lot_id, count(*) AS {{0}}_total, {pct(GOOD, 'count(*)')} AS {{0}}_yield_pct FROM parts_final WHERE product = 'P1' AND test_category = upper('{{0}}') GROUP BY lot_id)"
@@ -146,7 +146,7 @@ add("r5_1", lambda m: R.r5_1(m, "L0", "T1"), f"SELECT {TEST}, count(*) AS cnt, {
 add("r5_2", lambda m: R.r5_2(m, "L0", "W01"), f"SELECT {C('part_id x_coord y_coord test_num test_name result lo_limit hi_limit units')} FROM test_data_final WHERE {_W1} AND passed = 'F'")
 _RANK = f"SELECT test_num, test_name, count(*) AS total, {FAIL} AS fail_cnt, {pct(FAIL, 'count(*)')} AS fail_pct FROM test_data_final WHERE lot_id = 'L1' GROUP BY ALL HAVING fail_cnt > 0"
 add("r5_3", lambda m: R.r5_3(m, "L1"), _RANK)
-add("r5_4", lambda m: R.r5_4(m, "L0", "L0_10_0"), f"SELECT {C('test_num test_name rec_type result lo_limit hi_limit units passed')} FROM test_data_final WHERE lot_id = 'L0' AND part_id = 'L0_10_0'")
+add("r5_4", lambda m: R.r5_4(m, "L0", m.test_data_final.where("lot_id = 'L0'").agg(F.min("part_id")).first()[0]), f"SELECT {C('test_num test_name rec_type result lo_limit hi_limit units passed')} FROM test_data_final WHERE lot_id = 'L0' AND part_id = (SELECT min(part_id) FROM test_data_final WHERE lot_id = 'L0')")
 add("r5_5", lambda m: R.r5_5(m, "L0"), f"SELECT {TEST}, {r('mu', 4)} AS mean, {r('100.0 * least(mu - lo_limit, hi_limit - mu) / nullif(hi_limit - lo_limit, 0)', 2)} AS margin_pct FROM (SELECT {TEST}, avg(result) AS mu, count(*) AS n FROM test_data_final WHERE {_L0} AND {LIMITED} GROUP BY ALL) WHERE n > 1")
 add("r5_6", lambda m: R.r5_6(m, "L0", "T1", 1.5), f"SELECT {C('part_id x_coord y_coord result')}, {r('(result - mu) / nullif(sd, 0)', 2)} AS z_score FROM (SELECT *, avg(result) OVER (PARTITION BY test_num) AS mu, stddev_samp(result) OVER (PARTITION BY test_num) AS sd FROM test_data_final WHERE {_T1}) WHERE abs(result - mu) > 1.5 * sd")
 _MS = f"count(*) AS n, {r('avg(result)', 4)} AS mean, {r(SPREAD, 4)} AS sigma"

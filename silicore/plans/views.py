@@ -8,7 +8,7 @@ measurements, and the one definition of yield.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,6 +76,12 @@ class Model:
         df = df.withColumn("total", total)
         return df.select("lot_id", *cols("wafer_id probed good total"), (F.col("total") - F.col("probed")).alias("unprobed"), "gd_fail_bin", percent("good", "total").alias("yield_pct"))
 
+    def only_lots(self, lots: DataFrame) -> Model:
+        """The model of the lots in ``lots`` (lot_id): measurements and dies of others are
+        left out before any window; on a store the join prunes folders."""
+        keep = lambda t: t if t is None else t.join(lots.select("lot_id").distinct(), "lot_id", "left_semi")
+        return replace(self, wafers=keep(self.wafers), parts=keep(self.parts), test_data=keep(self.test_data), chipid=keep(self.chipid))
+
     @cached_property
     def latest_lots(self) -> DataFrame:
         """One row per (product, category, lot), the last started."""

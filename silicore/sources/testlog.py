@@ -436,7 +436,3 @@ class TestLog(DataSource):
 
     def reader(self, schema) -> LogReader:
         return LogReader(self.options)
-
-
-def lots_of(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("kind") == "lot")

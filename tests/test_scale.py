@@ -1,5 +1,6 @@
 """Plans that must hold at size: filters reach the scan, no comparison of all pairs, partial windows."""
 
+from silicore.operators import analysis as A
 from silicore.operators import recipes as R
 from silicore.plans.driver_model import load
 from silicore.plans.views import Model
@@ -40,5 +41,13 @@ def test_neighbours_are_an_equi_join(spark, tmp_path):
 
 def test_reports_of_one_scan(spark, tmp_path):
     m = written(spark, tmp_path)
+    measured = lambda df: plan(df).count("EqualTo(retest_flag,0)")
+    assert measured(R.r8_2(m, "P0", "CP", "CP1")) == 1 and measured(R.r7_3(m, "L0")) == 1 and measured(A.test_trend(m, "P1", "CP", 2)) == 1
     assert plan(R.r5_3(m, "L0")).count("FileScan") == 1
     assert plan(R.r8_1(m, "L0")).count("FileScan") == 1
+
+
+def test_trends_keep_their_lots_before_the_window(spark, tmp_path):
+    m = written(spark, tmp_path)
+    p = A.lot_trend(m, "P0", "CP")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in p and p.index("Window") < p.index("LeftSemi")
