@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,12 @@ def spark_session(name: str = "silicore") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.sources.partitionColumnTypeInference.enabled", "false").getOrCreate()
 
 
+def numbered_parameters(sql: str) -> str:
+    """``$1`` as ``:p1``, but not within quotes, quoted names and comments."""
+    part = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\$(\d+)""", re.S)
+    return part.sub(lambda m: f":p{m[1]}" if m[1] else m[0], sql)
+
+
 class Session:
     """Views live in a session of their own; ``with`` or ``close`` drops them."""
 
@@ -23,6 +30,7 @@ class Session:
         self.spark = self.store.spark
         self.model: Model = self.store.model()
         self.views = self.model.register()
+        self.kept: list[DataFrame] = []
 
     def __enter__(self) -> Session:
         return self
@@ -33,9 +41,16 @@ class Session:
     def close(self) -> None:
         for v in self.views:
             self.spark.catalog.dropTempView(v)
+        for df in self.kept:
+            df.unpersist()
 
     def q(self, sql: str, params: Sequence | dict | None = None) -> DataFrame:
-        return self.spark.sql(sql, args=params) if params else self.spark.sql(sql)
+        """``params``: a list for ``?`` or ``$1``, ``$2``, ... (each as often as it is named), or a dict for ``:name``."""
+        if not params:
+            return self.spark.sql(sql)
+        if not isinstance(params, dict) and (numbered := numbered_parameters(sql)) != sql:
+            return self.spark.sql(numbered, args={f"p{i}": v for i, v in enumerate(params, 1)})
+        return self.spark.sql(sql, args=params)
 
     def rows(self, sql: str, params: Sequence | dict | None = None) -> list[dict]:
         return [r.asDict() for r in self.q(sql, params).collect()]
@@ -49,5 +64,6 @@ class Session:
         df = getattr(self.model, table)
         df = df if lot is None else df.where(df["lot_id"] == lot)
         df = df.cache()
+        self.kept.append(df)
         df.createOrReplaceTempView(table)
         return df

@@ -128,14 +128,16 @@ def quarantine(path: str, root: str) -> str:
     return str(target)
 
 
-def fetch_new(fetcher: Fetcher, history: History, folder: str, retry_corrupt: bool = False, limit: int | None = None) -> dict[str, list[str]]:
+def fetch_new(fetcher: Fetcher, history: History, folder: str, retry_corrupt: bool = False, limit: int | None = None, test_type: str | None = None, force: bool = False) -> dict[str, list[str]]:
     """Download what is new; damaged files are noted and not tried again unless asked for.
 
-    Other errors leave no trace, so that the next run tries again.
+    ``test_type``: files of that category alone, such as CP; ``force``: files that are known, too. Other errors leave no trace, so that the next run tries again.
     """
     out: dict[str, list[str]] = {"fetched": [], "corrupt": [], "failed": []}
     for remote, product, kind, _ in fetcher.files():
-        if history.known(remote) or history.damaged(remote) and not retry_corrupt:
+        if test_type is not None and not kind.upper().startswith(test_type.upper()):
+            continue
+        if history.known(remote) and not force or history.damaged(remote) and not retry_corrupt:
             continue
         if limit is not None and len(out["fetched"]) >= limit:
             break

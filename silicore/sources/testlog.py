@@ -16,15 +16,18 @@ and unread rests of known ones are skipped; zero-length records too.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
+import itertools
+import signal
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHIP_KEYS = ("EN-S0-CHIPID_R", "EN-SO-CHIPID_R")
@@ -374,18 +377,45 @@ def batches(rows: Iterator[dict], size: int = BATCH) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist(held, schema=ARROW)
 
 
-def _parse(it: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
+class TooLong(BaseException):
+    """A log takes too long; no damaged record, which the walk would skip."""
+
+
+@contextlib.contextmanager
+def _within(seconds: float | None) -> Iterator[None]:
+    """Raise TooLong in the block after so many seconds; only a process's main thread can."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TooLong(f"not read within {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _parse(it: Iterator[pa.RecordBatch], strict: bool, timeout: float | None) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for file, data in zip(batch.column("path").to_pylist(), batch.column("content")):
             try:
-                yield from batches(rows_of(file, data.as_py(), strict))
-            except ValueError as e:
+                with _within(timeout):
+                    rows = rows_of(file, data.as_py(), strict)
+                    first = list(itertools.islice(rows, 1))  # the walk over the records
+                yield from batches(itertools.chain(first, rows))
+            except (ValueError, TooLong) as e:
                 yield pa.RecordBatch.from_pylist([{"file": file, "kind": "bad", "error": str(e)}], schema=ARROW)
 
 
-def parse_files(files: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows of ``files`` (path, content), such as the binaryFile source gives, streaming or not."""
-    return files.select("path", "content").mapInArrow(lambda it: _parse(it, strict), SCHEMA)
+def parse_files(files: DataFrame, strict: bool = False, timeout: float | None = None) -> DataFrame:
+    """Rows of ``files`` (path, content), such as the binaryFile source gives, streaming or not.
+    A log whose records are not walked within ``timeout`` seconds gives one row of kind ``bad``."""
+    return files.select("path", "content").mapInArrow(lambda it: _parse(it, strict, timeout), SCHEMA)
 
 
 def read_logs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -47,6 +47,8 @@ class Ingest:
     product: str | None = None
     sub_process: str | None = None
     strict: bool = False
+    #: Seconds that a log's records may take to walk; a log that takes longer is bad.
+    timeout: float | None = 300.0
 
     # -- manifest
 
@@ -105,7 +107,7 @@ class Ingest:
         self.recover()
         spark = self.store.spark
         stage = f"{self.store.path}/_staging/{uuid.uuid4().hex}"
-        parse_files(files, self.strict).write.partitionBy("kind").parquet(f"{stage}/rows")
+        parse_files(files, self.strict, self.timeout).write.partitionBy("kind").parquet(f"{stage}/rows")
         rows = spark.read.schema(SCHEMA).parquet(f"{stage}/rows") if self._filled(f"{stage}/rows") else spark.createDataFrame([], SCHEMA)
         self._stage(rows, stage)
         done = self._put(stage)

@@ -198,6 +198,12 @@ def test_text_helpers(spark):
 def test_session_export_and_pivot(store, tmp_path):
     with Session(store) as s:
         assert s.q("SELECT count(*) AS n FROM parts_final WHERE lot_id = ?", ["LOT1"]).first().n == 8
+        assert s.q("SELECT count(*) AS n, '$1' AS t FROM parts_final WHERE lot_id = $1 AND $1 <> $2 -- $9", ["LOT1", "x"]).first()[:] == (8, "$1")
+        assert export.to_file(s.q("SELECT lot_id, retest_num, passed FROM parts"), str(tmp_path / "p.parquet"), "parquet") == 13
+        assert s.spark.read.parquet(str(tmp_path / "p.parquet")).where("lot_id = 'FT9'").count() == 3
+        assert s.use("parts", "LOT1").count() == 10 and s.kept[0].is_cached
+    assert not s.kept[0].is_cached
+    with Session(store) as s:
         assert [r.lot_id for r in s.lots("PROD", "CP").collect()] == ["LOT1"]
         assert A.lot_summary(s.model, "LOT1").first().total_parts == 12
         wide = R.lot_pivot(s.model, ["LOT1"])
@@ -297,7 +303,27 @@ def test_fetch_command(spark, tmp_path, monkeypatch):
     assert not h.pending() and list(h.state["corrupt"]) == ["/P/CP1/L1/b#2.std"]
     assert (tmp_path / "dl/_corrupt/b#2.std").exists()
     assert Store(spark, f"{tmp_path}/store").model().parts.count() == 4
+    assert not list(tmp_path.rglob("a#1.std"))
     assert cli.main(["-c", str(f), "fetch"], spark) == 0
+    assert cli.main(["-c", str(f), "fetch", "-t", "FT", "-f"], spark) == 0 and not list(tmp_path.rglob("a#1.std"))
+    assert cli.main(["-c", str(f), "fetch", "--no-cleanup", "-f", "--no-ingest"], spark) == 0 and list(tmp_path.rglob("a#1.std"))
+    assert cli.main(["-c", str(f), "fetch", "--reingest", "--timeout", "60", "-w", "4", "-v"], spark) == 0
+    assert Store(spark, f"{tmp_path}/store").model().parts.agg(F.max("retest_num")).first()[0] == 1
+
+
+def test_a_log_that_takes_too_long_is_bad(spark, tmp_path, monkeypatch):
+    import time
+
+    from silicore.sources import testlog
+
+    monkeypatch.setattr(testlog.Walker, "pir", lambda self, b: time.sleep(5))
+    with pytest.raises(testlog.TooLong), testlog._within(0.2):
+        list(testlog.rows_of("f", wafer_test("A")))
+    began = time.time()
+    (tmp_path / "a#1.log").write_bytes(wafer_test("A", parts=30_000))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    rows = testlog.parse_files(files, timeout=0.001).collect()
+    assert [r.kind for r in rows] == ["bad"] and "0.001 seconds" in rows[0].error and time.time() - began < 60
 
 
 def test_diagnose():
@@ -312,7 +338,7 @@ def test_diagnose():
     assert compare_downloads(a, a) == "both downloads are whole" and "differ" in compare_downloads(a, a[:-3])
 
 
-def test_cli(store, spark, tmp_path, capsys):
+def test_cli(store, spark, tmp_path, capsys, monkeypatch):
     from silicore import cli
 
     f = tmp_path / "c.yaml"
@@ -321,3 +347,9 @@ def test_cli(store, spark, tmp_path, capsys):
     assert cli.main(["-c", str(f), "analyze", "yield", "LOT1"], spark) == 0
     assert cli.main(["-c", str(f), "export", "lot", "LOT1", str(tmp_path / "o.csv"), "--no-pivot"], spark) == 0
     assert "LOT1" in (tmp_path / "o.csv").read_text() and "W1" in capsys.readouterr().out
+    assert cli.main(["-c", str(f), "db", "query", "SELECT * FROM parts", "-n", "3"], spark) == 0 and "3 rows, and more" in capsys.readouterr().out
+    assert cli.main(["-c", str(f), "db", "query", "SELECT * FROM parts", "--limit", "0"], spark) == 0 and "13 rows\n" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", ["SELECT nothing;\n", "SELECT lot_id\n", "FROM lots;\n", "quit;\n"])
+    assert cli.main(["-c", str(f), "db", "shell"], spark) == 0
+    said = capsys.readouterr()
+    assert "FT9" in said.out and "nothing" in said.err
