@@ -42,7 +42,8 @@ from .common import materialize, table
 K = 10
 SLICES = 2
 BLOCK = 2048
-PARTITIONS = 64
+#: Pairs of blocks that a task takes, about.
+PAIRS = 16
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -66,8 +67,10 @@ def _blocks(vectors: DataFrame, block: int) -> DataFrame:
 
 
 def _spread(blocks: DataFrame) -> int:
-    """Partitions of either side of the product: a block each, up to PARTITIONS."""
-    return max(1, min(PARTITIONS, blocks.count()))
+    """Partitions of either side of the product: a block each while there are few, then so
+    that a task takes about ``PAIRS`` pairs; tasks grow with the pairs, without a cap."""
+    n = blocks.count()
+    return max(1, min(n, 64), -(-n // int(PAIRS**0.5)))
 
 
 def _pairs(asking: DataFrame, blocks: DataFrame) -> DataFrame:
