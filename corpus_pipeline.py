@@ -67,10 +67,16 @@ kept3 AS (SELECT k.* FROM kept2 k LEFT JOIN keeper USING (doc_id) WHERE coalesce
 SELECT doc_ids[1] AS doc_id, text, lang, source, length(text) AS n_chars FROM op2_out"""
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: int = len(STAGES)) -> DataFrame:
+    """The result of the first ``stages`` stages, all by default."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES[:stages]):
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        if i < stages - 1:
             docs = materialize(docs, f"stage-{i + 1}")
     return docs
+
+
+def before_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage gets: the rows that ``BEFORE_TOKENS_SQL`` gives."""
+    return run(spark, sf_dir, len(STAGES) - 1)
