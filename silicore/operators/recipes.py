@@ -361,13 +361,19 @@ def review_table(df: DataFrame) -> DataFrame:
     return df.select(c("test_num", "bigint").alias("test_num"), c("rev_lsl", "double").alias("l"), c("rev_usl", "double").alias("u")).groupBy("test_num").agg(F.min("l").alias("rev_lsl"), F.min("u").alias("rev_usl"), _n().alias("csv_rows"))
 
 
+def _checked(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def r8_4(m: Model, review: DataFrame, product: str, test_category: str, sub_process: str, target_cpk: float = 1.33, test_name_like: str | None = None, job_name: str | None = None, job_rev: str | None = None, exclude_lot: str | None = None) -> DataFrame:
     """What revised limits would do: Cpk, failures, and dies that would newly fail."""
     targets = _targets(m, product, test_category, sub_process, job_name, job_rev, exclude_lot)
     scope = _scope(m, product, test_category, sub_process)
     base = _named(scope.where(measured()), test_name_like).join(targets.select("lot_id"), "lot_id", "left_semi").select("test_num", *cols("test_name units result passed"))
     _, spec = _current_spec(m, scope, targets)
-    rows = base.join(review_table(review), "test_num", "left").join(spec, "test_num", "left")
+    # A row a test: as long as they are few, the measurements are not shuffled by test, of which there are few and unequal ones.
+    rows = base.join(_checked(review_table(review).join(spec, "test_num", "full")), "test_num", "left")
     out_rev = (F.col("result") < F.col("rev_lsl")) | (F.col("result") > F.col("rev_usl"))
     was_in = (F.col("result") >= F.col("cur_lsl")) & (F.col("result") <= F.col("cur_usl"))
     keys = [*cols("cur_lsl cur_usl rev_lsl rev_usl csv_rows")]
@@ -390,7 +396,7 @@ def r8_4(m: Model, review: DataFrame, product: str, test_category: str, sub_proc
 
 def r8_4b(dump: DataFrame, review: DataFrame) -> DataFrame:
     """The rows of a dump that pass now and would fail revised limits."""
-    out = dump.join(review_table(review).drop("csv_rows"), "test_num").where(F.col("result").between(F.col("lo_limit"), F.col("hi_limit")) & ((F.col("result") < F.col("rev_lsl")) | (F.col("result") > F.col("rev_usl"))))
+    out = dump.join(_checked(review_table(review).drop("csv_rows")), "test_num").where(F.col("result").between(F.col("lo_limit"), F.col("hi_limit")) & ((F.col("result") < F.col("rev_lsl")) | (F.col("result") > F.col("rev_usl"))))
     return out.select("lot_id", *cols("wafer_id x_coord y_coord part_txt test_num test_name result lo_limit hi_limit rev_lsl rev_usl")).orderBy("test_num", "lot_id", "wafer_id")
 
 

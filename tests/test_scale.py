@@ -51,3 +51,12 @@ def test_trends_keep_their_lots_before_the_window(spark, tmp_path):
     m = written(spark, tmp_path)
     p = A.lot_trend(m, "P0", "CP")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in p and p.index("Window") < p.index("LeftSemi")
+
+
+def test_a_review_does_not_shuffle_measurements_by_test(spark, tmp_path):
+    m = written(spark, tmp_path)
+    review = spark.createDataFrame([("1", "0.5", "2.5")], "test_num string, rev_lsl string, rev_usl string")
+    p = plan(R.r8_4(m, review, "P0", "CP", "CP1"))
+    assert "BroadcastHashJoin [test_num" in p and "hashpartitioning(test_num" in p
+    rows = [line for line in p.splitlines() if "SortMergeJoin" in line and "test_num" in line and "LeftOuter" in line]
+    assert not rows
