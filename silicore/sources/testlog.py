@@ -2,7 +2,10 @@
 
 ``read_logs`` is one task a file: a file cannot be split, since records are found only
 by walking from its start. A parsed file is yielded in batches of rows of one wide
-schema, tagged by ``kind``; nothing of a file is kept on the driver.
+schema, tagged by ``kind``; nothing of a file is kept on the driver. Measurements are given
+out during the walk, as soon as no record to come can change their part, so a task holds a
+batch of them and not the log's; the lot's row comes last, and rows of a log without one
+do not count.
 
 By default a log's parts and measurements are bound as the flow goes (one part at a
 time, limits as they stand in the record). ``strict=True`` binds them by head and site,
@@ -18,10 +21,10 @@ from __future__ import annotations
 
 import contextlib
 import gzip
-import itertools
 import signal
 import struct
 import threading
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -113,7 +116,7 @@ class Log:
 class Walker:
     def __init__(self, strict: bool = False) -> None:
         self.log, self.strict, self.order = Log(), strict, "<"
-        self.wafer, self.counter, self.no = "", 0, 0
+        self.wafer, self.counter, self.no, self.measured = "", 0, 0, 0
         self.part: dict[tuple[int, int] | None, str] = {}
         self.efuses: dict[tuple[int, int] | None, list[str]] = {}
         self.kinds = {
@@ -122,6 +125,12 @@ class Walker:
         }
 
     def walk(self, data: bytes) -> Log:
+        for _ in self.steps(data):
+            pass
+        return self.log
+
+    def steps(self, data: bytes) -> Iterator[None]:
+        """Walk over the records; a step ends with a part."""
         at = 0
         if data[2:4] == b"\0\x0a" and len(data) > 4:  # the file's own byte order, before its first length is read
             self.order = ">" if data[4] == 1 else "<"
@@ -141,9 +150,19 @@ class Walker:
                 except Exception:  # noqa: BLE001 - a damaged record is skipped, those after it are not
                     self.log.skipped += 1
                 at = max(at + size, body.at)
+                if (kind, sub) == (5, 20):
+                    yield
             else:
                 at += size
-        return self.log
+
+    def finished(self) -> list[dict]:
+        """Take the measurements whose part no later record can touch out of the log."""
+        still = {*self.part.values(), self._name()}
+        rows, self.log.rows = self.log.rows, []
+        done = []
+        for r in rows:
+            (self.log.rows if r["part_id"] in still else done).append(r)
+        return done
 
     # -- what the log is about
 
@@ -230,7 +249,8 @@ class Walker:
 
     def _row(self, head: int, place: int, test: int, result: float | None, flag: int, pin: int | None = None) -> None:
         part = self.part.get(self._site(head, place), "")
-        self.log.rows.append({"record_no": self.no, "wafer_id": self.wafer, "part_id": part, "test_num": test, "result": result, "passed": not flag & 0x80, "pin_num": pin, "pin_name": self.log.pins.get(pin) if pin is not None else None})
+        self.log.rows.append({"record_no": self.measured, "wafer_id": self.wafer, "part_id": part, "test_num": test, "result": result, "passed": not flag & 0x80, "pin_num": pin, "pin_name": self.log.pins.get(pin) if pin is not None else None})
+        self.measured += 1
 
     def _test(self, num: int, kind: str, name: str = "", lo: float | None = None, hi: float | None = None, units: str = "") -> None:
         self.log.tests.setdefault(num, {"test_name": name, "rec_type": kind, "lo_limit": lo, "hi_limit": hi, "units": units})
@@ -348,22 +368,35 @@ def unpacked(data: bytes) -> bytes:
         raise ValueError(f"damaged gzip: {e}") from e
 
 
-def rows_of(file: str, data: bytes, strict: bool = False) -> Iterator[dict]:
-    """All rows of one log: its lot, wafers, parts, chips and measurements."""
-    log = Walker(strict).walk(unpacked(data))
+def rows_of(file: str, data: bytes, strict: bool = False, hold: int = BATCH) -> Iterator[dict]:
+    """All rows of one log: measurements, wafers, parts, chips, and its lot at the end."""
+    walker, place = Walker(strict), {}
+    log, seen, lot = walker.log, 0, None
+    none = {"part_txt": "", "x_coord": -32768, "y_coord": -32768}
+
+    def tests(rows: list[dict]) -> Iterator[dict]:
+        nonlocal seen
+        for p in log.parts[seen:]:
+            place[p["part_id"]] = {k: p[k] for k in ("part_txt", "x_coord", "y_coord")}
+        seen = len(log.parts)
+        for r in rows:
+            yield lot | {"kind": "test"} | r | place.get(r["part_id"], none) | log.tests[r["test_num"]]
+
+    for _ in walker.steps(unpacked(data)):
+        if len(log.rows) >= hold and "lot_id" in log.lot:
+            lot = {"file": file, "lot_id": log.lot["lot_id"]}
+            yield from tests(walker.finished())
+    if lot is not None and lot["lot_id"] != log.lot["lot_id"]:
+        raise ValueError("the log names another lot after its measurements")
     lot = {"file": file, "lot_id": log.lot.get("lot_id", "")}
-    yield lot | {"kind": "lot", "record_no": 0} | log.lot
+    yield from tests(log.rows)
     for i, w in enumerate(log.wafers):
         yield lot | {"kind": "wafer", "record_no": i} | w
-    place = {}
     for p in log.parts:
-        place[p["part_id"]] = {k: p[k] for k in ("part_txt", "x_coord", "y_coord")}
         yield lot | {"kind": "part"} | p
     for c in log.chips:
         yield lot | {"kind": "chip"} | c
-    none = {"part_txt": "", "x_coord": -32768, "y_coord": -32768}
-    for i, r in enumerate(log.rows):
-        yield lot | {"kind": "test"} | r | place.get(r["part_id"], none) | log.tests[r["test_num"]] | {"record_no": i}
+    yield lot | {"kind": "lot", "record_no": 0} | log.lot
 
 
 def batches(rows: Iterator[dict], size: int = BATCH) -> Iterator[pa.RecordBatch]:
@@ -400,21 +433,32 @@ def _within(seconds: float | None) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
+def _timed(found: Iterator, seconds: float | None) -> Iterator:
+    """``found``, which may take so many seconds in all; what is done with it does not count."""
+    left = seconds
+    while True:
+        began = time.monotonic()
+        with _within(left):
+            one = next(found, None)
+        if one is None:
+            return
+        if left:
+            left = max(1e-3, left - (time.monotonic() - began))
+        yield one
+
+
 def _parse(it: Iterator[pa.RecordBatch], strict: bool, timeout: float | None) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for file, data in zip(batch.column("path").to_pylist(), batch.column("content")):
             try:
-                with _within(timeout):
-                    rows = rows_of(file, data.as_py(), strict)
-                    first = list(itertools.islice(rows, 1))  # the walk over the records
-                yield from batches(itertools.chain(first, rows))
+                yield from _timed(batches(rows_of(file, data.as_py(), strict)), timeout)
             except (ValueError, TooLong) as e:
                 yield pa.RecordBatch.from_pylist([{"file": file, "kind": "bad", "error": str(e)}], schema=ARROW)
 
 
 def parse_files(files: DataFrame, strict: bool = False, timeout: float | None = None) -> DataFrame:
     """Rows of ``files`` (path, content), such as the binaryFile source gives, streaming or not.
-    A log whose records are not walked within ``timeout`` seconds gives one row of kind ``bad``."""
+    A log that is not read within ``timeout`` seconds gives a row of kind ``bad`` and no row of its lot."""
     return files.select("path", "content").mapInArrow(lambda it: _parse(it, strict, timeout), SCHEMA)
 
 

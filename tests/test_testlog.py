@@ -109,3 +109,32 @@ def test_read_logs_and_data_source(spark, tmp_path):
     spark.dataSource.register(TestLog)
     other = spark.read.format("testlog").load(str(tmp_path))
     assert {r.kind: r["count"] for r in other.groupBy("kind").count().collect()} == kinds
+
+
+def test_measurements_leave_during_the_walk():
+    """However few are held, the rows are those of a walk that holds all."""
+    from silicore.sources.testlog import Walker, rows_of
+
+    w = Writer()
+    w.mir("L")
+    for k in range(3):
+        w.wir(f"W{k}")
+        for i in range(20):
+            for site in (0, 1):
+                w.pir(site)
+            for site in (1, 0):
+                w.ptr(10 + site, i / 10, "a", site=site)
+            w.mpr(20, [1.0, 2.0], [3, 4], "m")
+            for site in (0, 1):
+                w.prr(i, k, site=site, text=f"{i}.{site}")
+            w.ptr(12, 9.0, "late", site=1)
+    w.mrr(5)
+    key = lambda rows: sorted(repr(sorted(r.items(), key=lambda x: x[0])) for r in rows)
+    for strict in (False, True):
+        whole = list(rows_of("f", w.bytes(), strict))
+        assert key(rows_of("f", w.bytes(), strict, hold=1)) == key(whole) and whole[-1]["kind"] == "lot"
+        walker, most = Walker(strict), 0
+        for _ in walker.steps(w.bytes()):
+            walker.finished()
+            most = max(most, len(walker.log.rows))
+        assert most < 20 < len([r for r in whole if r["kind"] == "test"])
