@@ -11,6 +11,7 @@ import ftplib
 import gzip
 import json
 import os
+import time
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -23,12 +24,24 @@ class CorruptDownload(Exception):
     """The server's file is no whole gzip; fetching it again will not help."""
 
 
+def replaced(tmp: str | Path, path: str | Path, tries: int = 6) -> None:
+    """Put ``tmp`` in the place of ``path``; a reader that holds it for a moment is waited for, each time twice as long."""
+    for k in range(tries):
+        try:
+            os.replace(tmp, path)
+            return
+        except PermissionError:
+            if k == tries - 1:
+                raise
+            time.sleep(0.05 * 2**k)
+
+
 def write_json(path: str | Path, value: object) -> None:
     """Replace a state file in one step."""
     tmp = f"{path}.{os.getpid()}.tmp"
     Path(tmp).parent.mkdir(parents=True, exist_ok=True)
     Path(tmp).write_text(json.dumps(value, indent=2, ensure_ascii=False))
-    os.replace(tmp, path)
+    replaced(tmp, path)
 
 
 def read_json(path: str | Path, default: dict) -> dict:

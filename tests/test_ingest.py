@@ -326,6 +326,18 @@ def test_a_log_that_takes_too_long_is_bad(spark, tmp_path, monkeypatch):
     assert [r.kind for r in rows] == ["bad"] and "0.001 seconds" in rows[0].error and time.time() - began < 60
 
 
+def test_a_replacement_waits_for_readers(tmp_path, monkeypatch):
+    import os
+
+    from silicore.sources import ftp
+
+    calls, put = [], os.replace
+    monkeypatch.setattr(ftp.time, "sleep", calls.append)
+    monkeypatch.setattr(ftp.os, "replace", lambda a, b: put(a, b) if len(calls) > 1 else (_ for _ in ()).throw(PermissionError()))
+    ftp.write_json(tmp_path / "h.json", {"a": 1})
+    assert calls == [0.05, 0.1] and ftp.read_json(tmp_path / "h.json", {}) == {"a": 1}
+
+
 def test_diagnose():
     from silicore.sources.diagnose import compare_downloads, gzip_report
 
