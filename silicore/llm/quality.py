@@ -26,6 +26,9 @@ Defined results
   * extra columns of either input are ignored by ``classify`` and carried through
     unchanged by ``keep_good``, whatever their names.
 
+``words=False`` leaves the words' statistic out: one pass without Python, for corpora in
+which the other four tell as much (figures in the README).
+
 All features but the words' are built-in expressions. The evidence table has a fixed
 number of rows (the bins), so it is broadcast as one row, and the words' weights a fixed
 number of places; the site table grows with the
@@ -139,10 +142,12 @@ def _word_bin(weights):
     return bin_of
 
 
-def _with_bins(docs: DataFrame, weights) -> DataFrame:
+def _with_bins(docs: DataFrame, weights=None) -> DataFrame:
+    """``docs`` with its bins; that of the words where their ``weights`` are given."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = {f"__q_{k}": c for k, c in _bins(text).items()}
-    out["__q_word"] = _word_bin(weights)(text)
+    if weights is not None:
+        out["__q_word"] = _word_bin(weights)(text)
     out["__q_blank"] = F.trim(F.translate(text, "\t\n\r\f", "    ")) == ""
     out["__q_host"] = F.coalesce(F.col("source"), F.lit(_NONE))
     out["__q_path"] = F.coalesce(F.col("lang"), F.lit(_NONE))
@@ -161,11 +166,12 @@ def _votes(labels: DataFrame) -> DataFrame:
 
 def _evidence(light: DataFrame, votes: DataFrame) -> DataFrame:
     """One row: an array of log likelihood ratios for each feature, and the prior."""
+    bins = _used(light)
     known = light.join(votes, light["doc_id"] == votes["__l_id"])
     # Words are judged by documents that did not weigh them.
     odd = F.expr("pmod(__l_id, 2) = 1")
     counts = [F.count(F.when(F.col("__l_q") == q, 1)).alias(f"n{q}") for q in (1, 0)] + [F.count(F.when((F.col("__l_q") == q) & odd, 1)).alias(f"o{q}") for q in (1, 0)]
-    for f, k in BINS.items():
+    for f, k in bins.items():
         for b in range(k):
             for q in (1, 0):
                 counts.append(F.count(F.when((F.col(f"__q_{f}") == b) & (F.col("__l_q") == q) & (odd if f == "word" else F.lit(True)), 1)).alias(f"{f}_{b}_{q}"))
@@ -177,20 +183,25 @@ def _evidence(light: DataFrame, votes: DataFrame) -> DataFrame:
         return F.when(F.col(f"{n}1") + F.col(f"{n}0") > 0, ratio).otherwise(F.lit(0.0))
 
     return one.select(
-        *[F.array(*[llr(f, b) for b in range(k)]).alias(f"__e_{f}") for f, k in BINS.items()],
+        *[F.array(*[llr(f, b) for b in range(k)]).alias(f"__e_{f}") for f, k in bins.items()],
         F.log((F.col("n1") + 1.0) / (F.col("n0") + 1.0)).alias("__e_prior"),
     )
 
 
+def _used(df: DataFrame) -> dict[str, int]:
+    return {f: k for f, k in BINS.items() if f"__q_{f}" in df.columns}
+
+
 def _micro(c: Column) -> Column:
     """Soft counts in millionths: sums are exact in any order."""
     return F.floor(c * 1e6 + 0.5).cast("bigint")
 
 
 def _scored(df: DataFrame, evidence: DataFrame) -> DataFrame:
-    llr = sum((F.element_at(F.col(f"__e_{f}"), F.col(f"__q_{f}") + 1) for f in BINS), F.lit(0.0))
+    bins = _used(df)
+    llr = sum((F.element_at(F.col(f"__e_{f}"), F.col(f"__q_{f}") + 1) for f in bins), F.lit(0.0))
     out = df.crossJoin(F.broadcast(evidence)).withColumn("__q_llr", llr)
-    return out.withColumn("__q_p", _micro(1.0 / (1.0 + F.exp(-(F.col("__e_prior") + F.col("__q_llr")))))).drop(*[f"__e_{f}" for f in BINS], "__e_prior")
+    return out.withColumn("__q_p", _micro(1.0 / (1.0 + F.exp(-(F.col("__e_prior") + F.col("__q_llr")))))).drop(*[f"__e_{f}" for f in bins], "__e_prior")
 
 
 def _strength(mu: Column, spread: Column, groups: Column, n: Column) -> Column:
@@ -224,29 +235,29 @@ def _posterior(scored: DataFrame, sites: DataFrame) -> DataFrame:
     return out.withColumn("__post", F.when(F.col("__q_blank"), 0.0).otherwise(post))
 
 
-def _fit(docs: DataFrame, labels: DataFrame) -> tuple:
+def _fit(docs: DataFrame, labels: DataFrame, words: bool) -> tuple:
     votes = materialize(_votes(labels), "op1-votes")
-    weights = docs.sparkSession.sparkContext.broadcast(_weights(docs, votes))
+    weights = docs.sparkSession.sparkContext.broadcast(_weights(docs, votes)) if words else None
     light = materialize(_with_bins(docs.select("doc_id", "text", "source", "lang"), weights).drop("text"), "op1-bins")
     evidence = materialize(_evidence(light, votes), "op1-evidence")
     scored = _scored(light, evidence)
     return scored, weights, evidence, materialize(_sites(scored), "op1-sites")
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, words: bool = True) -> DataFrame:
     """(doc_id, source, lang, evidence, site_prior, posterior, keep): one row a document."""
-    scored, _, _, sites = _fit(docs, labels)
+    scored, _, _, sites = _fit(docs, labels, words)
     r = lambda c: F.round(F.col(c) * 1e6) / 1e6
     return _posterior(scored, sites).select("doc_id", "source", "lang", r("__q_llr").alias("evidence"), r("__prior").alias("site_prior"), r("__post").alias("posterior"), (F.col("__post") >= THRESHOLD).alias("keep"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, words: bool = True) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns unchanged.
 
     The text is never shuffled: its statistics are computed again in the scan and
     met with the broadcast site table.
     """
-    _, weights, evidence, sites = _fit(docs, labels)
+    _, weights, evidence, sites = _fit(docs, labels, words)
     inner, given = shielded(docs, "doc_id", "text", "source", "lang")
     return given(_posterior(_scored(_with_bins(inner, weights), evidence), sites).where(F.col("__post") >= THRESHOLD))
 
@@ -255,10 +266,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def sql(docs: str = "documents") -> str:
+def sql(docs: str = "documents", words: bool = True) -> str:
     """CTEs ending in ``op1_out`` (every document, with keep) over ``docs``."""
-    names = list(BINS)
-    bins = " UNION ALL ".join(f"SELECT '{f}' AS f, {k} AS k, unnest(range({k})) AS b" for f, k in BINS.items())
+    names = [f for f in BINS if words or f != "word"]
+    bins = " UNION ALL ".join(f"SELECT '{f}' AS f, {k} AS k, unnest(range({k})) AS b" for f, k in BINS.items() if f in names)
     lo, hi = STRENGTH
     join = " ".join(f"JOIN op1_ev e_{f} ON e_{f}.f = '{f}' AND e_{f}.b = d.{f}" for f in names)
     return rf"""

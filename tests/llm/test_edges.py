@@ -70,6 +70,8 @@ def test_quality_defined_results(spark, odd, none):
     out = quality.classify(odd, labels)
     assert out.count() == len(ODD)
     assert {(r.doc_id, r.keep, r.posterior) for r in out.where("doc_id IN (3, 4, 5)").collect()} == {(3, False, 0.0), (4, False, 0.0), (5, False, 0.0)}
+    few = quality.classify(odd, labels, words=False)
+    assert quality.keep_good(odd, labels, words=False).count() == few.where("keep").count() and few.count() == len(ODD)
     kept = quality.keep_good(odd, labels)
     assert kept.columns == odd.columns
     assert kept.count() == out.where("keep").count()
