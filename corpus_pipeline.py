@@ -18,8 +18,8 @@ from silicore.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier keeps, by the evidence that needs no Python."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), words=False)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES = [
 ORACLE_SQL = None
 
 #: The rows that the first four stages give, in DuckDB SQL, held against them in the tests.
-BEFORE_TOKENS_SQL = f"""WITH RECURSIVE {quality.sql()},
+BEFORE_TOKENS_SQL = f"""WITH RECURSIVE {quality.sql(words=False)},
 kept1 AS (SELECT doc_id, text, lang, source, n_chars FROM op1_out WHERE post >= {quality.THRESHOLD}),
 kept2 AS (SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS place FROM kept1) WHERE text IS NULL OR place = 1),
 {jaccard_join.sql("kept2")},
