@@ -18,7 +18,9 @@ Defined results
     ignored by ``find_copies`` and carried through by ``drop_copies``.
 
 The text is shuffled once. Bytes are compared within a chain only, since the sort
-looks at the text where keys tie.
+looks at the text where keys tie. A key whose rows outweigh an owner (one text, very
+often) cannot be split by bits: ``drop_copies`` first deals its rows out to as many tasks as
+it has owners' shares, each of which keeps one row a text, so that its owner gets few.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__x_hash": F.xxhash64("text"), "__x_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")}).withColumn("__x_key", F.expr("shiftrightunsigned(__x_hash, 4)"))
 
 
-def _owned(docs: DataFrame, capacity: int, owner_bytes: int) -> DataFrame:
-    """``docs`` with a text, each row at the owner of its bucket: __x_owner, __x_bucket, __x_hash."""
+def _owned(docs: DataFrame, capacity: int, owner_bytes: int, thin: bool = False) -> DataFrame:
+    """``docs`` with a text, each row at the owner of its bucket: __x_owner, __x_bucket, __x_hash.
+    ``thin``: of a key that outweighs an owner, some copies may be left out."""
     light = materialize(_keyed(docs.select("text").where("text IS NOT NULL")).select("__x_key", "__x_bytes"), "op6-keys")
     levels = directory(light, capacity)
     buckets = locate(light, levels).groupBy("__x_depth", "__x_bucket").agg(F.sum("__x_bytes").alias("__x_sum"))
@@ -50,11 +53,16 @@ def _owned(docs: DataFrame, capacity: int, owner_bytes: int) -> DataFrame:
     zones = buckets.groupBy("__x_zone").agg(F.sum("__x_sum").alias("__x_zsum"))
     before = zones.withColumn("__x_before", F.coalesce(F.sum("__x_zsum").over(Window.orderBy("__x_zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = F.col("__x_before") + F.sum("__x_sum").over(w) - 1
-    owners = buckets.join(F.broadcast(before), "__x_zone").withColumn("__x_owner", F.greatest(F.lit(0), F.floor(run / owner_bytes)).cast("int")).select("__x_depth", "__x_bucket", "__x_owner")
+    owners = buckets.join(F.broadcast(before), "__x_zone").withColumn("__x_owner", F.greatest(F.lit(0), F.floor(run / owner_bytes)).cast("int")).select("__x_depth", "__x_bucket", "__x_owner", F.ceil(F.col("__x_sum") / owner_bytes).alias("__x_shares"))
     owners = materialize(owners, "op6-owners")
     n = (owners.agg(F.max("__x_owner")).first()[0] or 0) + 1
     rows = locate(_keyed(docs.where("text IS NOT NULL")), levels).join(small(owners), ["__x_depth", "__x_bucket"])
-    return rows.drop("__x_depth", "__x_key", "__x_bytes").repartitionById(n, F.col("__x_owner"))
+    if thin and not owners.where("__x_shares > 1").isEmpty():
+        w = Window.partitionBy("__x_hash", "text", "__x_share").orderBy(F.col("doc_id").asc_nulls_last())
+        many = rows.where("__x_shares > 1").withColumn("__x_share", F.pmod(F.monotonically_increasing_id(), F.col("__x_shares")))
+        many = many.withColumn("__x_place", F.row_number().over(w)).where("__x_place = 1").drop("__x_share", "__x_place")
+        rows = rows.where("__x_shares <= 1").unionByName(many)
+    return rows.drop("__x_depth", "__x_key", "__x_bytes", "__x_shares").repartitionById(n, F.col("__x_owner"))
 
 
 def _chain(rows: DataFrame, order: list) -> tuple:
@@ -76,7 +84,7 @@ def find_copies(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OW
 def drop_copies(docs: DataFrame, capacity: int = CAPACITY, owner_bytes: int = OWNER_BYTES) -> DataFrame:
     """The kept rows of ``docs``, all columns unchanged."""
     inner, given = shielded(docs, "doc_id", "text")
-    rows = _owned(inner, capacity, owner_bytes)
+    rows = _owned(inner, capacity, owner_bytes, thin=True)
     place, _ = _chain(rows, [F.col("doc_id").asc_nulls_last()])
     return given(rows.withColumn("__x_place", place).where("__x_place = 1")).unionByName(docs.where("text IS NULL"))
 

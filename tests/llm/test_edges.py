@@ -268,6 +268,14 @@ def test_exact_dedup(spark, odd, none):
     assert exact_dedup.find_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
 
 
+def test_exact_dedup_of_a_text_that_outweighs_an_owner(spark):
+    rows = [(i, words(40, 1), "en", "a", i) for i in range(200)] + [(None, words(40, 1), None, None, 0)] * 3 + [(1000 + i, words(20, i), "en", "b", i) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(6)
+    kept = exact_dedup.drop_copies(docs, capacity=200, owner_bytes=500)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(1000, 1020)]
+    assert "__x_share" in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 # -- 7
 
 URLS = ["http://a.example.net/x", "https://b.example.net:80/fr/1?q#f", "HTTP://U@Example.NET./fr", "http://example.org/de", "http://example.org/den", "x.example.org/de/y/", "http://thther.example.org/fr/2", "http://example.com/es/1/2", "http://example.com/es/12", "//m.ththth.example.net/z", "", None, "http://", "mailto:x@y", "http://notexample.net/", "http://q.m.example.com/en//a", "http://q.m.example.com/fr", "http://any.host.xxx/a", "http://xxx", "http://m.example.com/en/" + "a/" * 50_000]
