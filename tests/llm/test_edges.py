@@ -452,6 +452,47 @@ def test_jaccard_defined_results(spark, odd, none):
     assert jaccard_join.join(none).count() == 0 and jaccard_join.drop_near(none).count() == 0
 
 
+def expected_links(docs):
+    """(doc_id, class_id, links) of every document and set of its own."""
+    sets = list(similar_sets(docs).items())
+    near = [[k for k, (b, _) in enumerate(sets) if a is not b and (jaccard_join.NUM + jaccard_join.DEN) * len(a & b) >= jaccard_join.NUM * (len(a) + len(b))] for a, _ in sets]
+    least = [min(own) for _, own in sets]
+    while (new := [min([least[i], *(least[k] for k in ks)]) for i, ks in enumerate(near)]) != least:
+        least = new
+    rows = [(d, least[i], len(near[i])) for i, (_, own) in enumerate(sets) for d in own]
+    return sorted(rows + [(i, None, 0) for i in {i for i, t in docs if i is not None and not (t or "").split()}], key=repr)
+
+
+@pytest.mark.parametrize("group_sets, bundle", [(2_000, 512), (60, 20)])
+def test_links_of_large_families(spark, monkeypatch, group_sets, bundle):
+    """A family of near copies is not sent about as its pairs."""
+    monkeypatch.setattr(jaccard_join, "GROUP_SETS", group_sets)
+    monkeypatch.setattr(jaccard_join, "BUNDLE", bundle)
+    sent, write = {}, jaccard_join.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        sent[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    r = random.Random(9)
+    docs = near_corpus()
+    for g, n in ((1, 700), (2, 200)):
+        base = words(60, 500 + g).split()
+        docs += [(20_000 * g + i, " ".join(x if r.random() > 0.08 else words(1, r.randrange(10**6)) for x in base)) for i in range(n)]
+    docs += [(70_000, " "), (70_001, None), (None, "a b c")]
+    got = jaccard_join.links(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    want = expected_links(docs)
+    assert as_rows(got) == want
+    assert sent["op10-candidates"] < sum(n for *_, n in want) / 10
+
+
+def test_links_defined_results(spark, odd, none):
+    assert as_rows(jaccard_join.links(odd)) == expected_links([(i, t) for i, t, *_ in ODD])
+    assert jaccard_join.links(none).count() == 0
+
+
 def test_drop_near_judges_each_text_of_an_id(spark):
     near, alone = words(40, 1), words(40, 2)
     rows = [(1, near), (5, near + " z"), (5, alone), (5, None), (5, " \n"), (7, near + " y"), (7, "  ")]
