@@ -231,6 +231,15 @@ def test_topk_against_brute_force(spark):
     assert topk.search(df.where("false")).count() == 0
 
 
+def test_topk_asks_some_and_searches_all(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(220, 6))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    s = np.round(x @ x.T, 9)
+    want = [(q, n, j) for q in range(0, 220, 50) for n, (_, j) in enumerate(sorted((-s[q, j], j) for j in range(220) if j != q)[: topk.K], 1)]
+    for query in (topk.op4_topk, topk.op4_topk_blocks):
+        assert sorted((r.vec_id, r.rank, r.neighbor_id) for r in query(spark, str(tmp_path)).collect()) == want
+
+
 # -- 5
 
 
