@@ -354,6 +354,38 @@ def test_lm_scoring(spark, odd, none, monkeypatch, packed, part_bytes):
     assert lm_scoring.score(odd, odd).count() == len(ODD)
 
 
+def test_lm_scoring_reads_texts_twice(spark):
+    """Once for the words and once for the transitions, whatever order the rows come in."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for batch in it:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [words(50, i) for i in range(20)]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").orderBy(F.rand()).mapInArrow(counted, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in lm_scoring.score(t, t).collect()}
+    assert all(out[i].n_words == 51 and abs(out[i].mean_logprob - s / 51) < 2e-6 for i, s in enumerate(brute(texts, texts)))
+    assert read.value == 2 * len(texts)
+
+
+def test_lm_scoring_frequent_word(spark, monkeypatch):
+    """A word of half of all positions has its states dealt out to pieces."""
+    monkeypatch.setattr(lm_scoring, "PACKED", 400)
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 400)
+    monkeypatch.setattr(lm_scoring, "_TAKEN", 50)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["the", "the", "the", *"abcdef"]) if r.random() < 0.8 else f"w{r.randrange(300)}" for _ in range(80)) for _ in range(30)]
+    other = [" ".join(r.choice(["the", "b", "w7", "unseen"]) for _ in range(60)) for _ in range(5)]
+    t, d = (spark.createDataFrame(list(enumerate(x)), "doc_id bigint, text string") for x in (texts, other))
+    count, size = lm_scoring._counts(t)
+    assert size == sum(map(len, texts)) and lm_scoring._layout(count, -(-size // 400))[1].max() > 2
+    for docs, own, n in ((t, texts, 81), (d, other, 61)):
+        out = {x.doc_id: x.mean_logprob for x in lm_scoring.score(docs, t).collect()}
+        assert all(abs(out[i] - s / n) < 2e-6 for i, s in enumerate(brute(texts, own)))
+
+
 # -- 9
 
 
