@@ -67,7 +67,7 @@ PACKED = 2_000_000
 PART_BYTES = 12 << 20
 _SLICE = 1 << 20
 #: Transitions that are taken at once.
-_TAKEN = 4_000_000
+_TAKEN = 1_000_000
 #: Words whose bucket a process remembers.
 KNOWN = 1_000_000
 _ROWS = "kind int, batch bigint, part int, piece int, data binary"
@@ -290,20 +290,19 @@ def _gather(it: Iterator[pa.RecordBatch], role: int, parts: int, packed: int, sh
 def _weights(it: Iterator[pa.RecordBatch], shared, most: int) -> Iterator[pa.RecordBatch]:
     """A partition's rows sorted by piece: the documents' rows, and by document the sums of
     the log-probabilities of the transitions that were asked for."""
-    root, common, rest, now = None, [], [], None
+    root, common, rest, now, more = None, [], [], None, 0
 
     def taken() -> Iterator[pa.RecordBatch]:
         """What the piece in ``rest`` is asked for."""
         nonlocal common, root
-        if not rest:
-            return
         if root is None:
             root = _root(shared.value)
         counted = [r[4] for r in rest if r[0] & COUNTED]
         keys, sums = _summed(np.concatenate(counted)) if counted else (np.zeros(0, np.int64),) * 2
-        if isinstance(common, list) and common:
-            common = _summed(*(np.concatenate(x) for x in zip(*common)))
-        levels = [common if n == 2 and len(common) else (keys, sums) if n == ORDER else _summed(_arc(keys, n), sums) for n in range(2, ORDER + 1)]
+        del counted
+        if len(common) > 1:
+            common = [_together(common)]
+        levels = [common[0] if n == 2 and common else (keys, sums) if n == ORDER else _summed(_arc(keys, n), sums) for n in range(2, ORDER + 1)]
         levels = [(n, k, s, *_states(k, s)) for n, (k, s) in enumerate(levels, 2) if len(k)]
         asked = [r for r in rest if r[0] & ASKED]
         bound = np.cumsum([0] + [len(r[4]) for r in asked])
@@ -335,16 +334,22 @@ def _weights(it: Iterator[pa.RecordBatch], shared, most: int) -> Iterator[pa.Rec
             if kind == LOW:
                 n, wide, wider = r.numbers(3)
                 common.append((r.planes(n, wide), r.planes(n, wider)))
+                more += n
+                if more > max(most, len(common[0][0])):
+                    common, more = [_together(common)], 0
                 continue
             if piece != now:
-                yield from taken()
+                if rest:
+                    yield from taken()
+                    release()
                 now = piece
             code, run, marks = r.planes(*r.numbers(2)), None, None
             if kind & ASKED:
-                run = r.planes(*r.numbers(2))
+                run = r.planes(*r.numbers(2)).astype(np.int32)
                 marks = raw[r.at :].tobytes()
             rest.append((kind, batch, part, piece, code, run, marks))
-    yield from taken()
+    if rest:
+        yield from taken()
     release()
 
 
@@ -378,6 +383,10 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
 
+def _together(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(*(np.concatenate(x) for x in zip(*some)))
+
+
 def _walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by batch, its documents first: each document's sums are added up."""
     who = none = n = dead = total = None
