@@ -1,7 +1,10 @@
 """Plans that must hold at size: filters reach the scan, no comparison of all pairs, partial windows."""
 
+import re
+
 from silicore.operators import analysis as A
 from silicore.operators import recipes as R
+from silicore.operators import retest
 from silicore.plans.driver_model import load
 from silicore.plans.views import Model
 from silicore.sources.schemas import stored
@@ -60,3 +63,21 @@ def test_a_review_does_not_shuffle_measurements_by_test(spark, tmp_path):
     assert "BroadcastHashJoin [test_num" in p and "hashpartitioning(test_num" in p
     rows = [line for line in p.splitlines() if "SortMergeJoin" in line and "test_num" in line and "LeftOuter" in line]
     assert not rows
+
+
+def test_flags_are_verified_in_one_shuffle_whose_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
+    m = written(spark, tmp_path)
+    size = sum(f.stat().st_size for f in (tmp_path / "test_data").glob("*.parquet"))
+    monkeypatch.setattr(retest, "TASK_BYTES", size // 50)
+    df = retest.verify_flags(m.test_data)
+    by_key = [line for line in plan(df).splitlines() if "Exchange hashpartitioning(" in line and "test_num" in line]
+    assert len(by_key) == 1 and "REPARTITION_BY_NUM" in by_key[0]
+    assert 50 <= int(re.search(r", (\d+)\), REPARTITION_BY_NUM", by_key[0])[1]) <= 52
+    assert {r.lot_id: r["rows"] for r in df.collect()} == {r.lot_id: r["count"] for r in m.test_data.groupBy("lot_id").count().collect()}
+
+
+def test_flags_of_rows_from_a_source_of_unknown_size(spark):
+    rows = [("L1", "W1", 1, 1, "", 7, None, run, flag) for run, flag in ((0, 1), (0, None), (1, 0), (1, 2), (2, 0))]
+    rdd = spark.sparkContext.parallelize(rows, 2)
+    df = spark.createDataFrame(rdd, "lot_id string, wafer_id string, x_coord bigint, y_coord bigint, part_txt string, test_num bigint, pin_num bigint, retest_num bigint, retest_flag bigint")
+    assert [tuple(r) for r in retest.verify_flags(df).collect()] == [("L1", 5, 1, 0, 1, 1)]
