@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from silicore.llm import exact_dedup, jaccard_join, mixing, quality, sentencepiece_bpe
-from silicore.llm.common import materialize, table
+from silicore.llm.common import WRITTEN, discard, materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +68,23 @@ SELECT doc_ids[1] AS doc_id, text, lang, source, length(text) AS n_chars FROM op
 
 
 def run(spark: SparkSession, sf_dir: str, stages: int = len(STAGES)) -> DataFrame:
-    """The result of the first ``stages`` stages, all by default."""
+    """The result of the first ``stages`` stages, all by default.
+
+    A stage's own tables and its input are removed once its result is written; what the
+    result names in its schema (the mixture's blocks) stays."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES[:stages]):
-        docs = stage(spark, docs, sf_dir)
-        if i < stages - 1:
-            docs = materialize(docs, f"stage-{i + 1}")
+    outer = WRITTEN.set([])
+    try:
+        for i, (_, stage) in enumerate(STAGES[:stages]):
+            docs = stage(spark, docs, sf_dir)
+            if i < stages - 1:
+                docs = materialize(docs, f"stage-{i + 1}")
+                *old, result = WRITTEN.get()
+                named = docs.schema.json()
+                discard(spark, [path for path in old if path not in named])
+                WRITTEN.set([result])
+    finally:
+        WRITTEN.reset(outer)
     return docs
 
 

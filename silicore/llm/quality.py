@@ -38,6 +38,7 @@ data and is broadcast only behind a size check.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -235,18 +236,20 @@ def _posterior(scored: DataFrame, sites: DataFrame) -> DataFrame:
     return out.withColumn("__post", F.when(F.col("__q_blank"), 0.0).otherwise(post))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, words: bool) -> tuple:
+def _fit(docs: DataFrame, labels: DataFrame, words: bool, text: bool = False) -> tuple:
+    """``docs`` with bins, written once (the text too if it is asked for) and scored; weights, evidence, sites."""
     votes = materialize(_votes(labels), "op1-votes")
     weights = docs.sparkSession.sparkContext.broadcast(_weights(docs, votes)) if words else None
-    light = materialize(_with_bins(docs.select("doc_id", "text", "source", "lang"), weights).drop("text"), "op1-bins")
-    evidence = materialize(_evidence(light, votes), "op1-evidence")
-    scored = _scored(light, evidence)
+    binned = _with_bins(docs, weights)
+    binned = materialize(binned if text else binned.drop("text"), "op1-bins")
+    evidence = materialize(_evidence(binned, votes), "op1-evidence")
+    scored = _scored(binned, evidence)
     return scored, weights, evidence, materialize(_sites(scored), "op1-sites")
 
 
 def classify(docs: DataFrame, labels: DataFrame, words: bool = True) -> DataFrame:
     """(doc_id, source, lang, evidence, site_prior, posterior, keep): one row a document."""
-    scored, _, _, sites = _fit(docs, labels, words)
+    scored, _, _, sites = _fit(docs.select("doc_id", "text", "source", "lang"), labels, words)
     r = lambda c: F.round(F.col(c) * 1e6) / 1e6
     return _posterior(scored, sites).select("doc_id", "source", "lang", r("__q_llr").alias("evidence"), r("__prior").alias("site_prior"), r("__post").alias("posterior"), (F.col("__post") >= THRESHOLD).alias("keep"))
 
@@ -254,12 +257,17 @@ def classify(docs: DataFrame, labels: DataFrame, words: bool = True) -> DataFram
 def keep_good(docs: DataFrame, labels: DataFrame, words: bool = True) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns unchanged.
 
-    The text is never shuffled: its statistics are computed again in the scan and
-    met with the broadcast site table.
+    The text is never shuffled: its statistics are computed once and written beside it, and
+    that table is met with the broadcast site table. Rows with columns that Parquet has no
+    type for are not written; their statistics are computed again in the scan.
     """
-    _, weights, evidence, sites = _fit(docs, labels, words)
     inner, given = shielded(docs, "doc_id", "text", "source", "lang")
-    return given(_posterior(_scored(_with_bins(inner, weights), evidence), sites).where(F.col("__post") >= THRESHOLD))
+    if any(re.search(r"\b(void|interval)\b", t) for _, t in inner.dtypes):
+        _, weights, evidence, sites = _fit(inner.select("doc_id", "text", "source", "lang"), labels, words)
+        scored = _scored(_with_bins(inner, weights), evidence)
+    else:
+        scored, _, _, sites = _fit(inner, labels, words, text=True)
+    return given(_posterior(scored, sites).where(F.col("__post") >= THRESHOLD))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

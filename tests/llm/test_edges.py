@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, for every operator."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,34 @@ def test_quality_defined_results(spark, odd, none):
     assert quality.classify(odd, no).where("keep").count() == len(ODD) - 4
 
 
+def test_quality_computes_the_statistics_of_a_text_once(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0)], LABELS)
+    kept = quality.keep_good(odd, labels, words=False)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "op1-bins" in kept._jdf.queryExecution().executedPlan().toString()
+    # what Parquet has no type for is carried through all the same
+    extra = quality.keep_good(odd.withColumns({"void": F.lit(None), "interval": F.expr("make_interval(1, 2)")}), labels, words=False)
+    assert extra.columns == [*odd.columns, "void", "interval"]
+    assert as_rows(extra.drop("void", "interval")) == as_rows(kept) and extra.where("void IS NULL AND CAST(interval AS STRING) = CAST(make_interval(1, 2) AS STRING)").count() == kept.count() > 0
+
+
+def test_the_pipeline_keeps_no_table_that_a_later_stage_does_not_read(spark, tmp_path):
+    import corpus_pipeline
+    from silicore.llm import common
+
+    docs = spark.createDataFrame([(i, words(30, i), "en", "a", 1) for i in range(40)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    there = set(folder.iterdir())
+    other = common.materialize(docs, "other")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - there}
+    # the tables of the last stage, its input, and the blocks that it cuts by
+    assert left == {"other", "stage-4", "op2-blocks", "op2-layouts"}
+    assert out.count() > 0 and other.count() == 40
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
